@@ -107,8 +107,8 @@ def near_duplicates(docs: DataFrame, scratch: C.Scratch, similarity: float = 0.8
     an id. Extra columns are ignored; an empty table gives an empty one.
 
     Equal texts are one node. In each band bucket a centre, the document that meets most others over
-    all its buckets, is compared with those not yet in its component; further rounds take twice as
-    many new centres each, until each bucket is one component or all its documents were centres. So
+    all its buckets, is compared with those not yet in its component; further rounds take
+    16 times as many new centres each, until each bucket is one component or all its documents were centres. So
     a bucket's pairs are never listed at once, and a pair that a bucket suggests goes untested only
     when its documents are already connected.
     """
@@ -131,7 +131,7 @@ def near_duplicates(docs: DataFrame, scratch: C.Scratch, similarity: float = 0.8
             centre = now.groupBy("key").agg(F.max(F.struct("met", -F.col("rep"))).alias("c")).select("key", (-F.col("c.col2")).alias("centre"))
         else:
             rank = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("met"), "rep"))
-            centre = now.where("tried = 0").withColumn("r", rank).where(F.col("r") <= 2**k).select("key", F.col("rep").alias("centre"))
+            centre = now.where("tried = 0").withColumn("r", rank).where(F.col("r") <= 16**k).select("key", F.col("rep").alias("centre"))
         now = scratch.table(now, f"now-{k}")
         centre = scratch.table(centre.distinct(), f"centre-{k}")
         if centre.isEmpty():

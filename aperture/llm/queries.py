@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from aperture.llm.lm import op3_lm_scoring
 from aperture.llm.minhash import op9_minhash_near_dedup
+from aperture.llm.suffix import op1_suffix_array_dedup
 
-QUERIES = {"op3_lm_scoring": op3_lm_scoring, "op9_minhash_near_dedup": op9_minhash_near_dedup}
+QUERIES = {"op1_suffix_array_dedup": op1_suffix_array_dedup, "op3_lm_scoring": op3_lm_scoring, "op9_minhash_near_dedup": op9_minhash_near_dedup}
 
 ORACLE_SQL: dict[str, str] = {}
