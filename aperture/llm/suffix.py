@@ -273,26 +273,37 @@ def _cut(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             removed.append(len(data) - len(left))
             runs.append(len(gone))
             digest.append(hashlib.sha256(left).hexdigest())
-            kept.append(left if gone else None)
+            kept.append(left)
         rest = [batch.column(batch.schema.get_field_index(x)) for x in batch.schema.names if x not in ("text", "spans")]
         names = [x for x in batch.schema.names if x not in ("text", "spans")]
         yield pa.RecordBatch.from_arrays([*rest, pa.array(n), pa.array(removed), pa.array(runs), pa.array(digest), pa.array(kept, pa.binary())], [*names, "n_bytes", "n_removed", "n_spans", "kept_sha256", "left_bytes"])
 
 
-def cut_repeats(docs: DataFrame, scratch: C.Scratch, length: int = LENGTH) -> DataFrame:
-    """Per row of `docs` (doc_id, text): doc_id, n_bytes, n_removed, n_spans, kept_sha256, left_bytes (null: all bytes are left).
+def cut_repeats(docs: DataFrame, scratch: C.Scratch, length: int = LENGTH, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Per row of `docs` (doc_id, text): doc_id, n_bytes, n_removed, n_spans, kept_sha256, left_bytes.
 
     Removed is each byte of a string of `length` bytes that also begins anywhere else, in the same text
     or another. A null or empty text has no bytes; one shorter than `length` keeps all. Repeated rows
-    are copies of each other and lose all strings. Extra columns are ignored, an empty table gives
+    are copies of each other and lose all strings. Extra columns but those in `keep` are ignored, an empty table gives
     an empty one.
     """
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row"), "text")
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row"), "text", *keep)
     found = spans(base, scratch, length).withColumnRenamed("doc_id", "d").withColumnRenamed("row", "r")
     same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("row") == F.col("r"))
-    both = base.join(found, same, "left").select("doc_id", "text", "spans")
-    return both.mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, left_bytes binary")
+    both = base.join(found, same, "left").select("doc_id", "text", "spans", *keep)
+    more = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
+    return both.mapInArrow(_cut, f"doc_id long{more}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, left_bytes binary")
 
 
 def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cut_repeats(C.read(spark, sf_dir, "documents"), C.Scratch(spark, "suffix")).drop("left_bytes")
+    return cut_repeats(C.read(spark, sf_dir, "documents"), C.Scratch(spark, "suffix")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+def without_repeats(docs: DataFrame, scratch: C.Scratch) -> DataFrame:
+    """The documents with their repeated passages cut out; a character cut in two goes, and so does a document of which nothing is left."""
+    other = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
+    left = cut_repeats(docs, scratch, keep=other).where(F.octet_length("left_bytes") > 0)
+    left = left.withColumn("text", F.regexp_replace(F.make_valid_utf8(F.col("left_bytes").cast("string")), "\ufffd", ""))
+    if "n_chars" in docs.columns:
+        left = left.withColumn("n_chars", F.length("text").cast("long"))
+    return left.select(*docs.columns)
