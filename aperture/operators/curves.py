@@ -63,7 +63,7 @@ def youden(points: DataFrame, keys: list[str] = (), tolerant: bool = False) -> D
         best = p.groupBy(*keys).agg(F.max(F.struct("j", "threshold")).alias("m"), F.count_if(F.col("j").isNull()).alias("undefined"))
         return best.where("undefined = 0").select(*keys, F.col("m.threshold").alias("threshold"), F.col("m.j").alias("j"))
     all_ = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    p = p.withColumn("best", F.max("j").over(all_)).where(F.abs(F.col("j") - F.col("best")) <= 1e-8 + 1e-5 * F.abs("best"))
+    p = p.withColumns({"best": F.max("j").over(all_), "undefined": F.count_if(F.col("j").isNull()).over(all_)}).where("undefined = 0").where(F.abs(F.col("j") - F.col("best")) <= 1e-8 + 1e-5 * F.abs("best"))
     return p.groupBy(*keys).agg(F.max("threshold").alias("t"), F.max("best").alias("j")).select(*keys, F.when(F.col("t") < float("inf"), F.col("t")).alias("threshold"), "j")
 
 
