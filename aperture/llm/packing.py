@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +18,7 @@ from aperture.llm import common as C
 
 CAPACITY, END_ID, POOL = 2048, 1, 1024
 #: Words that a worker remembers before it begins anew.
-MEMORY = 1_500_000
+MEMORY = 600_000
 
 
 def best_fill(counts: dict[int, int], room: int) -> dict[int, int]:
@@ -78,28 +80,53 @@ class Packer:
 
 
 class Words(dict):
-    """The token ids of each word seen, as little-endian bytes."""
+    """The token ids of each word seen, as little-endian bytes.
+
+    Words are divided by spaces and line ends only, where the tokenizer always divides too. A printable
+    ASCII word without apostrophes divides further into letters, single digits and other characters,
+    each of which the tokenizer takes by itself; many such parts are encoded as one text.
+    """
+
+    PARTS = re.compile("[a-z]+|[0-9]|[^a-z0-9]+")
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tok = Tokenizer.from_file(path)
-
-    def learn(self, new: set[str]) -> None:
-        words = sorted(new)
-        for w, e in zip(words, self.tok.encode_batch(words, add_special_tokens=False)):
+        self.tok, self.parts = Tokenizer.from_file(path), {}
+
+    def learn(self, words: list[str]) -> None:
+        plain = {w: self.PARTS.findall(w.lower()) for w in words if w.isascii() and w.isprintable() and "'" not in w}
+        parts = sorted({x for found in plain.values() for x in found if x not in self.parts})
+        for p in range(0, len(parts), 2000):
+            some = parts[p : p + 2000]
+            e = self.tok.encode(" ".join(some), add_special_tokens=False)
+            first = 4 * np.searchsorted(np.array(e.word_ids), np.arange(len(some) + 1))
+            data = np.array(e.ids, "<u4").tobytes()
+            self.parts |= {x: data[i:j] for x, i, j in zip(some, first.tolist(), first[1:].tolist())}
+        get = self.parts.__getitem__
+        self.update({w: b"".join(map(get, found)) for w, found in plain.items()})
+        other = [w for w in words if w not in plain]
+        for w, e in zip(other, self.tok.encode_batch(other, add_special_tokens=False)):
             self[w] = np.array(e.ids, "<u4").tobytes()
 
-    def ids(self, text: str) -> bytes:
-        """Words are divided by spaces and line ends only, where the tokenizer always divides too."""
-        if "<|" in text:  # may hold the name of a special token, which the tokenizer finds before it divides words
-            return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        words = text.replace("\n", " ").split(" ")
-        try:
-            return b"".join([self[w] for w in words])
-        except KeyError:
-            self.learn({w for w in words if w not in self})
-            return b"".join([self[w] for w in words])
+    def ids(self, texts: list[str]) -> list[bytes]:
+        if len(self) > MEMORY or len(self.parts) > MEMORY:
+            self.clear()
+            self.parts.clear()
+        # a text with "<|" may hold the name of a special token, which the tokenizer finds before it divides words
+        split = [None if "<|" in x else x.replace("\n", " ").split(" ") for x in texts]
+        new: set[str] = set()
+        for words in split:
+            new.update(words or ())
+        self.learn([w for w in new if w not in self])
+        get = self.__getitem__
+        return [b"".join(map(get, words)) if words is not None else np.array(self.tok.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x, words in zip(texts, split)]
+
+
+@lru_cache(maxsize=1)
+def _words(path: str) -> Words:
+    """One for each worker process: its words stay for the tasks that it runs next."""
+    return Words(path)
 
 
 _PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -107,7 +134,7 @@ _PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 
 def _pack(path: str, capacity: int, end_id: int, pool: int):
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, packer, end = Words(path), Packer(capacity), np.array([end_id], "<u4").tobytes()
+        words, packer, end = _words(path), Packer(capacity), np.array([end_id], "<u4").tobytes()
         seq = (TaskContext.get().partitionId() << 40) - 1
         out: list[tuple] = []
 
@@ -126,11 +153,9 @@ def _pack(path: str, capacity: int, end_id: int, pool: int):
             return batch
 
         for batch in C.batches(rows, "text"):
-            texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
-            if len(words) > MEMORY:
-                words.clear()
-            for doc, text in zip(batch.column(batch.schema.get_field_index("doc_id")).to_pylist(), texts):
-                ids = words.ids(text or "") + end
+            texts = [x or "" for x in batch.column(batch.schema.get_field_index("text")).to_pylist()]
+            for doc, ids in zip(batch.column(batch.schema.get_field_index("doc_id")).to_pylist(), words.ids(texts)):
+                ids += end
                 total = len(ids) // 4
                 whole = total - total % capacity
                 for start in range(0, whole, capacity):
