@@ -85,7 +85,7 @@ def mix(docs: DataFrame, scratch: C.Scratch, weights=WEIGHTS, share: float = SHA
     slots = schedule(sources, scratch, block).withColumnsRenamed({"sid": "s3"})
     df = df.join(slots, (F.col("sid") == F.col("s3")) & (F.col("b") == F.col("block")), "left")
     lo = F.greatest("place", F.col("b") * block)
-    hi = F.least(F.col("place") + F.col("size"), F.col("b") * block + F.col("take"))
+    hi = F.when(F.col("take").isNotNull(), F.least(F.col("place") + F.col("size"), F.col("b") * block + F.col("take")))  # least() passes over nulls
     df = df.withColumn("n", F.greatest(F.coalesce(hi - lo, F.lit(0)), F.lit(0))).withColumn("at", F.when(F.col("n") > 0, lo - F.col("place")))
     keys = ["doc_id", "row", "source", "size", "source_size", "target", "place"]
     return df.groupBy(*keys, F.when(F.col("n") > 0, F.col("pass")).alias("pass")).agg(F.min("at").alias("first"), F.sum("n").cast("long").alias("words"))

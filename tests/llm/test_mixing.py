@@ -9,7 +9,7 @@ from tests.llm.oracle import canon, run_sql
 def make():
     rng = random.Random(2)
     rows = [(i, "w " * rng.choice([0, 1, 5, 300, 900]), rng.choice(["a", "b", "c", "d", None, "é"] + ["hot"] * 5)) for i in range(200)]
-    return [*rows, (300, None, "a"), (301, " \n", "a"), (302, None, "empty"), (303, "x\ty\x0bz", "b"), (304, "q " * 20000, "c")]
+    return [*rows, (300, None, "a"), (301, " \n", "a"), (302, None, "empty"), (303, "x\ty\x0bz", "b"), (304, "q " * 20000, "c"), (305, "r " * 30000, "d"), *[(400 + i, "z " * 700, "c") for i in range(40)]]
 
 
 def test_against_sql(spark, tmp_path):
