@@ -93,6 +93,20 @@ def _signatures(words: int, bands: int, rows_: int):
     return run
 
 
+def rare_shingles(sets: DataFrame, similarity: float) -> DataFrame:
+    """(key, rep, met, n, left): the shingles by which documents of `sets` (rep, met, n, grams) can find all that are similar to them.
+
+    Sets of a similarity s share s of the larger one's shingles at least, so the n - ceil(s n) + 1 rarest of
+    one and of the other meet (prefix filtering: Chaudhuri et al., 2006). Those of one document only are left out.
+    left counts the shingle and all less rare ones: no more are shared by two that meet there first (Xiao et al., 2008).
+    """
+    each = sets.withColumn("set", F.xxhash64("grams")).dropDuplicates(["rep", "set"]).select("rep", "met", "set", F.explode(F.array_distinct("grams")).alias("gram"))
+    often = each.groupBy(F.col("gram").alias("key")).agg(F.count("*").alias("often"))
+    each = each.join(often, F.col("gram") == F.col("key")).groupBy("rep", "met", "set").agg(F.sort_array(F.collect_list(F.struct("often", "gram"))).alias("all")).withColumn("n", F.size("all"))
+    first = F.slice("all", F.lit(1), (F.col("n") - F.ceil(similarity * F.col("n") - 1e-9) + 1).cast("int"))
+    return each.select("rep", "met", "n", F.posexplode(first).alias("at", "x")).where("x.often > 1").select(F.col("x.gram").cast("long").alias("key"), "rep", "met", "n", (F.col("n") - F.col("at")).alias("left"))
+
+
 def near_duplicates(docs: DataFrame, scratch: C.Scratch, similarity: float = 0.8, words: int = WORDS, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(doc_id, class_id, kept) for each row of `docs` (doc_id, text).
 
@@ -107,10 +121,12 @@ def near_duplicates(docs: DataFrame, scratch: C.Scratch, similarity: float = 0.8
     an id. Extra columns are ignored; an empty table gives an empty one.
 
     Equal texts are one node. In each band bucket a centre, the document that meets most others over
-    all its buckets, is compared with those not yet in its component; further rounds take
-    16 times as many new centres each, until each bucket is one component or all its documents were centres. So
-    a bucket's pairs are never listed at once, and a pair that a bucket suggests goes untested only
-    when its documents are already connected.
+    all its buckets, is compared with those not yet in its component. The documents of buckets that
+    are then still divided, say by a passage that many share, are dealt anew by the shingles that
+    two similar sets must share (rare_shingles), which that passage is not. Further rounds take 16 times
+    as many new centres each, until each bucket is one component or all its documents were centres.
+    So a bucket's pairs are never listed at once, and a pair that a bucket suggests goes untested
+    only when its documents are already connected or cannot be similar.
     """
     sig = scratch.table(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_signatures(words, bands, rows), _SIG), "sig")
     copies = sig.where("n > 0").groupBy("ca", "cb").agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands"))
@@ -120,13 +136,17 @@ def near_duplicates(docs: DataFrame, scratch: C.Scratch, similarity: float = 0.8
     active = scratch.table(keys.join(shared, "key").select("key", "rep", "g").distinct(), "active")
     met = active.groupBy("rep").agg(F.sum("g").alias("met"))
     sets = scratch.table(sig.join(met.select(F.col("rep").alias("doc_id"), "met"), "doc_id").select(F.col("doc_id").alias("rep"), "met", "n", "grams"), "sets")
-    active = scratch.table(active.join(sets.select("rep", "met").distinct(), "rep").select("key", "rep", "met").withColumn("tried", F.lit(0)), "met")
+    active = scratch.table(active.join(sets.select("rep", "met", "n").distinct(), "rep").select("key", "rep", "met", "n", F.col("n").alias("left")).withColumn("tried", F.lit(0)), "met")
     comp = edges = None
+    share = similarity / (1 + similarity)  # of both sets' sizes that two similar sets have in common at least
     k = 0
     while True:
-        now = active.withColumn("comp", F.col("rep")) if comp is None else active.join(comp, active.rep == comp.node, "left").select("key", "rep", "met", "tried", F.coalesce("component", "rep").alias("comp"))
-        split = now.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("tried").alias("some")).where("lo <> hi and some = 0").select("key")
-        now = now.join(split, "key")
+        if k == 1:  # what one centre a bucket has left divided
+            some = active.select(F.col("rep").alias("r")).distinct()
+            active = scratch.table(rare_shingles(sets.join(some, F.col("rep") == F.col("r"), "left_semi"), similarity).withColumn("tried", F.lit(0)), "rare")
+        now = active.withColumn("comp", F.col("rep")) if comp is None else active.join(comp, active.rep == comp.node, "left").select("key", "rep", "met", "n", "left", "tried", F.coalesce("component", "rep").alias("comp"))
+        split = now.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("tried").alias("some"), F.min("n").alias("fewest")).where("lo <> hi and some = 0").select("key", "fewest")
+        now = now.join(split, "key").where(F.col("left") >= share * (F.col("n") + F.col("fewest")) - 1e-6).drop("fewest")
         if k == 0:
             centre = now.groupBy("key").agg(F.max(F.struct("met", -F.col("rep"))).alias("c")).select("key", (-F.col("c.col2")).alias("centre"))
         else:
@@ -136,15 +156,21 @@ def near_duplicates(docs: DataFrame, scratch: C.Scratch, similarity: float = 0.8
         centre = scratch.table(centre.distinct(), f"centre-{k}")
         if centre.isEmpty():
             break
-        ours = centre.join(now.select("key", F.col("rep").alias("centre"), F.col("comp").alias("own")), ["key", "centre"])
-        pairs = now.join(ours, "key").where("comp <> own and rep <> centre").select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b")).distinct()
+        ours = centre.join(now.select("key", F.col("rep").alias("centre"), F.col("comp").alias("own"), F.col("n").alias("own_n"), F.col("left").alias("own_left")), ["key", "centre"])
+        enough = F.least("left", "own_left") >= share * (F.col("n") + F.col("own_n")) - 1e-6
+        pairs = now.join(ours, "key").where((F.col("comp") != F.col("own")) & (F.col("rep") != F.col("centre")) & enough).select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b")).distinct()
         left, right = sets.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("grams").alias("ga")), sets.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("grams").alias("gb"))
         both = pairs.join(left, "a").join(right, "b").withColumn("i", F.size(F.array_intersect("ga", "gb")))
         found = both.where(F.col("i") >= similarity * (F.col("na") + F.col("nb") - F.col("i")) - 1e-9).select("a", "b")
         found = scratch.table((found if edges is None else found.union(edges)).distinct(), f"edges-{k}")
         edges, comp = found, scratch.table(C.components(found, scratch, f"cc-{k}"), f"comp-{k}")
         done = centre.select("key", F.col("centre").alias("rep"), F.lit(1).alias("t"))
-        active = scratch.table(now.join(done, ["key", "rep"], "left").select("key", "rep", "met", F.greatest("tried", F.coalesce("t", F.lit(0))).alias("tried")), f"active-{k}")
+        active = now.join(done, ["key", "rep"], "left").select("key", "rep", "met", "n", "left", F.greatest("tried", F.coalesce("t", F.lit(0))).alias("tried"))
+        if k == 0:  # only buckets that are still divided
+            now = active.join(comp, active.rep == comp.node, "left").withColumn("comp", F.coalesce("component", "rep"))
+            divided = now.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("tried").alias("some")).where("lo <> hi and some = 0").select("key")
+            active = active.join(divided, "key", "left_semi")
+        active = scratch.table(active, f"active-{k}")
         k += 1
     out = sig.select("doc_id", "n", "ca", "cb").join(copies.select("ca", "cb", "rep"), ["ca", "cb"], "left")
     if comp is not None:

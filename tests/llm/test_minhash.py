@@ -60,6 +60,30 @@ def test_edges_of_input(spark):
     assert minhash.near_duplicates(spark.createDataFrame([], "doc_id long, text string"), C.Scratch(spark, "t")).count() == 0
 
 
+def test_buckets_of_copies_that_mostly_are_not_similar(spark):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(4))
+    base, rows = [word() for _ in range(90)], []
+    for n in range(70):
+        copy = list(base)
+        for _ in range(rng.randrange(0, 7)):
+            if rng.random() < 0.5:
+                del copy[rng.randrange(len(copy))]
+            else:
+                copy[rng.randrange(len(copy))] = word()
+        rows.append((n, " ".join(copy)))
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), C.Scratch(spark, "t")).collect()
+    want = brute(rows)
+    assert {r.doc_id: r.class_id for r in got} == want and 10 < len(set(want.values())) < 70
+
+
+def test_a_doc_id_with_two_texts_links_by_both(spark):
+    one, two = ("".join(f"{a}{k} " for k in range(40)) for a in "ab")
+    rows = [(5, one), (5, two), (6, one + "c"), (7, two + "d"), (8, one + "e f"), (9, "g " + two)]
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), C.Scratch(spark, "t")).collect()
+    assert {(r.doc_id, r.class_id) for r in got} == {(k, 5) for k in range(5, 10)} and len(got) == 6
+
+
 def test_estimates_probability_jaccard():
     rng = np.random.default_rng(1)
     a, b = np.arange(1, 121, dtype=np.uint64), np.arange(41, 161, dtype=np.uint64)
