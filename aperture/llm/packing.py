@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from bisect import bisect_left, bisect_right, insort
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
@@ -21,14 +22,17 @@ CAPACITY, END_ID, POOL = 2048, 1, 1024
 MEMORY = 600_000
 
 
-def best_fill(counts: dict[int, int], room: int) -> dict[int, int]:
+def best_fill(counts: dict[int, int], room: int, lengths: list[int] | None = None) -> dict[int, int]:
     """The multiset of the available lengths {length: how many} whose sum is closest to `room` from below.
 
     Bit s of the integer after stage k says that sum s can be made of the first k bundles; a length's
     copies go in bundles of 1, 2, 4, ..., so that a length costs few stages. Backtracking the stages gives the counts.
+    `lengths` are the keys of counts in order, if the caller has them.
     """
     bundles, stages, reach, mask = [], [], 1, (1 << (room + 1)) - 1
-    for length in sorted((x for x in counts if x <= room), reverse=True):
+    lengths = sorted(counts) if lengths is None else lengths
+    for k in range(bisect_right(lengths, room) - 1, -1, -1):
+        length = lengths[k]
         left, size = min(counts[length], room // length), 1
         while left:
             take = min(size, left)
@@ -36,9 +40,7 @@ def best_fill(counts: dict[int, int], room: int) -> dict[int, int]:
             bundles.append((length, take))
             reach |= (reach << (length * take)) & mask
             left, size = left - take, size * 2
-            if reach >> room & 1:
-                break
-        if reach >> room & 1:
+        if reach >> room:
             break
     s, chosen = reach.bit_length() - 1, Counter()
     for (length, take), before in zip(reversed(bundles), reversed(stages)):
@@ -53,21 +55,25 @@ class Packer:
 
     def __init__(self, capacity: int):
         self.capacity, self.by_length, self.size, self.total = capacity, defaultdict(list), 0, 0
+        self.counts: dict[int, int] = {}
+        self.lengths: list[int] = []  # the keys of counts in order
 
     def add(self, length: int, item) -> None:
+        if length not in self.counts:
+            insort(self.lengths, length)
+        self.counts[length] = self.counts.get(length, 0) + 1
         self.by_length[length].append(item)
         self.size, self.total = self.size + 1, self.total + length
 
+    def take(self, length: int) -> tuple:
+        self.size, self.total, self.counts[length] = self.size - 1, self.total - length, self.counts[length] - 1
+        item = self.by_length[length].pop()
+        if not self.counts[length]:
+            del self.counts[length], self.by_length[length], self.lengths[bisect_left(self.lengths, length)]
+        return length, item
+
     def window(self, room: int) -> list[tuple]:
-        chosen = best_fill({k: len(v) for k, v in self.by_length.items()}, room)
-        out = []
-        for length, n in chosen.items():
-            for _ in range(n):
-                out.append((length, self.by_length[length].pop()))
-            if not self.by_length[length]:
-                del self.by_length[length]
-            self.size, self.total = self.size - n, self.total - n * length
-        return out
+        return [self.take(length) for length, n in best_fill(self.counts, room, self.lengths).items() for _ in range(n)]
 
     def rest(self) -> Iterator[tuple[list[tuple], int]]:
         """(pieces, spare) until nothing is left; spare is what must be cut off another piece to fill the window."""
@@ -82,37 +88,45 @@ class Packer:
 class Words(dict):
     """The token ids of each word seen, as little-endian bytes.
 
-    Words are divided by spaces and line ends only, where the tokenizer always divides too. A printable
-    ASCII word without apostrophes divides further into letters, single digits and other characters,
-    each of which the tokenizer takes by itself; many such parts are encoded as one text.
+    Words are divided by spaces and line ends only, where the tokenizer always divides too. A word of
+    printable characters of ASCII without the apostrophe, and of the letters of Latin-1, divides further into
+    letters, single digits and other characters, each of which the tokenizer takes by itself; many
+    such parts are encoded as one text.
     """
 
-    PARTS = re.compile("[a-z]+|[0-9]|[^a-z0-9]+")
+    PLAIN = re.compile("[!-&(-~\u00c0-\u00ff]*")
+    PARTS = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|\n|[^a-z\u00df-\u00f6\u00f8-\u00ff0-9\n]+")
+    #: Stands between words; no vocabulary has this id.
+    MARK = b"\xff\xff\xff\xff"
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tok, self.parts = Tokenizer.from_file(path), {}
+        self.tok, self.parts = Tokenizer.from_file(path), {"\n": self.MARK}
 
     def learn(self, words: list[str]) -> None:
-        plain = {w: self.PARTS.findall(w.lower()) for w in words if w.isascii() and w.isprintable() and "'" not in w}
-        parts = sorted({x for found in plain.values() for x in found if x not in self.parts})
+        is_plain = self.PLAIN.fullmatch
+        plain = [w for w in words if is_plain(w)]
+        found = self.PARTS.findall("\n".join(plain).lower())
+        parts = list(set(found).difference(self.parts))
         for p in range(0, len(parts), 2000):
             some = parts[p : p + 2000]
             e = self.tok.encode(" ".join(some), add_special_tokens=False)
             first = 4 * np.searchsorted(np.array(e.word_ids), np.arange(len(some) + 1))
             data = np.array(e.ids, "<u4").tobytes()
             self.parts |= {x: data[i:j] for x, i, j in zip(some, first.tolist(), first[1:].tolist())}
-        get = self.parts.__getitem__
-        self.update({w: b"".join(map(get, found)) for w, found in plain.items()})
-        other = [w for w in words if w not in plain]
-        for w, e in zip(other, self.tok.encode_batch(other, add_special_tokens=False)):
-            self[w] = np.array(e.ids, "<u4").tobytes()
+        data = b"".join(map(self.parts.__getitem__, found))
+        marks = 4 * np.flatnonzero(np.frombuffer(data, "<u4") == 0xFFFFFFFF)
+        self.update((w, data[i:j]) for w, i, j in zip(plain, np.append(0, marks + 4).tolist(), np.append(marks, len(data)).tolist()))
+        if len(plain) < len(words):
+            other = [w for w in words if not is_plain(w)]
+            for w, e in zip(other, self.tok.encode_batch(other, add_special_tokens=False)):
+                self[w] = np.array(e.ids, "<u4").tobytes()
 
     def ids(self, texts: list[str]) -> list[bytes]:
         if len(self) > MEMORY or len(self.parts) > MEMORY:
             self.clear()
-            self.parts.clear()
+            self.parts = {"\n": self.MARK}
         # a text with "<|" may hold the name of a special token, which the tokenizer finds before it divides words
         split = [None if "<|" in x else x.replace("\n", " ").split(" ") for x in texts]
         new: set[str] = set()
@@ -171,11 +185,7 @@ def _pack(path: str, capacity: int, end_id: int, pool: int):
         for got, spare in packer.rest():
             seq += 1
             if spare:  # every piece left is longer: cut one
-                length = min(packer.by_length)
-                doc, start, ids, total = packer.by_length[length].pop()
-                if not packer.by_length[length]:
-                    del packer.by_length[length]
-                packer.size, packer.total = packer.size - 1, packer.total - length
+                length, (doc, start, ids, total) = packer.take(packer.lengths[0])
                 got.append((spare, (doc, start, ids[: 4 * spare], total)))
                 packer.add(length - spare, (doc, start + spare, ids[4 * spare :], total))
             window(got)

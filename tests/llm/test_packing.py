@@ -56,3 +56,15 @@ def test_round_trip(spark):
 
 def test_empty_table(spark):
     assert packing.pack(spark.createDataFrame([], "doc_id long, text string"), packing.tokenizer_path()).count() == 0
+
+
+def test_words_agree_with_the_tokenizer():
+    from tokenizers import Tokenizer
+
+    rng, tok = random.Random(2), Tokenizer.from_file(packing.tokenizer_path())
+    chars = [chr(c) for c in range(1, 0x180)] + ["İ", "ǅ", "́", "日", "ﬁ", " "]
+    texts = chars + ["".join(rng.choices(chars, k=rng.randrange(2, 30))) for _ in range(300)] + ["ÀÉß×÷ÿ", "a×b÷c", "'S'll", "1²3"]
+    texts += [" ".join(rng.choices(texts, k=40)) for _ in range(50)]
+    got = packing.Words(packing.tokenizer_path()).ids(texts)
+    for text, ids in zip(texts, got):
+        assert np.frombuffer(ids, "<u4").tolist() == tok.encode(text, add_special_tokens=False).ids, repr(text)
