@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from aperture.llm import common as C
 
 CAPACITY, END_ID, POOL = 2048, 1, 1024
-#: Words that a worker remembers before it begins anew.
-MEMORY = 600_000
+#: Words, and parts of words, that a worker remembers before it begins anew.
+MEMORY, PARTS_MEMORY = 600_000, 1_200_000
 
 
 def best_fill(counts: dict[int, int], room: int, lengths: list[int] | None = None) -> dict[int, int]:
@@ -85,7 +85,7 @@ class Packer:
             yield got, room - sum(x for x, _ in got)
 
 
-class Words(dict):
+class Words:
     """The token ids of each word seen, as little-endian bytes.
 
     Words are divided by spaces and line ends only, where the tokenizer always divides too. A word of
@@ -102,7 +102,7 @@ class Words(dict):
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tok, self.parts = Tokenizer.from_file(path), {"\n": self.MARK}
+        self.tok, self.seen, self.parts = Tokenizer.from_file(path), {}, {"\n": self.MARK}
 
     def learn(self, words: list[str]) -> None:
         is_plain = self.PLAIN.fullmatch
@@ -117,23 +117,24 @@ class Words(dict):
             self.parts |= {x: data[i:j] for x, i, j in zip(some, first.tolist(), first[1:].tolist())}
         data = b"".join(map(self.parts.__getitem__, found))
         marks = 4 * np.flatnonzero(np.frombuffer(data, "<u4") == 0xFFFFFFFF)
-        self.update((w, data[i:j]) for w, i, j in zip(plain, np.append(0, marks + 4).tolist(), np.append(marks, len(data)).tolist()))
+        self.seen.update((w, data[i:j]) for w, i, j in zip(plain, np.append(0, marks + 4).tolist(), np.append(marks, len(data)).tolist()))
         if len(plain) < len(words):
             other = [w for w in words if not is_plain(w)]
             for w, e in zip(other, self.tok.encode_batch(other, add_special_tokens=False)):
-                self[w] = np.array(e.ids, "<u4").tobytes()
+                self.seen[w] = np.array(e.ids, "<u4").tobytes()
 
     def ids(self, texts: list[str]) -> list[bytes]:
-        if len(self) > MEMORY or len(self.parts) > MEMORY:
-            self.clear()
+        if len(self.seen) > MEMORY:
+            self.seen = {}
+        if len(self.parts) > PARTS_MEMORY:
             self.parts = {"\n": self.MARK}
         # a text with "<|" may hold the name of a special token, which the tokenizer finds before it divides words
         split = [None if "<|" in x else x.replace("\n", " ").split(" ") for x in texts]
         new: set[str] = set()
         for words in split:
             new.update(words or ())
-        self.learn([w for w in new if w not in self])
-        get = self.__getitem__
+        self.learn(list(new.difference(self.seen)))
+        get = self.seen.__getitem__
         return [b"".join(map(get, words)) if words is not None else np.array(self.tok.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x, words in zip(texts, split)]
 
 
