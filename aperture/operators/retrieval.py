@@ -68,13 +68,14 @@ def modality_gap(df: DataFrame, a: str, b: str) -> DataFrame:
     return both.select(V.norm(gap).alias("centroid_l2"), (V.dot(F.col("x"), F.col("y")) / F.greatest(V.norm(F.col("x")) * V.norm(F.col("y")), F.lit(EPS))).alias("centroid_cosine"), V.norm(F.col("x")).alias("norm_a"), V.norm(F.col("y")).alias("norm_b"))
 
 
-def info_nce(df: DataFrame, scale: float) -> DataFrame:
-    """(loss, top1) of pairs (i, j, sim) of one batch: the mean of both directions' cross entropies."""
+def info_nce(df: DataFrame, scale: float, *keys: str) -> DataFrame:
+    """(keys, loss, top1) of the pairs (i, j, sim) of each batch, one batch without keys: the mean of both directions' cross entropies."""
     def one(key: str) -> DataFrame:
-        w = Window.partitionBy(key)
+        w = Window.partitionBy(*keys, key)
         z = F.col("sim") * scale
         t = df.withColumn("lse", F.max(z).over(w) + F.log(F.sum(F.exp(z)).over(w)) - F.max(z).over(w)).withColumn("top", F.max("sim").over(w))
-        return t.where("i = j").agg(F.avg(F.col("lse") - z).alias("l"), F.avg((F.col("sim") >= F.col("top")).cast("double")).alias("t"))
+        return t.where("i = j").groupBy(*keys).agg(F.avg(F.col("lse") - z).alias("l"), F.avg((F.col("sim") >= F.col("top")).cast("double")).alias("t"))
 
-    a, b = one("i").toDF("la", "ta"), one("j").toDF("lb", "tb")
-    return a.join(F.broadcast(b)).select(((F.col("la") + F.col("lb")) / 2).alias("loss"), ((F.col("ta") + F.col("tb")) / 2).alias("top1"))
+    a, b = one("i").toDF(*keys, "la", "ta"), one("j").toDF(*keys, "lb", "tb")
+    both = a.join(b, list(keys)) if keys else a.join(F.broadcast(b))
+    return both.select(*keys, ((F.col("la") + F.col("lb")) / 2).alias("loss"), ((F.col("ta") + F.col("tb")) / 2).alias("top1"))

@@ -354,8 +354,17 @@ def nearest_level(spark, d):
 
 @query("SELECT p_partkey AS k, y, x FROM (SELECT p_partkey, p_size * 100 AS h FROM part WHERE p_partkey <= 20), range(0, 100000, 256) a(y), range(0, 1024, 256) b(x) WHERE y + 256 <= h AND x + 256 <= 1000")
 def tile_grid(spark, d):
+    return _grid(I.read(spark, d, "part").where("p_partkey <= 20"))
+
+
+@query("SELECT p_partkey AS k, y, x FROM (SELECT p_partkey, p_size * 100 AS h FROM part), range(0, 100000, 256) a(y), range(0, 1024, 256) b(x) WHERE y + 256 <= h AND x + 256 <= 1000")
+def tile_grid_all(spark, d):
+    return _grid(I.read(spark, d, "part"))
+
+
+def _grid(part):
     h = F.col("p_size").cast("bigint") * 100
-    t = I.read(spark, d, "part").where("p_partkey <= 20").where(h >= 256).select(F.col("p_partkey").alias("k"), F.explode(F.sequence(F.lit(0).cast("bigint"), h - 256, F.lit(256).cast("bigint"))).alias("y"))
+    t = part.where(h >= 256).select(F.col("p_partkey").alias("k"), F.explode(F.sequence(F.lit(0).cast("bigint"), h - 256, F.lit(256).cast("bigint"))).alias("y"))
     return t.select("k", "y", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(744).cast("bigint"), F.lit(256).cast("bigint"))).alias("x"))
 
 
@@ -501,6 +510,14 @@ def info_nce(spark, d):
     return rounded(R.info_nce(both.select("i", "j", V.dot(F.col("image_emb"), F.col("text_emb")).alias("sim")), 10.0))
 
 
+@query(f"""WITH {PAIRS}, x AS (SELECT a.i // 64 AS batch, a.i, b.i AS j, list_dot_product(a.im, b.tx) AS sim FROM pq a JOIN pq b ON a.i // 64 = b.i // 64), r AS (SELECT i, ln(sum(exp(sim * 10))) AS l, max(sim) AS m FROM x GROUP BY i), c AS (SELECT j, ln(sum(exp(sim * 10))) AS l, max(sim) AS m FROM x GROUP BY j),
+p AS (SELECT batch, i, sim FROM x WHERE i = j) SELECT batch, round((avg(r.l - sim * 10) + avg(c.l - sim * 10)) / 2, 6) AS loss, round((avg((sim >= r.m)::INT) + avg((sim >= c.m)::INT)) / 2, 6) AS top1 FROM p JOIN r USING (i) JOIN c ON c.j = p.i GROUP BY batch""")
+def info_nce_batches(spark, d):
+    p = I.pairs(spark, d).withColumn("batch", F.floor(F.col("pair_index") / 64))
+    both = p.select("batch", F.col("pair_index").alias("i"), "image_emb").join(p.select("batch", F.col("pair_index").alias("j"), "text_emb"), "batch")
+    return rounded(R.info_nce(both.select("batch", "i", "j", V.dot(F.col("image_emb"), F.col("text_emb")).alias("sim")), 10.0, "batch"))
+
+
 @query(f"""WITH {PAIRS} SELECT round(avg(list_dot_product(im, tx)), 6) AS mean_cosine, round(quantile_cont(list_dot_product(im, tx), 0.05), 6) AS p05, round(stddev_pop(list_dot_product(im, tx)), 6) AS std FROM pq""")
 def feature_shift(spark, d):
     x = I.pairs(spark, d).select(*[c.alias(n) for n, c in V.shift(F.col("image_emb"), F.col("text_emb")).items()])
@@ -553,7 +570,17 @@ def locked_threshold_intervals(spark, d):
 @query("""WITH p AS (SELECT p_partkey AS k, p_size % 4 AS g, (p_partkey * 37 % 1000) / 1000.0::DOUBLE AS p FROM part WHERE p_partkey <= 200), r AS (SELECT *, least(1, (count(*) OVER (PARTITION BY g) - row_number() OVER w + 1) * p) AS s FROM p WINDOW w AS (PARTITION BY g ORDER BY p, k))
 SELECT g, k, round(p, 6) AS p, round(max(s) OVER (PARTITION BY g ORDER BY p, k ROWS UNBOUNDED PRECEDING), 6) AS p_holm FROM r""")
 def holm_correction(spark, d):
-    t = I.read(spark, d, "part").where("p_partkey <= 200").select((F.col("p_size") % 4).alias("g"), F.col("p_partkey").alias("k"), ((F.col("p_partkey") * 37 % 1000) / 1000.0).cast("double").alias("p"))
+    return _holm(I.read(spark, d, "part").where("p_partkey <= 200"))
+
+
+@query("""WITH p AS (SELECT p_partkey AS k, p_size % 4 AS g, (p_partkey * 37 % 1000) / 1000.0::DOUBLE AS p FROM part), r AS (SELECT *, least(1, (count(*) OVER (PARTITION BY g) - row_number() OVER w + 1) * p) AS s FROM p WINDOW w AS (PARTITION BY g ORDER BY p, k))
+SELECT g, k, round(p, 6) AS p, round(max(s) OVER (PARTITION BY g ORDER BY p, k ROWS UNBOUNDED PRECEDING), 6) AS p_holm FROM r""")
+def holm_correction_all(spark, d):
+    return _holm(I.read(spark, d, "part"))
+
+
+def _holm(part):
+    t = part.select((F.col("p_size") % 4).alias("g"), F.col("p_partkey").alias("k"), ((F.col("p_partkey") * 37 % 1000) / 1000.0).cast("double").alias("p"))
     return rounded(B.holm(t, "p", "g", order="k"))
 
 
