@@ -67,7 +67,7 @@ def probminhash(text: np.ndarray, item: np.ndarray, weight: np.ndarray, texts: i
 _SIG = "doc_id long, ca long, cb long, n int, bands array<long>, grams array<int>"
 
 
-def _signatures(words: int, bands: int, rows_: int):
+def _signatures(words: int, bands: int, rows_: int, carry: tuple[str, ...] = ()):
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in C.batches(rows, "text"):
             n = batch.num_rows
@@ -86,8 +86,9 @@ def _signatures(words: int, bands: int, rows_: int):
                     batch.column(batch.schema.get_field_index("doc_id")), pa.array(copies[:, 0]), pa.array(copies[:, 1]), pa.array(np.diff(off).astype(np.int32)),
                     pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(some * bands)).astype(np.int32)), pa.array(acc[some].ravel().view(np.int64))),
                     pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array((item >> np.uint64(16)).astype(np.uint32).view(np.int32))),
+                    *(batch.column(batch.schema.get_field_index(c)) for c in carry),
                 ],
-                ["doc_id", "ca", "cb", "n", "bands", "grams"],
+                ["doc_id", "ca", "cb", "n", "bands", "grams", *carry],
             )
 
     return run
@@ -107,8 +108,8 @@ def rare_shingles(sets: DataFrame, similarity: float) -> DataFrame:
     return each.select("rep", "met", "n", F.posexplode(first).alias("at", "x")).where("x.often > 1").select(F.col("x.gram").cast("long").alias("key"), "rep", "met", "n", (F.col("n") - F.col("at")).alias("left"))
 
 
-def near_duplicates(docs: DataFrame, scratch: C.Scratch, similarity: float = 0.8, words: int = WORDS, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(doc_id, class_id, kept) for each row of `docs` (doc_id, text).
+def near_duplicates(docs: DataFrame, scratch: C.Scratch, similarity: float = 0.8, words: int = WORDS, bands: int = BANDS, rows: int = ROWS, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, class_id, kept, and the columns `carry`) for each row of `docs` (doc_id, text).
 
     Texts whose shingle sets have a Jaccard similarity of `similarity` or more are linked, and
     class_id is the smallest doc_id among all reachable by links; kept marks that document.
@@ -118,7 +119,7 @@ def near_duplicates(docs: DataFrame, scratch: C.Scratch, similarity: float = 0.8
     A null or empty text, or one of spaces, links with nothing (class_id = doc_id); a text of fewer
     words than a shingle has one shingle, all its words. Rows that share a doc_id count as one
     document. A null doc_id takes the class of its exact copies, if any, and is kept only if none has
-    an id. Extra columns are ignored; an empty table gives an empty one.
+    an id. Other columns are ignored; an empty table gives an empty one.
 
     Equal texts are one node. In each band bucket a centre, the document that meets most others over
     all its buckets, is compared with those not yet in its component. The documents of buckets that
@@ -128,7 +129,9 @@ def near_duplicates(docs: DataFrame, scratch: C.Scratch, similarity: float = 0.8
     So a bucket's pairs are never listed at once, and a pair that a bucket suggests goes untested
     only when its documents are already connected or cannot be similar.
     """
-    sig = scratch.table(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_signatures(words, bands, rows), _SIG), "sig")
+    more = "".join(f", {c} {t}" for c, t in docs.dtypes if c in carry)
+    carry = tuple(c for c in docs.columns if c in carry)
+    sig = scratch.table(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *carry).mapInArrow(_signatures(words, bands, rows, carry), _SIG + more), "sig")
     copies = sig.where("n > 0").groupBy("ca", "cb").agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands"))
     copies = scratch.table(copies, "copies")
     keys = copies.where("rep is not null").select("rep", F.explode("bands").alias("key"))
@@ -172,13 +175,13 @@ def near_duplicates(docs: DataFrame, scratch: C.Scratch, similarity: float = 0.8
             active = active.join(divided, "key", "left_semi")
         active = scratch.table(active, f"active-{k}")
         k += 1
-    out = sig.select("doc_id", "n", "ca", "cb").join(copies.select("ca", "cb", "rep"), ["ca", "cb"], "left")
+    out = sig.select("doc_id", "n", "ca", "cb", *carry).join(copies.select("ca", "cb", "rep"), ["ca", "cb"], "left")
     if comp is not None:
         out = out.join(comp, out.rep == comp.node, "left")
     else:
         out = out.withColumn("component", F.lit(None).cast("long"))
     cls = F.when(F.col("n") > 0, F.coalesce("component", "rep")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", cls.alias("class_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id")))
+    return out.select("doc_id", cls.alias("class_id"), *carry).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id")))
 
 
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
