@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -25,14 +26,20 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a temporary one only where none is set, as in tests."""
+    """The folder that all executors share; a temporary one only where none is set and all runs in this process, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="aperture-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+#: Spark's own setting: the shuffle files of a query go when it has ended, not when the driver collects its garbage.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 class Scratch:
     """Tables and files in the shared folder that cut lineage; all go when Python ends, or earlier by drop()."""
 
@@ -41,14 +48,24 @@ class Scratch:
         atexit.register(self.drop)
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
-        path = f"{self.root}/{name}"
-        df.write.mode("overwrite").parquet(path)
+        """Write `df` and read it back; the shuffle files that writing took go as soon as it is done."""
+        path, before = f"{self.root}/{name}", self.spark.conf.get(_CLEANUP, "false")
+        self.spark.conf.set(_CLEANUP, "true")
+        try:
+            df.write.mode("overwrite").parquet(path)
+        finally:
+            self.spark.conf.set(_CLEANUP, before)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def folder(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def drop(self, name: str = "") -> None:
+    def drop(self, *names: str) -> None:
+        """Remove the named tables, or all."""
+        for name in names or ("",):
+            self._drop(name)
+
+    def _drop(self, name: str) -> None:
         try:
             jvm = self.spark.sparkContext._jvm
             path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
@@ -107,7 +124,7 @@ _LOWER[65:91] += 32
 
 
 def mix(x: np.ndarray) -> np.ndarray:
-    """A 64-bit finaliser (xor-shift and multiply)."""
+    """A 64-bit finaliser (xor-shift and multiply), with the fixed values of SplitMix64 (Steele, Lea and Flood, 2014)."""
     x = x ^ (x >> np.uint64(30))
     x = x * np.uint64(0xBF58476D1CE4E5B9)
     x ^= x >> np.uint64(27)

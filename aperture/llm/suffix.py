@@ -1,4 +1,4 @@
-"""Removal of repeated byte strings by a logarithmic family of sampled suffix arrays."""
+"""Removal of repeated byte strings by a logarithmic family of sampled suffix arrays in the shared folder."""
 
 from __future__ import annotations
 
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from aperture.llm import common as C
 
-LENGTH, GRAM = 200, 32
+LENGTH, GRAM, BATCHES = 200, 32, 2
 _BYTES = np.random.Generator(np.random.PCG64(77)).integers(1, 2**64, 256, np.uint64) | np.uint64(1)
 _POS = np.uint64((1 << 24) - 1)
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
@@ -68,41 +68,37 @@ def anchors(data: np.ndarray, off: np.ndarray, length: int = LENGTH, chunk: int
         p += len(m)
 
 
-class LogFamily:
-    """Sorted arrays of (gram, window hash, count), each at most half as long as the one before it.
+class Runs:
+    """A map task's share of a new suffix array: sorted runs of (prefix, gram, window hash, count), merged geometrically.
 
-    A new batch becomes a sorted array of its own, is merged with the arrays that are not longer than
-    it, and so on upwards; the scan of each merge finds the entries that both sides have. An entry is
-    written again once for each doubling, so n entries cost n log n in all.
+    Each run is at most half as long as the one before it. What comes in is sorted, merged with the runs
+    that are not longer than it, and so on upwards, so n entries cost n log n in all.
     """
 
     def __init__(self):
-        self.levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        self.matches = 0
+        self.runs: list[tuple[np.ndarray, ...]] = []
 
     @staticmethod
-    def sort(g, f, c):
-        order = np.lexsort((f, g))
-        g, f, c = g[order], f[order], c[order]
+    def sort(k, g, f, c):
+        order = np.lexsort((f, g, k))
+        k, g, f, c = k[order], g[order], f[order], c[order]
         first = np.flatnonzero(np.append(True, (g[1:] != g[:-1]) | (f[1:] != f[:-1]))) if len(g) else np.empty(0, np.int64)
-        return g[first], f[first], np.add.reduceat(c, first) if len(first) else c
+        return k[first], g[first], f[first], np.add.reduceat(c, first) if len(first) else c
 
-    def add(self, g: np.ndarray, f: np.ndarray, c: np.ndarray) -> None:
-        new = self.sort(g, f, c)
-        while self.levels and len(self.levels[-1][0]) <= 2 * len(new[0]):
-            new = self.merge(self.levels.pop(), new)
-        self.levels.append(new)
+    def add(self, *new: np.ndarray) -> None:
+        new = self.sort(*new)
+        while self.runs and len(self.runs[-1][0]) <= 2 * len(new[0]):
+            new = self.merge(self.runs.pop(), new)
+        self.runs.append(new)
 
     def merge(self, a, b):
-        out = self.sort(*(np.concatenate(x) for x in zip(a, b)))
-        self.matches += len(a[0]) + len(b[0]) - len(out[0])
-        return out
+        return self.sort(*(np.concatenate(x) for x in zip(a, b)))
 
     def whole(self):
-        while len(self.levels) > 1:
-            b, a = self.levels.pop(), self.levels.pop()
-            self.levels.append(self.merge(a, b))
-        return self.levels[0] if self.levels else (np.empty(0, np.int64),) * 3
+        while len(self.runs) > 1:
+            b, a = self.runs.pop(), self.runs.pop()
+            self.runs.append(self.merge(a, b))
+        return self.runs[0] if self.runs else (np.empty(0, np.int64),) * 4
 
 
 def _windows(data: np.ndarray, a: np.ndarray, b: np.ndarray, anchor: np.ndarray, length: int) -> np.ndarray:
@@ -113,6 +109,12 @@ def _windows(data: np.ndarray, a: np.ndarray, b: np.ndarray, anchor: np.ndarray,
     return C.mix(got ^ ((anchor - a).astype(np.uint64) * _ODD[0]))
 
 
+def _prefix(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The first eight bytes of the suffixes that begin at `at`, as signed numbers in the order of the bytes."""
+    got = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(data, 8)[at]).view(">u8").ravel()
+    return (got.astype(np.uint64) ^ np.uint64(1 << 63)).view(np.int64)
+
+
 def _sampled(rows: Iterator[pa.RecordBatch], length: int):
     for batch in C.batches(rows, "text", 4 << 20):
         data, off = C.bytes_of(batch.column(batch.schema.get_field_index("text")))
@@ -120,18 +122,21 @@ def _sampled(rows: Iterator[pa.RecordBatch], length: int):
             yield batch, data, off, text, anchor, a, b, gram
 
 
-def _classes(length: int):
+_ENTRY = "k long, g long, f long, c long"
+
+
+def _entries(length: int):
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = LogFamily()
+        own = Runs()
 
         def out():
             for p in range(0, len((x := own.whole())[0]), 50_000):
-                yield pa.RecordBatch.from_arrays([pa.array(v[p : p + 50_000]) for v in x], ["g", "f", "c"])
-            own.levels.clear()
+                yield pa.RecordBatch.from_arrays([pa.array(v[p : p + 50_000]) for v in x], ["k", "g", "f", "c"])
+            own.runs.clear()
 
         n = 0
         for _, data, _, _, anchor, a, b, gram in _sampled(rows, length):
-            own.add(gram.view(np.int64), _windows(data, a, b, anchor, length).view(np.int64), np.ones(len(a), np.int64))
+            own.add(_prefix(data, anchor), gram.view(np.int64), _windows(data, a, b, anchor, length).view(np.int64), np.ones(len(a), np.int64))
             if (n := n + len(a)) > 2_000_000:
                 yield from out()
                 n = 0
@@ -140,22 +145,70 @@ def _classes(length: int):
     return run
 
 
-def _index(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The states of a partition's entries: 1 repeated, 2 seen once beside other windows at the same gram, 3 both."""
-    family = LogFamily()
-    for batch in rows:
-        family.add(*(np.asarray(batch.column(k)) for k in range(3)))
-    g, f, c = family.whole()
-    if not len(g):
-        return
-    new = np.append(True, g[1:] != g[:-1])
-    group = np.cumsum(new) - 1
-    kinds, single = np.bincount(group), np.bincount(group, c == 1)
-    state = np.where(c > 1, np.where(single[group] > 0, 3, 1), np.where(kinds[group] > 1, 2, 0))
-    keep = np.flatnonzero(state)
-    for p in range(0, len(keep), 50_000):
-        k = keep[p : p + 50_000]
-        yield pa.RecordBatch.from_arrays([pa.array(g[k]), pa.array(f[k]), pa.array(state[k].astype(np.int32))], ["g", "f", "state"])
+class SuffixIndex:
+    """A logarithmic family of sampled suffix arrays, its levels tables in the shared folder.
+
+    A level holds the sampled suffixes of all batches merged into it: (k, g, f, c), sorted by k, the
+    first eight bytes of the suffix, then by fingerprints of its first 32 bytes (g) and of all the
+    windows that it stands for (f); c counts equal ones. A new batch gets a suffix array of its own,
+    which can be merge-scanned against the levels for long matches (matches), and becomes the
+    smallest level (add); a level that is not over twice as long as the one after it is merged with
+    it, so there are at most log n levels and an entry is written again log n times.
+
+    Levels are dealt by (g, f), so that a gram with very many contexts is spread; equal contexts
+    are counted in map tasks first.
+    """
+
+    def __init__(self, scratch: C.Scratch, length: int = LENGTH):
+        self.scratch, self.length, self.made = scratch, length, 0
+        self.levels: list[tuple[int, str, DataFrame]] = []  # entries, name, table; the longest first
+
+    def _write(self, df: DataFrame) -> tuple[int, str, DataFrame]:
+        name, self.made = f"level-{self.made}", self.made + 1
+        whole = df.groupBy("k", "g", "f").agg(F.sum("c").alias("c")).sortWithinPartitions("k", "g", "f")
+        table = self.scratch.table(whole, name)
+        return table.count(), name, table
+
+    def _array(self, docs: DataFrame) -> DataFrame:
+        return docs.select("text").mapInArrow(_entries(self.length), _ENTRY)
+
+    def add(self, docs: DataFrame) -> None:
+        """The suffix array of a batch (text) joins the family."""
+        new = self._write(self._array(docs))
+        while self.levels and self.levels[-1][0] <= 2 * new[0]:
+            old = self.levels.pop()
+            merged = self._write(old[2].union(new[2]))
+            self.scratch.drop(old[1], new[1])
+            new = merged
+        self.levels.append(new)
+
+    def whole(self) -> DataFrame:
+        """The entries of all levels, equal ones as one."""
+        tables = [t for _, _, t in self.levels]
+        out = tables[0]
+        for t in tables[1:]:
+            out = out.union(t)
+        return out if len(tables) == 1 else out.groupBy("k", "g", "f").agg(F.sum("c").alias("c"))
+
+    def matches(self, docs: DataFrame) -> DataFrame:
+        """(id, row, a, e, whole) of a new batch (id, row, text), before it is added: its stretches that meet a level.
+
+        whole: all of [a, e) is in an older text, else only its anchor's gram is known to be.
+        """
+        places = docs.mapInArrow(_places(self.length), _PLACE)
+        old = self.whole()
+        met = places.join(old.select("g").distinct(), "g", "left_semi").join(old.select("g", "f", F.lit(True).alias("same")), ["g", "f"], "left")
+        return met.select("id", "row", "a", (F.col("b") + self.length).alias("e"), F.coalesce("same", F.lit(False)).alias("whole"))
+
+    def states(self) -> DataFrame:
+        """(g, f, state) of the entries that something meets: 1 repeated, 2 seen once beside others at the same gram, 3 both."""
+        all_ = self.whole()
+        kinds = all_.groupBy("g").agg(F.count("*").alias("kinds"), F.sum("c").alias("n"), F.count_if(F.col("c") == 1).alias("single")).where("n > 1").select(F.col("g").alias("g2"), "kinds", "single")
+        state = F.when(F.col("c") > 1, F.when(F.col("single") > 0, 3).otherwise(1)).otherwise(2)
+        return all_.join(kinds, F.col("g") == F.col("g2")).select("g", "f", state.cast("int").alias("state"))
+
+
+_PLACE = "id long, row long, a int, b int, m int, g long, f long"
 
 
 def _places(length: int):
@@ -163,7 +216,7 @@ def _places(length: int):
         for batch, data, off, text, anchor, a, b, gram in _sampled(rows, length):
             take = lambda name: batch.column(batch.schema.get_field_index(name)).take(pa.array(text))
             f = _windows(data, a, b, anchor, length)
-            yield pa.RecordBatch.from_arrays([take("doc_id"), take("row"), *(pa.array(x) for x in (a - off[text], b - off[text], anchor - off[text], gram.view(np.int64), f.view(np.int64)))], ["doc_id", "row", "a", "b", "m", "g", "f"])
+            yield pa.RecordBatch.from_arrays([take("id"), take("row"), *(pa.array((x - off[text]).astype(np.int32)) for x in (a, b, anchor)), pa.array(gram.view(np.int64)), pa.array(f.view(np.int64))], ["id", "row", "a", "b", "m", "g", "f"])
 
     return run
 
@@ -177,7 +230,7 @@ def _pieces(length: int):
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
-            for doc, row, data, spans in zip(*(batch.column(batch.schema.get_field_index(x)).to_pylist() for x in ("doc_id", "row", "text", "spans"))):
+            for doc, row, data, spans in zip(*(batch.column(batch.schema.get_field_index(x)).to_pylist() for x in ("id", "row", "text", "spans"))):
                 data = (data or "").encode()
                 out: list[tuple] = []
                 for s in spans:
@@ -189,7 +242,7 @@ def _pieces(length: int):
                         left = (m - k * RUN) - lo
                         out.append((doc, row, lo, hi, int.from_bytes(key[:8], "little", signed=True), int.from_bytes(key[8:], "little", signed=True), left, data[lo : m - k * RUN] + data[core.stop : hi + length]))
                 if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), [*[pa.int64()] * 7, pa.binary()])], ["doc_id", "row", "lo", "hi", "k1", "k2", "left", "rim"])
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), [*[pa.int64()] * 7, pa.binary()])], ["id", "row", "lo", "hi", "k1", "k2", "left", "rim"])
 
     return run
 
@@ -197,9 +250,9 @@ def _pieces(length: int):
 def _rims(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each window of a piece as a hash of the piece's key and the bytes around the common ones."""
     for batch in rows:
-        doc, row, lo, hi, k1, k2, left = (np.asarray(batch.column(batch.schema.get_field_index(x)).fill_null(-1)) for x in ("doc_id", "row", "lo", "hi", "k1", "k2", "left"))
+        row, lo, hi, k1, k2, left = (np.asarray(batch.column(batch.schema.get_field_index(x))) for x in ("row", "lo", "hi", "k1", "k2", "left"))
         rim = batch.column(batch.schema.get_field_index("rim")).to_pylist()
-        docs = batch.column(batch.schema.get_field_index("doc_id"))
+        ids = batch.column(batch.schema.get_field_index("id"))
         take, at, h1 = [], [], []
         for i in range(len(lo)):
             for p in range(lo[i], hi[i] + 1):
@@ -210,46 +263,47 @@ def _rims(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 h1.append(xxhash.xxh3_64_intdigest(rim[i][d : left[i] + RUN - 1 - n], int(k1[i]) & 0xFFFFFFFF))
         t = np.array(take, np.int64)
         h = C.mix(np.array(h1, np.uint64) ^ k2[t].view(np.uint64)) + np.array([left[i] - (p - lo[i]) for i, p in zip(take, at)], np.uint64)
-        yield pa.RecordBatch.from_arrays([docs.take(pa.array(t)), pa.array(row[t]), pa.array(np.array(at, np.int64)), pa.array(k1[t]), pa.array(h.view(np.int64))], ["doc_id", "row", "at", "k1", "h"])
+        yield pa.RecordBatch.from_arrays([ids.take(pa.array(t)), pa.array(row[t]), pa.array(np.array(at, np.int64)), pa.array(k1[t]), pa.array(h.view(np.int64))], ["id", "row", "at", "k1", "h"])
 
 
-def spans(docs: DataFrame, scratch: C.Scratch, length: int = LENGTH) -> DataFrame:
-    """(doc_id, row, spans) of the documents that have bytes to remove; a span [a, e) is within its text.
+def spans(docs: DataFrame, scratch: C.Scratch, length: int = LENGTH, batches: int = BATCHES) -> DataFrame:
+    """(id, row, spans) of the documents that have bytes to remove; a span [a, e) is within its text.
 
-    `docs` has doc_id, row (a hash of the text, so that a reused doc_id does no harm) and text.
+    `docs` has id, row (a hash of the text; rows of one id and hash are equal texts) and text.
 
-    First the index: map tasks and then, for each partition of the grams, one log family merge the
-    sampled suffixes; entries are (gram at the anchor, hash of all the windows that it stands for).
-    An entry found twice marks all its windows. Sorted by these fingerprints, not by bytes: only
-    equal beginnings matter here. Then the exact rest: an entry found once beside others at the same
-    gram may still share some windows with them. Its windows are compared in runs of 32 by the bytes
-    that the run has in common (an edit there settles them at once), and what is left window by window.
+    First the index: the documents join it in `batches`, and entries found twice mark all their windows.
+    Then the exact rest: an entry found once beside others at the same gram may still share some
+    windows with them. Its windows are compared in runs of 32 by the bytes that the run has in common
+    (an edit there settles them at once), and what is left window by window.
+    Each intermediate table goes once it has been used; the result is a table of spans alone.
     """
-    docs = docs.select("doc_id", "row", "text")
-    entries = docs.select("text").mapInArrow(_classes(length), "g long, f long, c long")
-    parts = max(16, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    states = scratch.table(entries.repartition(parts, "g").mapInArrow(_index, "g long, f long, state int"), "states")
-    places = docs.mapInArrow(_places(length), "doc_id long, row long, a long, b long, m long, g long, f long")
-    hits = scratch.table(places.join(states, ["g", "f"]), "hits")
-    sure = hits.where("state <> 2").select("doc_id", "row", "a", "b")
-    one = hits.where("state = 3").groupBy("g", "f").agg(F.min(F.struct("doc_id", "row", "a", "b", "m")).alias("x")).select("x.*", "g")
-    open_ = hits.where("state = 2").select("doc_id", "row", "a", "b", "m", "g").union(one)
-    lists = open_.groupBy("doc_id", "row").agg(F.collect_set(F.struct("a", "b", "m", "g")).alias("spans")).withColumnRenamed("doc_id", "d").withColumnRenamed("row", "r")
-    same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("row") == F.col("r"))
-    pieces = docs.join(lists, same).select("doc_id", "row", "text", "spans").mapInArrow(_pieces(length), "doc_id long, row long, lo long, hi long, k1 long, k2 long, left long, rim binary")
+    docs = docs.select("id", "row", "text")
+    index = SuffixIndex(scratch, length)
+    for k in range(batches):
+        index.add(docs.where(F.pmod("row", F.lit(batches)) == k))
+    states = scratch.table(index.states(), "states")
+    scratch.drop(*[name for _, name, _ in index.levels])
+    hits = scratch.table(docs.mapInArrow(_places(length), _PLACE).join(states, ["g", "f"]).select("id", "row", "a", "b", "m", "g", "state", F.when(F.col("state") == 3, F.col("f")).alias("f")), "hits")
+    scratch.drop("states")
+    sure = hits.where("state <> 2").select("id", "row", "a", "b")
+    one = hits.where("state = 3").groupBy("g", "f").agg(F.min(F.struct("id", "row", "a", "b", "m")).alias("x")).select("x.*", "g")
+    open_ = hits.where("state = 2").select("id", "row", "a", "b", "m", "g").union(one)
+    lists = open_.groupBy(F.col("id").alias("i2"), F.col("row").alias("r2")).agg(F.collect_set(F.struct("a", "b", "m", "g")).alias("spans"))
+    pieces = docs.join(lists, (F.col("id") == F.col("i2")) & (F.col("row") == F.col("r2"))).select("id", "row", "text", "spans").mapInArrow(_pieces(length), "id long, row long, lo long, hi long, k1 long, k2 long, left long, rim binary")
     pieces = scratch.table(pieces.distinct(), "pieces")
     shared = pieces.groupBy("k1", "k2").agg(F.count("*").alias("n")).where("n > 1").select("k1", "k2")
-    equal = pieces.groupBy("k1", "k2", "left", "rim").agg(F.count("*").alias("n"))
+    some = scratch.table(pieces.join(shared, ["k1", "k2"]), "some")
+    scratch.drop("pieces")
     # a piece as a whole equal to another's is settled; of such pieces one stays to be compared with the others
-    some = pieces.join(shared, ["k1", "k2"])
-    whole = some.join(equal.where("n > 1").select("k1", "k2", "left", "rim"), ["k1", "k2", "left", "rim"]).select("doc_id", "row", F.col("lo").alias("a"), F.col("hi").alias("b"))
-    rest = some.groupBy("k1", "k2", "left", "rim").agg(F.min(F.struct("doc_id", "row", "lo", "hi")).alias("x")).select("x.*", "k1", "k2", "left", "rim")
-    windows = rest.mapInArrow(_rims, "doc_id long, row long, at long, k1 long, h long")
-    windows = scratch.table(windows, "windows")
+    equal = some.groupBy("k1", "k2", "left", "rim").agg(F.count("*").alias("n"), F.min(F.struct("id", "row", "lo", "hi")).alias("x"))
+    whole = some.join(equal.where("n > 1").select("k1", "k2", "left", "rim"), ["k1", "k2", "left", "rim"]).select("id", "row", F.col("lo").alias("a"), F.col("hi").alias("b"))
+    windows = scratch.table(equal.select("x.*", "k1", "k2", "left", "rim").mapInArrow(_rims, "id long, row long, at long, k1 long, h long"), "windows")
     twice = windows.groupBy("k1", "h").agg(F.count("*").alias("n")).where("n > 1").select("k1", "h")
-    single = windows.join(twice, ["k1", "h"]).select("doc_id", "row", F.col("at").alias("a"), F.col("at").alias("b"))
+    single = windows.join(twice, ["k1", "h"]).select("id", "row", F.col("at").alias("a"), F.col("at").alias("b"))
     every = sure.union(whole).union(single)
-    return every.groupBy("doc_id", "row").agg(F.collect_list(F.struct("a", (F.col("b") + length).alias("e"))).alias("spans"))
+    out = scratch.table(every.groupBy("id", "row").agg(F.collect_set(F.struct("a", (F.col("b") + length).cast("long").alias("e"))).alias("spans")), "spans")
+    scratch.drop("hits", "some", "windows")
+    return out
 
 
 def _merged(found) -> list[tuple[int, int]]:
@@ -266,33 +320,36 @@ def _cut(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in rows:
         n, removed, runs, digest, kept = [], [], [], [], []
         for data, found in zip(*(batch.column(batch.schema.get_field_index(x)).to_pylist() for x in ("text", "spans"))):
-            data = (data or "").encode()
-            gone = _merged(found)
+            none, data, gone = data is None, (data or "").encode(), _merged(found)
             left = b"".join(data[i:j] for i, j in zip([0, *(e for _, e in gone)], [*(a for a, _ in gone), len(data)]))
             n.append(len(data))
             removed.append(len(data) - len(left))
             runs.append(len(gone))
             digest.append(hashlib.sha256(left).hexdigest())
-            kept.append(left)
-        rest = [batch.column(batch.schema.get_field_index(x)) for x in batch.schema.names if x not in ("text", "spans")]
-        names = [x for x in batch.schema.names if x not in ("text", "spans")]
-        yield pa.RecordBatch.from_arrays([*rest, pa.array(n), pa.array(removed), pa.array(runs), pa.array(digest), pa.array(kept, pa.binary())], [*names, "n_bytes", "n_removed", "n_spans", "kept_sha256", "left_bytes"])
+            kept.append(None if none else left)
+        yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("more")), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(digest, pa.string()), pa.array(kept, pa.binary())], ["more", "n_bytes", "n_removed", "n_spans", "kept_sha256", "left_bytes"])
+
+
+def _cuts(docs: DataFrame, scratch: C.Scratch, length: int, batches: int) -> DataFrame:
+    """more (all columns of `docs` as one struct, so that no name can clash), n_bytes, n_removed, n_spans, kept_sha256, left_bytes."""
+    # rows without a doc_id are told apart by 128 bits of their text
+    base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(F.lit(1), "text")).alias("id"), F.xxhash64("text").alias("row"), "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("more"))
+    found = spans(base, scratch, length, batches).select(F.col("id").alias("i2"), F.col("row").alias("r2"), "spans")
+    both = base.join(found, (F.col("id") == F.col("i2")) & (F.col("row") == F.col("r2")), "left").select("text", "spans", "more")
+    return both.mapInArrow(_cut, f"more {base.schema['more'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, left_bytes binary")
 
 
-def cut_repeats(docs: DataFrame, scratch: C.Scratch, length: int = LENGTH, keep: tuple[str, ...] = ()) -> DataFrame:
+def cut_repeats(docs: DataFrame, scratch: C.Scratch, length: int = LENGTH, batches: int = BATCHES) -> DataFrame:
     """Per row of `docs` (doc_id, text): doc_id, n_bytes, n_removed, n_spans, kept_sha256, left_bytes.
 
     Removed is each byte of a string of `length` bytes that also begins anywhere else, in the same text
-    or another. A null or empty text has no bytes; one shorter than `length` keeps all. Repeated rows
-    are copies of each other and lose all strings. Extra columns but those in `keep` are ignored, an empty table gives
-    an empty one.
+    or another. A null or empty text has no bytes (left_bytes is null where text is); one shorter than `length` keeps all. Repeated rows
+    are copies of each other and lose all strings of `length` bytes or more, and so do rows that share a
+    doc_id, or have none, if their texts are equal. Extra columns are ignored, whatever their names; an
+    empty table gives an empty one.
     """
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row"), "text", *keep)
-    found = spans(base, scratch, length).withColumnRenamed("doc_id", "d").withColumnRenamed("row", "r")
-    same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("row") == F.col("r"))
-    both = base.join(found, same, "left").select("doc_id", "text", "spans", *keep)
-    more = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return both.mapInArrow(_cut, f"doc_id long{more}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, left_bytes binary")
+    got = _cuts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), scratch, length, batches)
+    return got.select("more.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "left_bytes")
 
 
 def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -300,10 +357,14 @@ def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def without_repeats(docs: DataFrame, scratch: C.Scratch) -> DataFrame:
-    """The documents with their repeated passages cut out; a character cut in two goes, and so does a document of which nothing is left."""
-    other = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
-    left = cut_repeats(docs, scratch, keep=other).where(F.octet_length("left_bytes") > 0)
-    left = left.withColumn("text", F.regexp_replace(F.make_valid_utf8(F.col("left_bytes").cast("string")), "\ufffd", ""))
+    """The documents with their repeated passages cut out, all other columns as they are.
+
+    A character cut in two goes, and so does a document of which nothing is left, if it had text; one
+    whose text was null or empty stays. n_chars, where there is one, becomes the new length.
+    """
+    left = _cuts(docs, scratch, LENGTH, BATCHES).where((F.octet_length("left_bytes") > 0) | (F.col("n_bytes") == 0))
+    text = F.regexp_replace(F.make_valid_utf8(F.col("left_bytes").cast("string")), "\ufffd", "")
+    new = {"text": text}
     if "n_chars" in docs.columns:
-        left = left.withColumn("n_chars", F.length("text").cast("long"))
-    return left.select(*docs.columns)
+        new["n_chars"] = F.length(text).cast(docs.schema["n_chars"].dataType)
+    return left.select(*[new.get(c, F.col(f"more.`{c}`")).alias(c) for c in docs.columns])

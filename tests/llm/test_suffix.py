@@ -49,13 +49,78 @@ def test_empty_table(spark):
     assert suffix.cut_repeats(spark.createDataFrame([], "doc_id long, text string"), C.Scratch(spark, "t")).count() == 0
 
 
-def test_levels_halve():
+def passages(seed):
+    rng = random.Random(seed)
+    text = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    shared = [text(rng.randrange(210, 900)) for _ in range(6)]
+    return [(i, text(rng.randrange(0, 300)) + (s := rng.choice(shared))[rng.randrange(0, 60) :] + text(rng.randrange(0, 300))) for i in range(60)]
+
+
+def indexed(spark, rows):
+    from pyspark.sql import functions as F
+
+    return spark.createDataFrame(rows, "id long, text string").withColumn("row", F.xxhash64("text"))
+
+
+def test_runs_halve():
     import numpy as np
 
-    family = suffix.LogFamily()
+    family = suffix.Runs()
     rng = np.random.default_rng(0)
     for _ in range(33):
-        family.add(rng.integers(0, 50, 100), rng.integers(0, 50, 100), np.ones(100, np.int64))
-        sizes = [len(x[0]) for x in family.levels]
+        g = rng.integers(0, 50, 100)
+        family.add(g >> 3, g, rng.integers(0, 50, 100), np.ones(100, np.int64))
+        sizes = [len(x[0]) for x in family.runs]
+        assert all(b * 2 < a for a, b in zip(sizes, sizes[1:]))
+    k, g, f, c = family.whole()
+    assert c.sum() == 3300 and sorted(zip(k, g, f)) == list(zip(k, g, f)) and len(set(zip(g, f))) == len(g)
+
+
+def test_added_batches(spark):
+    """Levels written earlier are in the shared folder, a new batch meets them, and the family as a whole is that of one batch."""
+    rows = passages(3)
+    index = suffix.SuffixIndex(C.Scratch(spark, "t"))
+    for k in range(0, 48, 8):
+        index.add(indexed(spark, rows[k : k + 8]))
+        sizes = [n for n, _, _ in index.levels]
         assert all(b * 2 < a for a, b in zip(sizes, sizes[1:]))
-    assert family.whole()[2].sum() == 3300 and family.matches > 0
+    new, old = rows[48:] + [(99, rows[3][1])], [t for _, t in rows[:48]]
+    for r in index.matches(indexed(spark, new)).where("whole").collect():
+        assert any(dict(new)[r.id][r.a : r.e] in t for t in old) and r.e - r.a >= 200
+    got = {(r.id, p) for r in index.matches(indexed(spark, new)).collect() for p in range(r.a, r.e - 199)}
+    grams = {t[p : p + 200] for t in old for p in range(len(t) - 199)}
+    assert {(i, p) for i, t in new for p in range(len(t) - 199) if t[p : p + 200] in grams} <= got  # no long match is missed
+    index.add(indexed(spark, new))
+    one = suffix.SuffixIndex(C.Scratch(spark, "t"))
+    one.add(indexed(spark, rows[:48] + new))
+    assert sorted(index.whole().collect()) == sorted(one.whole().collect())
+    level = index.levels[0][2].collect()
+    assert [r.k for r in level] and sum(r.c for r in index.whole().collect()) > len(level)
+
+
+def test_batches_do_not_matter(spark):
+    rows = passages(4)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for n in (1, 3):
+        got = suffix.cut_repeats(docs, C.Scratch(spark, "t"), batches=n).collect()
+        assert sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == brute(rows)
+
+
+CLASH = ["id", "row", "spans", "more", "a", "b", "d", "r", "i2", "r2", "n_bytes", "left_bytes", "k1", "g"]
+
+
+def test_stage_keeps_rows_and_clashing_columns(spark):
+    rows = passages(5)[:20]
+    rows += [(None, rows[2][1]), (None, None), (7, ""), (7, None), (None, "q" * 150), (3, rows[3][1])]
+    docs = spark.createDataFrame([(i, t, 0 if t is None else len(t), *range(len(CLASH))) for i, t in rows], "doc_id long, text string, n_chars int, " + ", ".join(f"`{c}` int" for c in CLASH))
+    got = suffix.without_repeats(docs, C.Scratch(spark, "t"))
+    assert got.schema == docs.schema
+    want = []
+    gone = {(d, sha) for d, *_, sha in brute(rows)}
+    for i, t in rows:
+        x, data = [r for r in brute(rows) if r[0] == str(i) and r[1] == len((t or "").encode())], (t or "").encode()
+        if t is None or not data or x[0][2] < len(data):
+            want.append((str(i), x[0][4]))
+    got = got.collect()
+    assert sorted((str(r.doc_id), hashlib.sha256((r.text or "").encode()).hexdigest()) for r in got) == sorted(want) and {x for x in want} <= gone
+    assert sum(r.text is None for r in got) == 2 and all(r.n_chars == len(r.text or "") or r.text is None for r in got) and all([r[c] for c in CLASH] == list(range(len(CLASH))) for r in got)
