@@ -45,6 +45,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        self.names: set[str] = set()
         atexit.register(self.drop)
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
@@ -55,15 +56,28 @@ class Scratch:
             df.write.mode("overwrite").parquet(path)
         finally:
             self.spark.conf.set(_CLEANUP, before)
+        self.names.add(name)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def folder(self, name: str) -> str:
         return f"{self.root}/{name}"
 
+    def last(self, df: DataFrame, name: str, *also: str) -> DataFrame:
+        """Write `df` as a table; all others of this scratch go, but those in `also`."""
+        out = self.table(df, name)
+        self.only(name, *also)
+        return out
+
+    def only(self, *names: str) -> None:
+        """Remove all tables but the named ones."""
+        for name in self.names - set(names):
+            self.drop(name)
+
     def drop(self, *names: str) -> None:
         """Remove the named tables, or all."""
         for name in names or ("",):
             self._drop(name)
+            self.names.discard(name)
 
     def _drop(self, name: str) -> None:
         try:
@@ -190,15 +204,15 @@ def word_hashes(data: np.ndarray, off: np.ndarray, lower: bool = False, chunk: i
     return mix(np.concatenate(out)), np.searchsorted(np.concatenate(firsts), off, "left")
 
 
-def batches(rows: Iterator[pa.RecordBatch], column: str, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of about `most` bytes of text at most; one longer text is a batch of its own."""
+def batches(rows: Iterator[pa.RecordBatch], column: str, most: int = 8 << 20, rows_most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about `most` bytes of text and of `rows_most` rows at most; one longer text is a batch of its own."""
     for batch in rows:
         if not batch.num_rows:
             continue
         _, off = bytes_of(batch.column(batch.schema.get_field_index(column)))
         p = 0
         while p < batch.num_rows:
-            q = max(p + 1, int(np.searchsorted(off, off[p] + most, "right")) - 1)
+            q = min(p + rows_most, max(p + 1, int(np.searchsorted(off, off[p] + most, "right")) - 1))
             yield batch.slice(p, q - p)
             p = q
 

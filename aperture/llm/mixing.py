@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from aperture.llm import common as C
 
 WEIGHTS, SHARE, REPEAT = (5, 2, 1), 1.5, 2
-BLOCK, SPREAD, CELLS = 256, 4096, 4096
+BLOCK, SPREAD, CELLS = 256, 1024, 4096
 GOLDEN = 0.6180339887498949
 
 
@@ -64,11 +64,11 @@ def schedule(sources: DataFrame, scratch: C.Scratch, block: int = BLOCK) -> Data
 
 
 def mix(docs: DataFrame, scratch: C.Scratch, weights=WEIGHTS, share: float = SHARE, repeat: float = REPEAT, block: int = BLOCK) -> DataFrame:
-    """(doc_id, row, source, size, source_size, target, place, pass, first, words) of the mix of `docs` (doc_id, source, size, row).
+    """(doc_id, row, source, size, source_size, target, place, pass, first, words, slot) of the mix of `docs` (doc_id, source, size, row).
 
     A source's documents, in the order of the MD5 of their ids, are one row of words, cut into blocks of
     `block`; a document has a result row for each pass that takes words of it (`words` from word `first`
-    on), and one of zero words and null pass if none does. place tells rows of the same document apart.
+    on, the first of them in slot `slot` of the schedule), and one of zero words, null pass and null slot if none does. place tells rows of the same document apart.
 
     A null source is one of its own and comes last. Documents without words take nothing, and an
     empty table gives an empty one. Repeated rows are documents of their own. Reruns agree.
@@ -88,29 +88,40 @@ def mix(docs: DataFrame, scratch: C.Scratch, weights=WEIGHTS, share: float = SHA
     hi = F.when(F.col("take").isNotNull(), F.least(F.col("place") + F.col("size"), F.col("b") * block + F.col("take")))  # least() passes over nulls
     df = df.withColumn("n", F.greatest(F.coalesce(hi - lo, F.lit(0)), F.lit(0))).withColumn("at", F.when(F.col("n") > 0, lo - F.col("place")))
     keys = ["doc_id", "row", "source", "size", "source_size", "target", "place"]
-    return df.groupBy(*keys, F.when(F.col("n") > 0, F.col("pass")).alias("pass")).agg(F.min("at").alias("first"), F.sum("n").cast("long").alias("words"))
+    return df.groupBy(*keys, F.when(F.col("n") > 0, F.col("pass")).alias("pass")).agg(F.min("at").alias("first"), F.sum("n").cast("long").alias("words"), F.min(F.when(F.col("n") > 0, F.col("slot"))).alias("slot"))
 
 
-def _sized(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row"), F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("size"))
+def _sized(docs: DataFrame, row: Column) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), row.alias("row"), F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("size"))
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = mix(_sized(C.read(spark, sf_dir, "documents")), C.Scratch(spark, "mix"))
-    return got.groupBy("doc_id", "row", "size", "source_size", "target", "source", "place").agg(F.sum("words").alias("taken")).select("doc_id", "size", "source_size", "target", "taken")
+    """Also first_slot: the slot of the schedule in which words of the document are first taken, null if none are."""
+    got = mix(_sized(C.read(spark, sf_dir, "documents"), F.xxhash64("text")), C.Scratch(spark, "mix"))
+    return got.groupBy("doc_id", "row", "size", "source_size", "target", "source", "place").agg(F.sum("words").alias("taken"), F.min("slot").alias("first_slot")).select("doc_id", "size", "source_size", "target", "taken", "first_slot")
 
 
 def mixed_documents(docs: DataFrame, scratch: C.Scratch) -> DataFrame:
-    """The mix as documents: a row for each pass that takes words, whole if all, else those words divided by single spaces."""
-    got = mix(_sized(docs), scratch).where("words > 0").select(F.col("doc_id").alias("d"), F.col("row").alias("r"), "size", "first", "words")
-    base = docs.withColumn("__row", F.xxhash64("text")).dropDuplicates(["doc_id", "__row"])
-    both = base.join(got, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("__row") == F.col("r")))
-    words = F.split(F.btrim("text", F.lit(C.SPACES)), C.SPACE_CLASS + "+")
+    """The mix as documents in the order of the schedule: a row for each pass that takes words, whole if all, else those words divided by single spaces.
+
+    Rows are told apart by a number, so equal ones are documents of their own; other columns go along as they are.
+    Slots are of one size, so equal ranges of them make even partitions, in order.
+    """
+    part = lambda c: F.col(f"row.`{c}`") if c in docs.columns else F.lit(None).cast("string")
+    base = scratch.table(docs.select(F.monotonically_increasing_id().alias("id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")), "rows")
+    sized = _sized(base.select("id", part("doc_id").alias("doc_id"), part("source").alias("source"), "row.text"), F.col("id"))
+    got = scratch.table(mix(sized, scratch).where("words > 0").select(F.col("row").alias("id"), "size", "first", "words", "slot", "place"), "taken")
+    scratch.only("rows", "taken")
+    n = (got.agg(F.max("slot")).first()[0] or 0) + 1
+    parts = max(1, int(scratch.spark.conf.get("spark.sql.shuffle.partitions")))
+    words = F.split(F.btrim("row.text", F.lit(C.SPACES)), C.SPACE_CLASS + "+")
     some = F.array_join(F.slice(words, (F.col("first") + 1).cast("int"), F.col("words").cast("int")), " ")
-    out = both.withColumn("text", F.when(F.col("words") == F.col("size"), F.col("text")).otherwise(some))
+    both = base.join(got, "id").withColumn("new", F.when(F.col("words") == F.col("size"), F.col("row.text")).otherwise(some))
+    both = both.repartitionById(parts, F.floor(F.col("slot") * parts / n).cast("int")).sortWithinPartitions("slot", "place", "id")
+    new = {"text": F.col("new")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast("long"))
-    return out.select(*docs.columns)
+        new["n_chars"] = F.length("new").cast(docs.schema["n_chars"].dataType)
+    return both.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 OP7_SQL = r"""
@@ -120,11 +131,20 @@ w AS (SELECT *, [5.0, 2.0, 1.0][(sid - 1) % 3 + 1]::DOUBLE AS w, 2 * n AS most F
 v AS (SELECT *, sum(n) OVER () * 1.5 AS total, sum(w) OVER () AS all_w, coalesce(sum(most) OVER q, 0) AS fm, coalesce(sum(w) OVER q, 0) AS fw FROM w
   WINDOW q AS (ORDER BY most / w, sid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 l AS (SELECT max((total - fm) / (all_w - fw)) FILTER (most >= (total - fm) / (all_w - fw) * w) AS level FROM v),
-t AS (SELECT source, n::BIGINT AS n, least(most, level * w) AS target FROM v, l),
-p AS (SELECT d.doc_id, d.size, t.n, t.target, round(t.target)::BIGINT AS want,
+t AS (SELECT source, sid, n::BIGINT AS n, least(most, level * w) AS target FROM v, l),
+p AS (SELECT d.doc_id, d.size, t.sid, t.n, t.target, round(t.target)::BIGINT AS want, row_number() OVER () AS id,
   (sum(d.size) OVER (PARTITION BY t.source ORDER BY md5(coalesce(d.doc_id::VARCHAR, '')), d.doc_id) - d.size)::BIGINT AS place
-  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+e AS (SELECT sid, n, round(target)::BIGINT AS want, (n + 255) // 256 AS blocks, (round(target)::BIGINT // n) * ((n + 255) // 256) + (round(target)::BIGINT % n + 255) // 256 AS slots FROM t WHERE target >= 0.5),
+b AS (SELECT *, (sum(slots) OVER (ORDER BY sid))::BIGINT AS hi, (sum(slots) OVER ())::BIGINT AS every FROM e),
+x AS (SELECT r.range AS slot, r.range * 0.6180339887498949::DOUBLE - floor(r.range * 0.6180339887498949::DOUBLE) AS x FROM range((SELECT max(every) FROM b)) r),
+y AS (SELECT slot, sid, row_number() OVER (PARTITION BY sid ORDER BY slot) - 1 AS rank FROM x JOIN b ON x.x >= (hi - slots) / every::DOUBLE AND x.x < hi / every::DOUBLE),
+h AS (SELECT b.sid, b.every, b.slots, count(y.slot) AS have FROM b LEFT JOIN y ON y.sid = b.sid GROUP BY ALL),
+z AS (SELECT * FROM y UNION ALL SELECT every + r, sid, r FROM (SELECT *, unnest(range(have, slots)) AS r FROM h)),
+k AS (SELECT z.slot, z.sid, rank % blocks AS block, least(256, n - rank % blocks * 256, want - rank // blocks * n - rank % blocks * 256) AS take FROM z JOIN b ON z.sid = b.sid WHERE rank < slots),
+f AS (SELECT p.id, min(k.slot) AS first_slot FROM p JOIN k ON p.sid = k.sid AND p.size > 0 AND k.block BETWEEN p.place // 256 AND (p.place + p.size - 1) // 256
+  AND least(p.place + p.size, k.block * 256 + k.take) > greatest(p.place, k.block * 256) GROUP BY p.id)
 SELECT doc_id, size, n AS source_size, target,
-  (CASE WHEN size = 0 THEN 0 ELSE (want // n) * size + greatest(0, least(place + size, want % n) - place) END)::BIGINT AS taken
-FROM p
+  (CASE WHEN size = 0 THEN 0 ELSE (want // n) * size + greatest(0, least(place + size, want % n) - place) END)::BIGINT AS taken, first_slot
+FROM p LEFT JOIN f ON f.id = p.id
 """

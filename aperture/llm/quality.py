@@ -17,9 +17,8 @@ LN2 = 0.6931471805599453
 def measures(docs: DataFrame) -> DataFrame:
     """`docs` (doc_id, lang, text) with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, the class counts and word_ids, 16 bits of each word's hash.
 
-    A three-word window is kept as one number, the hash of its words above its place, so that one
-    sort of numbers brings equal windows together; nothing leaves the row. Texts whose windows all
-    differ need no sort.
+    Three-word windows are sorted by all 64 bits of the hash of their words, then by place, which brings
+    equal ones together; nothing leaves the row. Texts whose windows all differ need no sort.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     bare = F.btrim(text, F.lit(C.SPACES))
@@ -32,13 +31,12 @@ def measures(docs: DataFrame) -> DataFrame:
     df = df.withColumn("n_beyond", F.length("left").cast("long")).drop("left").withColumnRenamed("n_symbol", "n_symbols")
     tail = lambda x, k: F.slice(x, F.lit(k), F.greatest(F.size(x) - (k - 1), F.lit(0)))
     three = F.slice(F.arrays_zip("words", tail(F.col("words"), 2).alias("b"), tail(F.col("words"), 3).alias("c")), F.lit(1), F.greatest(F.size("words") - 2, F.lit(0)))
-    df = df.withColumns({"h": F.transform(three, lambda x: F.xxhash64(x)), "bits": F.length(F.bin("n_words")), "word_ids": F.transform("words", lambda w: F.xxhash64(w).bitwiseAND(BUCKETS - 1).cast("int"))}).drop("words")
+    df = df.withColumns({"h": F.transform(three, lambda x: F.xxhash64(x)), "word_ids": F.transform("words", lambda w: F.xxhash64(w).bitwiseAND(BUCKETS - 1).cast("int"))}).drop("words")
     df = df.withColumn("h", F.when(F.size(F.array_distinct("h")) < F.size("h"), F.col("h")))
-    df = df.withColumn("packed", F.sort_array(F.transform("h", lambda x, i: F.call_function("shiftleft", x, F.col("bits")).bitwiseOR(i.cast("long"))))).drop("h")
-    next_to = F.slice(F.arrays_zip(F.col("packed").alias("a"), tail(F.col("packed"), 2).alias("b")), F.lit(1), F.greatest(F.size("packed") - 1, F.lit(0)))
-    equal = F.filter(next_to, lambda x: F.call_function("shiftrightunsigned", x["a"].bitwiseXOR(x["b"]), F.col("bits")) == 0)
-    low = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bits")) - 1
-    df = df.withColumn("at", F.sort_array(F.array_distinct(F.flatten(F.transform(equal, lambda x: F.array(x["a"].bitwiseAND(low), x["b"].bitwiseAND(low))))))).drop("packed", "bits")
+    df = df.withColumn("placed", F.sort_array(F.transform("h", lambda x, i: F.struct(x.alias("h"), i.cast("long").alias("i"))))).drop("h")
+    next_to = F.slice(F.arrays_zip(F.col("placed").alias("a"), tail(F.col("placed"), 2).alias("b")), F.lit(1), F.greatest(F.size("placed") - 1, F.lit(0)))
+    equal = F.filter(next_to, lambda x: x["a"]["h"] == x["b"]["h"])
+    df = df.withColumn("at", F.sort_array(F.array_distinct(F.flatten(F.transform(equal, lambda x: F.array(x["a"]["i"], x["b"]["i"])))))).drop("placed")
     start = F.struct(F.lit(-3).cast("long").alias("p"), F.lit(0).cast("long").alias("n"))
     covered = F.aggregate("at", start, lambda a, p: F.struct(p.alias("p"), (a["n"] + F.least(F.lit(3).cast("long"), p - a["p"])).alias("n")), lambda a: a["n"])
     return df.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0).cast("long"))).drop("at")

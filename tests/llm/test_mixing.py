@@ -48,3 +48,19 @@ def test_repeated_rows_and_texts(spark):
     words = sum(len(r.text.split()) for r in got.collect())
     assert words in (19, 20)  # 1.5 times 13, each source rounded
     assert mixing.mixed_documents(docs.limit(0), C.Scratch(spark, "t")).count() == 0
+
+
+def test_documents_in_order_of_slots_with_clashing_columns(spark):
+    """Partition after partition the documents come in the order of their slots; extra columns go along."""
+    names = ["row", "id", "size", "first", "slot", "place", "words", "new", "pass", "d", "r", "key"]
+    rows = [r for r in make() if r[1]]
+    docs = spark.createDataFrame([(*r, *range(len(names))) for r in rows], "doc_id long, text string, source string, " + ", ".join(f"`{c}` int" for c in names))
+    mixed = mixing.mixed_documents(docs, C.Scratch(spark, "t"))
+    assert mixed.schema == docs.schema
+    got = mixed.collect()
+    assert all([r[c] for c in names] == list(range(len(names))) for r in got)
+    sized = mixing._sized(docs, mixing.F.xxhash64("text", "doc_id"))
+    plan = sorted((r.slot, r.place, r.doc_id, r.words) for r in mixing.mix(sized, C.Scratch(spark, "t")).where("words > 0").collect())
+    assert [(d, w) for _, _, d, w in plan] == [(r.doc_id, len(r.text.split())) for r in got]
+    hot = [r.source == "hot" for r in got]
+    assert 0.3 < sum(hot[: len(hot) // 2]) / sum(hot) < 0.7  # sources alternate
