@@ -14,18 +14,23 @@ def norm(a: Column) -> Column:
     return F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
 
 
-def scaled(a: Column, by: Column) -> Column:
-    return F.transform(a, lambda x: x.cast("double") / by)
+def bound(value: Column, body) -> Column:
+    """body(value), with the value computed once however often the body uses it: an expression within a lambda is else computed for each element."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _by_norm(a: Column, guard) -> Column:
+    return bound(a, lambda v: bound(guard(norm(v)), lambda n: F.transform(v, lambda x: x.cast("double") / n)))
 
 
 def unit(a: Column) -> Column:
     """Rows of an embedding table: x / max(|x|, 1e-12)."""
-    return scaled(a, F.greatest(norm(a), F.lit(1e-12)))
+    return _by_norm(a, lambda n: F.greatest(n, F.lit(1e-12)))
 
 
 def unit_class(a: Column) -> Column:
     """Class vectors: x / (|x| + 1e-8), another form of guard than that of rows."""
-    return scaled(a, norm(a) + F.lit(1e-8))
+    return _by_norm(a, lambda n: n + F.lit(1e-8))
 
 
 def mean_by(df: DataFrame, keys: list[str], vector: str, into: str) -> DataFrame:

@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 
 from aperture.functions.scalars import div
 from aperture.operators import metrics as M
+from aperture.operators.prefix import running_sum
+
+#: Ranges of scores in which a curve over all rows is accumulated.
+RANGES = 1024
 
 
 def _points(df: DataFrame, keys: list[str], weight=None) -> DataFrame:
@@ -19,40 +23,78 @@ def _window(keys, desc=True):
     return w.orderBy(F.desc("score") if desc else F.asc("score"))
 
 
+def _before(points: DataFrame, keys: list[str], into: dict[str, str], desc: bool = True) -> DataFrame:
+    """Sums of columns over the points before each in the order of scores. With no keys the scores are dealt to ranges first, for all of them may be different."""
+    if keys:
+        w = _window(keys, desc).rowsBetween(Window.unboundedPreceding, -1)
+        return points.withColumns({name: F.coalesce(F.sum(c).over(w), F.lit(0.0)) for c, name in into.items()})
+    ends = points.where(F.abs("score") < float("inf")).agg(F.min("score").alias("__lo"), F.max("score").alias("__hi"))
+    at = F.floor(F.coalesce(F.try_divide(F.col("score") - F.col("__lo"), F.col("__hi") - F.col("__lo")), F.lit(0.0)) * RANGES)
+    out = points.join(F.broadcast(ends)).withColumn("__range", (F.lit(-1) if desc else F.lit(1)) * F.least(F.greatest(at, F.lit(-1)), F.lit(RANGES + 1))).drop("__lo", "__hi")
+    for c, name in into.items():
+        out = running_sum(out, [], "__range", [F.desc("score") if desc else F.asc("score")], c, name)
+    return out.drop("__range")
+
+
 def auroc(df: DataFrame, keys: list[str] = (), weight=None) -> DataFrame:
     """Mann-Whitney with half for ties; null with one class."""
     keys = list(keys)
-    below = F.coalesce(F.sum("n").over(_window(keys, False).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    t = _points(df, keys, weight).withColumn("u", F.col("p") * (below + 0.5 * F.col("n")))
+    t = _before(_points(df, keys, weight), keys, {"n": "below"}, False).withColumn("u", F.col("p") * (F.col("below") + 0.5 * F.col("n")))
     return t.groupBy(*keys).agg(div(F.sum("u"), F.sum("p") * F.sum("n")).alias("auroc"))
 
 
+def macro_ovr_auroc(probs: DataFrame, n_classes: int) -> DataFrame:
+    """(macro_auroc, classes) of (label, class_id, prob): each class against the rest, averaged; with two classes, that of the second.
+
+    Null if any class is undefined, as when no item has its label; classes counts the defined ones.
+    """
+    some = probs.where("class_id = 1") if n_classes == 2 else probs.where(F.col("class_id").between(0, n_classes - 1))
+    t = auroc(some.select("class_id", (F.col("label") == F.col("class_id")).cast("int").alias("gt"), F.col("prob").alias("score")), ["class_id"])
+    n = F.count("auroc")
+    return t.agg(F.when(n == (1 if n_classes == 2 else n_classes), F.avg("auroc")).alias("macro_auroc"), n.alias("classes"))
+
+
 def roc(df: DataFrame, keys: list[str] = (), drop_intermediate: bool = False) -> DataFrame:
     """(keys, threshold, tpr, fpr, tps, fps) by falling threshold; the first point is an infinite threshold and nothing predicted.
 
     drop_intermediate leaves out points on a straight run, but for its ends.
     """
     keys = list(keys)
-    t = _points(df, keys)
-    up = _window(keys).rowsBetween(Window.unboundedPreceding, 0)
-    t = t.select(*keys, "score", F.sum("p").over(up).alias("tps"), F.sum("n").over(up).alias("fps"))
+    t = _before(_points(df, keys), keys, {"p": "tps", "n": "fps"}).withColumns({"tps": F.col("tps") + F.col("p"), "fps": F.col("fps") + F.col("n")})
+    t = t.select(*keys, "score", "tps", "fps")
     if drop_intermediate:
         w = _window(keys)
         turn = lambda c: F.lead(c).over(w) - 2 * F.col(c) + F.lag(c).over(w)
         t = t.withColumn("keep", F.coalesce((turn("tps") != 0) | (turn("fps") != 0), F.lit(True))).where("keep").drop("keep")
-    first = t.groupBy(*keys).agg(F.lit(float("inf")).alias("score"), F.lit(0.0).alias("tps"), F.lit(0.0).alias("fps"))
-    all_ = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    t = first.unionByName(t)
-    part = lambda c: F.when(F.col("score") == float("inf"), 0.0).otherwise(div(F.col(c), F.max(c).over(all_)))
-    return t.select(*keys, F.col("score").alias("threshold"), part("tps").alias("tpr"), part("fps").alias("fpr"), "tps", "fps")
+    totals = t.groupBy(*keys).agg(F.max("tps").alias("all_p"), F.max("fps").alias("all_n"))
+    first = totals.select(*keys, F.lit(float("inf")).alias("score"), F.lit(0.0).alias("tps"), F.lit(0.0).alias("fps"))
+    t = _with(first.unionByName(t), totals, keys)
+    return t.select(*keys, F.col("score").alias("threshold"), div(F.col("tps"), F.col("all_p")).alias("tpr"), div(F.col("fps"), F.col("all_n")).alias("fpr"), "tps", "fps")
+
+
+def _with(df: DataFrame, one: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Each row of `df` with the row of its keys of `one`; without keys that is one row."""
+    if not keys:
+        return df.join(F.broadcast(one))
+    other = one.withColumnsRenamed({k: f"__{k}" for k in keys})
+    on = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
+    return df.join(other, on, how).drop(*[f"__{k}" for k in keys])
 
 
 def average_precision(df: DataFrame, keys: list[str] = ()) -> DataFrame:
     """Sum of the steps in recall times precision."""
     keys = list(keys)
-    up = _window(keys).rowsBetween(Window.unboundedPreceding, 0)
-    t = _points(df, keys).withColumns({"tps": F.sum("p").over(up), "all": F.sum(F.col("p") + F.col("n")).over(up)})
-    return t.groupBy(*keys).agg(div(F.sum(F.col("p") * F.col("tps") / F.col("all")), F.sum("p")).alias("average_precision"))
+    t = _before(_points(df, keys), keys, {"p": "tps", "n": "fps"}).withColumns({"tps": F.col("tps") + F.col("p"), "fps": F.col("fps") + F.col("n")})
+    return t.groupBy(*keys).agg(div(F.sum(F.col("p") * F.col("tps") / (F.col("tps") + F.col("fps"))), F.sum("p")).alias("average_precision"))
+
+
+def precision_recall(df: DataFrame, keys: list[str] = ()) -> DataFrame:
+    """(keys, threshold, precision, recall) at each score, and the end point of precision 1 and recall 0 with no threshold; recall is 1 without positives."""
+    keys = list(keys)
+    t = _before(_points(df, keys), keys, {"p": "tps", "n": "fps"}).withColumns({"tps": F.col("tps") + F.col("p"), "fps": F.col("fps") + F.col("n")})
+    totals = t.groupBy(*keys).agg(F.max("tps").alias("all_p"))
+    t = _with(t, totals, keys).select(*keys, F.col("score").alias("threshold"), div(F.col("tps"), F.col("tps") + F.col("fps")).alias("precision"), F.coalesce(div(F.col("tps"), F.col("all_p")), F.lit(1.0)).alias("recall"))
+    return t.unionByName(totals.select(*keys, F.lit(None).cast("double").alias("threshold"), F.lit(1.0).alias("precision"), F.lit(0.0).alias("recall")))
 
 
 def youden(points: DataFrame, keys: list[str] = (), tolerant: bool = False) -> DataFrame:

@@ -34,6 +34,12 @@ def per_class(df: DataFrame, classes: DataFrame) -> DataFrame:
     return out.withColumn("f1", F.coalesce(div(2.0 * F.col("tp"), F.col("support") + F.col("predicted")), F.lit(0.0)))
 
 
+def wide_f1(classes: DataFrame, n: int) -> DataFrame:
+    """One row of f1__0 ... and the counts predicted__0 ..., support__0 ... of per_class()."""
+    pick = lambda c, k: F.max(F.when(F.col("class_id") == k, F.col(c)))
+    return classes.agg(*[pick(c, k).alias(f"{c}__{k}") for c in ("f1", "predicted", "support") for k in range(n)])
+
+
 def macro(classes: DataFrame) -> DataFrame:
     """Macro figures over all classes (0 where undefined), balanced accuracy over those with support, dead classes."""
     zero = lambda c: F.avg(F.coalesce(c, F.lit(0.0)))
@@ -68,9 +74,13 @@ def rank_summary(df: DataFrame, rank: str, *keys: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.percentile(rank, F.lit(0.5)).alias("median_rank"), F.avg(r.cast("double")).alias("mean_rank"), F.avg(1.0 / r).alias("mrr"), *[F.avg((r <= k).cast("double")).alias(f"recall_{k}") for k in (1, 5, 10)])
 
 
-def histogram(df: DataFrame, col: str, bins: int, lo: float, hi: float) -> DataFrame:
-    b = F.least(F.greatest(F.floor((F.col(col) - lo) / ((hi - lo) / bins)), F.lit(0)), F.lit(bins - 1))
-    return df.where(F.col(col).between(lo, hi)).groupBy(b.cast("int").alias("bin")).agg(F.count("*").alias("n"))
+def histogram(df: DataFrame, col: str, bins: int) -> DataFrame:
+    """(bin, n) over `bins` equal ranges from the smallest to the largest finite value, the last closed; empty bins are left out."""
+    df = df.where(F.abs(col) < float("inf")).select(col)
+    ends = df.agg(F.min(col).alias("__lo"), F.max(col).alias("__hi"))
+    lo, hi = F.col("__lo"), F.col("__hi")
+    b = F.when(hi > lo, F.least(F.floor((F.col(col) - lo) / ((hi - lo) / bins)), F.lit(bins - 1))).otherwise(0)
+    return df.join(F.broadcast(ends)).groupBy(b.cast("int").alias("bin")).agg(F.count("*").alias("n"))
 
 
 def rank_cdf(df: DataFrame, rank: str) -> DataFrame:

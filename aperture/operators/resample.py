@@ -6,6 +6,8 @@ instead of being copied, and draws are digests of their numbers, so any task can
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,28 +35,58 @@ def interval(df: DataFrame, stat: str, *keys: str, alpha: float = 0.05) -> DataF
     return df.groupBy(*keys).agg(q.alias("q"), F.count(x).alias("n_valid")).select(*keys, F.col("q")[0].alias("lo"), F.col("q")[1].alias("hi"), "n_valid")
 
 
+def intervals(df: DataFrame, stats: list[str], *keys: str, require: str | None = None, alpha: float = 0.05) -> DataFrame:
+    """{stat}_lo and {stat}_hi of several statistics over the same replicates, and n_valid; with `require` only those in which that statistic is defined."""
+    fine = lambda c: F.when(F.abs(c) < float("inf"), F.col(c))
+    if require:
+        df = df.where(F.abs(require) < float("inf"))
+    q = F.array(F.lit(alpha / 2), F.lit(1 - alpha / 2))
+    t = df.groupBy(*keys).agg(*[F.percentile(fine(c), q).alias(c) for c in stats], F.count("*").alias("n_valid"))
+    return t.select(*keys, *[F.col(c)[k].alias(f"{c}_{n}") for c in stats for k, n in ((0, "lo"), (1, "hi"))], "n_valid")
+
+
+def row_draws(df: DataFrame, id_col: str, reps: int, seed: str = "b") -> DataFrame:
+    """Draws in which rows themselves are the units (id_col must be unique)."""
+    return cluster_draws(df, id_col, reps, seed)
+
+
 def paired_p(df: DataFrame, delta: str, *keys: str) -> DataFrame:
-    """Interval of a difference over replicates and its two-sided p with one added."""
-    n, d = F.count(delta), F.col(delta)
-    p = F.least(F.lit(1.0), 2 * F.least((F.count_if(d <= 0) + 1) / (n + 1), (F.count_if(d >= 0) + 1) / (n + 1)))
-    return df.groupBy(*keys).agg(p.alias("p_value"), n.alias("n_valid"), F.percentile(delta, F.array(F.lit(0.025), F.lit(0.975))).alias("q")).select(*keys, "p_value", "n_valid", F.col("q")[0].alias("lo"), F.col("q")[1].alias("hi"))
+    """Interval of a difference over replicates and its two-sided p with one added; replicates without a finite difference are left out, and a group without any has no p."""
+    d = F.when(F.abs(delta) < float("inf"), F.col(delta))
+    n = F.count(d)
+    p = F.when(n > 0, F.least(F.lit(1.0), 2 * F.least((F.count_if(d <= 0) + 1) / (n + 1), (F.count_if(d >= 0) + 1) / (n + 1))))
+    return df.groupBy(*keys).agg(p.alias("p_value"), n.alias("n_valid"), F.percentile(d, F.array(F.lit(0.025), F.lit(0.975))).alias("q")).select(*keys, "p_value", "n_valid", F.col("q")[0].alias("lo"), F.col("q")[1].alias("hi"))
 
 
 def holm(df: DataFrame, p: str, *keys: str, order: str) -> DataFrame:
-    """Holm-Bonferroni within keys: the running maximum of (m - i) p, at most 1."""
+    """Holm-Bonferroni within keys: the running maximum of (m - i) p, at most 1; rows without p are not tests and have none."""
     part = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    w = part.orderBy(p, order)
-    step = (F.count("*").over(part) - F.row_number().over(w) + 1) * F.col(p)
+    w = part.orderBy(F.col(p).asc_nulls_last(), order)
+    step = (F.count(p).over(part) - F.row_number().over(w) + 1) * F.col(p)
     df = df.withColumn("__s", step)
-    return df.withColumn("p_holm", F.least(F.lit(1.0), F.max("__s").over(w.rowsBetween(Window.unboundedPreceding, 0)))).drop("__s")
-
-
-def stratified(df: DataFrame, id_col: str, strata: list[str], fraction: float, least: int = 2, seed: str = "42") -> DataFrame:
-    """split = calibration for round(fraction) of each stratum, in hash order (`least` at least), else holdout."""
-    w = Window.partitionBy(*strata)
-    n = F.greatest(F.round(F.count("*").over(w) * fraction), F.lit(least))
-    r = F.row_number().over(w.orderBy(digest(F.concat(F.lit(seed), F.col(id_col).cast("string"))), id_col))
-    return df.withColumn("split", F.when(r <= n, "calibration").otherwise("holdout"))
+    best = F.max("__s").over(w.rowsBetween(Window.unboundedPreceding, 0))
+    return df.withColumn("p_holm", F.when(F.col(p).isNotNull(), F.least(F.lit(1.0), best))).drop("__s")
+
+
+def stratified(df: DataFrame, id_col: str, strata: list[str], fraction: float, seed: str = "42", least: int = 2) -> DataFrame:
+    """split = calibration for `fraction` of all rows, dealt to strata by largest remainders, each stratum in hash order; else holdout.
+
+    ceil(n fraction) rows in all: a stratum has the whole part of its share, and the strata with the largest
+    remainders (then the larger, then the first by name) one more. A stratum of fewer than `least` rows fails the query.
+    """
+    key = F.concat_ws("::", *[F.col(c).cast("string") for c in strata])
+    sizes = df.groupBy(key.alias("__s")).agg(F.count("*").alias("__n"))
+    sizes = sizes.withColumn("__n", F.when(F.col("__n") < least, F.raise_error(F.lit("a stratum is too small"))).otherwise(F.col("__n")))
+    all_ = Window.partitionBy(F.lit(0))  # over the strata, not over rows
+    total = F.sum("__n").over(all_)
+    sizes = sizes.withColumn("__whole", total).withColumn("__share", F.col("__n") * F.ceil(F.col("__whole") * fraction - 1e-9) / F.col("__whole"))
+    sizes = sizes.withColumn("__k", F.floor(F.col("__share") + 1e-9))
+    order = Window.partitionBy(F.lit(0)).orderBy(F.desc(F.round(F.col("__share") - F.col("__k"), 9)), F.desc("__n"), "__s")
+    more = F.ceil(F.col("__whole") * fraction - 1e-9) - F.sum("__k").over(all_)
+    sizes = sizes.withColumn("__k", F.col("__k") + (F.row_number().over(order) <= more).cast("int")).select("__s", "__k")
+    r = F.row_number().over(Window.partitionBy("__t").orderBy(digest(F.concat(F.lit(seed), F.col(id_col).cast("string"))), id_col))
+    t = df.withColumn("__t", key).withColumn("__r", r).join(F.broadcast(sizes), F.col("__t") == F.col("__s"))
+    return t.withColumn("split", F.when(F.col("__r") <= F.col("__k"), "calibration").otherwise("holdout")).drop("__t", "__r", "__s", "__k")
 
 
 def grouped_split(df: DataFrame, group: str, fraction: float, seed: str = "42") -> DataFrame:
@@ -67,12 +99,25 @@ def grouped_split(df: DataFrame, group: str, fraction: float, seed: str = "42")
 
 
 def flat_split(df: DataFrame, id_col: str, fraction: float, seed: str = "42") -> DataFrame:
-    """The first round(n f) rows in hash order are val; a threshold digest is found first, so rows are not sorted."""
+    """The first round(n f) rows in the order of digest, then id, are val.
+
+    Rows are counted by the first 16 bits of their digests; only the rows of the one range that the cut
+    falls in are ordered, so no task gathers a share of all rows.
+    """
     d = digest(F.concat(F.lit(seed), F.col(id_col).cast("string")))
-    n = df.count()
-    k = round(n * fraction)
-    cut = df.select(d.alias("d")).orderBy("d").limit(k).agg(F.max("d")).first()[0] if k else None
-    return df.withColumn("split", F.when(d <= F.lit(cut), "val").otherwise("train") if cut is not None else F.lit("train"))
+    t = df.withColumns({"__d": d, "__p": F.floor(d / 2**44)})
+    sizes = sorted((r["__p"], r["count"]) for r in t.groupBy("__p").count().collect())  # 65,536 at most
+    k, cut, left = round(sum(n for _, n in sizes) * fraction), -1, 0
+    for cut, n in sizes:
+        if k <= n:
+            left = k
+            break
+        k -= n
+    inside = F.row_number().over(Window.partitionBy("__p").orderBy("__d", id_col))
+    edge = t.where(F.col("__p") == cut).withColumn("__r", inside)
+    edge = edge.withColumn("split", F.when(F.col("__r") <= left, "val").otherwise("train")).drop("__r")
+    rest = t.where(F.col("__p") != cut).withColumn("split", F.when(F.col("__p") < cut, "val").otherwise("train"))
+    return rest.unionByName(edge).drop("__d", "__p")
 
 
 def wilcoxon(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -84,6 +129,21 @@ def wilcoxon(df: DataFrame, a: str, b: str) -> DataFrame:
     return t.agg(F.sum("c").alias("n"), F.least(F.sum(F.col("r") * F.col("up")), F.sum(F.col("r") * (F.col("c") - F.col("up")))).alias("w"))
 
 
+def wilcoxon_test(df: DataFrame, a: str, b: str) -> DataFrame:
+    """(n, w, p_value): exact up to 25 untied differences, else the normal approximation with correction for ties."""
+    t = df.select((F.col(a) - F.col(b)).alias("d")).where("d <> 0").groupBy(F.abs("d").alias("m")).agg(F.count("*").alias("c"))
+    ties = t.agg(F.coalesce(F.sum(F.pow("c", 3) - F.col("c")), F.lit(0.0)).alias("ties"), F.max("c").alias("most"))
+    r = wilcoxon(df, a, b).join(ties).first()
+    if not r.n:
+        return df.sparkSession.createDataFrame([(0, None, None)], "n long, w double, p_value double")
+    if r.n <= 25 and r.most == 1:
+        p = wilcoxon_p(r.n, r.w)
+    else:
+        var = r.n * (r.n + 1) * (2 * r.n + 1) / 24 - r.ties / 48
+        p = math.erfc(abs(r.w - r.n * (r.n + 1) / 4) / math.sqrt(2 * var))
+    return df.sparkSession.createDataFrame([(r.n, float(r.w), min(1.0, p))], "n long, w double, p_value double")
+
+
 def wilcoxon_p(n: int, w: float) -> float:
     """The exact two-sided p of n untied differences, by counting subsets of ranks."""
     ways = [1]

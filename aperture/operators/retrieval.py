@@ -1,17 +1,23 @@
-"""Ranks of positives among all candidates, in blocks of matrix products."""
+"""Ranks of positives among all candidates, and the best of them, in blocks of matrix products."""
 
 from __future__ import annotations
 
+import io
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from aperture.functions import vectors as V
+from aperture.operators import metrics as M
+from aperture.sources.shared import Scratch, open_shared, write_shared
 
 EPS = 1e-12
+#: Rows of a file of candidates, and queries that meet it at once.
+BLOCK, STEP = 16_384, 1024
 
 
 def dedup_candidates(df: DataFrame, key: str, vector: str) -> DataFrame:
@@ -22,41 +28,215 @@ def dedup_candidates(df: DataFrame, key: str, vector: str) -> DataFrame:
     return first.join(V.mean_by(t, ["k"], "v", "m"), "k").select("k", "cand_id", V.unit(F.col("m")).alias("vec"), "grp")
 
 
-def _blocks(df: DataFrame, id_col: str, vec: str, extra: list[str], size: int, prefix: str) -> DataFrame:
-    n = max(1, -(-df.count() // size))
-    return df.groupBy(F.pmod(F.xxhash64(id_col), F.lit(n)).cast("int").alias(f"{prefix}b")).agg(F.collect_list(F.struct(F.col(id_col).alias("i"), F.col(vec).alias("v"), *extra)).alias(f"{prefix}rows")), n
+# ------------------------------------------------------------------ blocks of candidates
 
 
-def _counts(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in rows:
-        for q, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            s = np.array([x["v"] for x in q]) @ np.array([x["v"] for x in c]).T
-            ours = np.array([x["pos"] for x in q])[:, None] == np.array([x["i"] for x in c])[None, :]
-            more = ((s > np.array([x["at"] for x in q])[:, None] + EPS) & ~ours).sum(1)
-            yield pa.RecordBatch.from_arrays([pa.array([x["i"] for x in q]), pa.array(more)], ["query_id", "more"])
+def _array(batch: pa.RecordBatch, name: str) -> pa.Array:
+    return batch.column(batch.schema.get_field_index(name))
 
 
-def ranks(queries: DataFrame, candidates: DataFrame, block: int = 1024) -> DataFrame:
-    """(query_id, rank, pos_sim): 1 + the candidates more similar than the positive, so ties are in the query's favour.
+def _matrix(batch: pa.RecordBatch) -> np.ndarray:
+    x = np.asarray(_array(batch, "vec").flatten(), np.float64)
+    return x.reshape(batch.num_rows, -1)
 
-    queries: query_id, vec, pos; candidates: cand_id, vec. The positive's similarity is joined once, never
-    recomputed; then every block of queries meets every block of candidates, and only counts are kept.
+
+def _store(folder: str):
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+
+        def out() -> pa.RecordBatch:
+            path, f = f"{folder}/block-{uuid.uuid4().hex}.npz", io.BytesIO()
+            np.savez(f, **{k: np.concatenate([h[k] for h in held]) for k in held[0]})
+            write_shared(path, [f.getvalue()])
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array([path])], ["path"])
+
+        for batch in rows:
+            if batch.num_rows:
+                held.append({"id": np.asarray(_array(batch, "cand_id")), "grp": np.asarray(_array(batch, "grp")), "vec": _matrix(batch)})
+                if (n := n + batch.num_rows) >= BLOCK:  # a batch has 10,000 rows by Spark's default
+                    yield out()
+                    n = 0
+        if held:
+            yield out()
+
+    return run
+
+
+def store_candidates(candidates: DataFrame, scratch: Scratch) -> list[str]:
+    """Write `candidates` (cand_id, vec[, grp]) as files of about BLOCK rows or a little more in the shared folder; their paths, one a file."""
+    grp = F.xxhash64(F.col("grp").cast("string")) if "grp" in candidates.columns else F.lit(0).cast("long")
+    rows = candidates.select(F.col("cand_id").cast("long").alias("cand_id"), grp.alias("grp"), "vec")
+    return sorted(r.path for r in rows.mapInArrow(_store(scratch.folder("candidates")), "path string").collect())
+
+
+def _blocks(paths: list[str]) -> Iterator[dict]:
+    for path in paths:
+        with open_shared(path) as f, np.load(io.BytesIO(f.read())) as z:
+            yield {k: z[k] for k in z.files}
+
+
+def _ranks(paths: list[str], grouped: bool):
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows:
+            if not batch.num_rows:
+                continue
+            q, pos, grp = _matrix(batch), np.asarray(_array(batch, "pos")), np.asarray(_array(batch, "grp"))
+            at, best = np.full(len(q), np.nan), np.full(len(q), -np.inf)
+            more, above = np.zeros(len(q), np.int64), np.zeros(len(q), np.int64)
+            parts = [slice(p, p + STEP) for p in range(0, len(q), STEP)]
+            for c in _blocks(paths):  # the positive's similarity, and the best of the group's
+                order = np.argsort(c["id"], kind="stable")
+                k = order[np.minimum(np.searchsorted(c["id"][order], pos), len(order) - 1)]
+                hit = c["id"][k] == pos
+                at[hit] = np.einsum("nd,nd->n", q[hit], c["vec"][k[hit]])
+                for p in parts if grouped else ():
+                    best[p] = np.maximum(best[p], np.where(grp[p, None] == c["grp"], q[p] @ c["vec"].T, -np.inf).max(1))
+            for c in _blocks(paths):
+                for p in parts:
+                    s = q[p] @ c["vec"].T
+                    more[p] += ((s > at[p, None] + EPS) & (c["id"] != pos[p, None])).sum(1)
+                    if grouped:
+                        above[p] += (s > best[p, None] + EPS).sum(1)
+            none = np.isnan(at)
+            yield pa.RecordBatch.from_arrays(
+                [_array(batch, "query_id"), pa.array(more + 1, mask=none), pa.array(at, mask=none), pa.array(above + 1, mask=np.isinf(best))], ["query_id", "rank", "pos_sim", "group_rank"]
+            )
+
+    return run
+
+
+def _queries(queries: DataFrame) -> DataFrame:
+    """Queries in batches of a few thousand, so that each reads the candidates' files once."""
+    grp = F.xxhash64(F.col("grp").cast("string")) if "grp" in queries.columns else F.lit(0).cast("long")
+    pos = F.col("pos").cast("long") if "pos" in queries.columns else F.lit(None).cast("long")
+    return queries.select(F.col("query_id").cast("long").alias("query_id"), F.coalesce(pos, F.lit(-(2**63))).alias("pos"), grp.alias("grp"), "vec")
+
+
+def ranks(queries: DataFrame, candidates: DataFrame, scratch: Scratch | None = None) -> DataFrame:
+    """(query_id, rank, pos_sim[, group_rank]): 1 + the candidates more similar than the positive, so ties are in the query's favour.
+
+    queries: query_id, vec, pos[, grp]; candidates: cand_id, vec[, grp]. With grp, group_rank is 1 + the candidates
+    more similar than the most similar one of the query's own group (null if the group has none). A query
+    whose positive is no candidate has no rank.
+
+    Candidates are written once as files in the shared folder; each task of queries goes through them
+    and keeps counts alone, so nothing is shuffled and no pair leaves a matrix product.
+    """
+    scratch = scratch or Scratch(queries.sparkSession, "ranks")
+    grouped = "grp" in queries.columns and "grp" in candidates.columns
+    paths = store_candidates(candidates, scratch)
+    out = _queries(queries).mapInArrow(_ranks(paths, grouped), "query_id long, rank long, pos_sim double, group_rank long")
+    return out if grouped else out.drop("group_rank")
+
+
+def _best(paths: list[str], k: int):
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows:
+            if not batch.num_rows:
+                continue
+            q = _matrix(batch)
+            sim, ids, found = np.empty((len(q), 0)), np.empty((len(q), 0), np.int64), 0
+            for c in _blocks(paths):
+                found = min(k, found + len(c["id"]))
+                new_sim, new_ids = np.empty((len(q), found)), np.empty((len(q), found), np.int64)
+                for p in range(0, len(q), STEP):
+                    p = slice(p, p + STEP)
+                    s = np.concatenate([sim[p], q[p] @ c["vec"].T], 1)
+                    i = np.concatenate([ids[p], np.broadcast_to(c["id"], (len(s), len(c["id"])))], 1)
+                    order = np.lexsort((i, -np.round(s, 9)), axis=1)[:, :found]
+                    new_sim[p], new_ids[p] = np.take_along_axis(s, order, 1), np.take_along_axis(i, order, 1)
+                sim, ids = new_sim, new_ids
+            n = found
+            yield pa.RecordBatch.from_arrays(
+                [_array(batch, "query_id").take(pa.array(np.repeat(np.arange(len(q)), n))), pa.array(ids.ravel()), pa.array(sim.ravel()), pa.array(np.tile(np.arange(1, n + 1), len(q)).astype(np.int32))], ["query_id", "cand_id", "sim", "place"]
+            )
+
+    return run
+
+
+def top_k(queries: DataFrame, candidates: DataFrame, k: int, scratch: Scratch | None = None) -> DataFrame:
+    """(query_id, cand_id, sim, place) of the k most similar candidates, the smaller id first among equals (to nine digits)."""
+    scratch = scratch or Scratch(queries.sparkSession, "top")
+    return _queries(queries).mapInArrow(_best(store_candidates(candidates, scratch), k), "query_id long, cand_id long, sim double, place int")
+
+
+def top_k_report(queries: DataFrame, candidates: DataFrame, k: int, files: DataFrame, rank: DataFrame, scratch: Scratch | None = None) -> DataFrame:
+    """top_k with what a reader wants beside: the true rank, and whether the candidate is the query's own pair or of its file.
+
+    files: (pair_index, file_id) of both sides; rank: (query_id, rank), as of ranks().
+    """
+    t = top_k(queries, candidates, k, scratch).join(rank.select("query_id", F.col("rank").alias("true_rank")), "query_id", "left")
+    q, c = (files.select(F.col("pair_index").alias(n), F.col("file_id").alias(f"{n}_file")) for n in ("query_id", "cand_id"))
+    t = t.join(q, "query_id", "left").join(c, "cand_id", "left")
+    exact, same = F.col("query_id") == F.col("cand_id"), F.col("query_id_file").eqNullSafe(F.col("cand_id_file"))
+    return t.select("query_id", "true_rank", "place", "cand_id", F.col("sim").alias("score"), exact.cast("int").alias("is_exact_pair"), same.cast("int").alias("is_same_file"))
+
+
+def sampled_queries(df: DataFrame, n: int, key: str = "pair_index", seed: str = "42") -> DataFrame:
+    """n rows without replacement: those whose ids have the smallest digests, whatever the partitions."""
+    return df.orderBy(F.md5(F.concat(F.lit(seed), F.col(key).cast("string"))), key).limit(n)
+
+
+# ------------------------------------------------------------------ both directions
+
+
+def both_directions(pairs: DataFrame, scratch: Scratch | None = None) -> dict[str, DataFrame]:
+    """Retrieval from images to texts and back on `pairs` (pair_index, image_emb, text_emb, group_id, image_id, caption_id).
+
+    Candidates are pooled by image_id and by caption_id; every image is ranked against the unique texts, every
+    text against the unique images. `pairs`: per pair both ranks, both same-group ranks and the mean of
+    both cosines; `pools`: sizes of the pools and whether pooling left out any.
+    """
+    scratch = scratch or Scratch(pairs.sparkSession, "both")
+    pairs = scratch.table(pairs.select("pair_index", "image_emb", "text_emb", "group_id", "image_id", "caption_id"), "inputs")
+    texts = scratch.table(dedup_candidates(pairs, "caption_id", "text_emb"), "texts")
+    images = scratch.table(dedup_candidates(pairs, "image_id", "image_emb"), "images")
+    out = None
+    for name, own, key, pool in (("i2t", "image_emb", "caption_id", texts), ("t2i", "text_emb", "image_id", images)):
+        k = F.coalesce(F.nullif(F.trim(F.col(key).cast("string")), F.lit("")), F.concat(F.lit("row::"), F.col("pair_index").cast("string")))
+        q = pairs.select(F.col("pair_index").alias("query_id"), F.col(own).alias("vec"), F.col("group_id").alias("grp"), k.alias("k")).join(pool.select("k", F.col("cand_id").alias("pos")), "k")
+        one = ranks(q, pool, Scratch(pairs.sparkSession, name)).select(F.col("query_id").alias("pair_index"), F.col("rank").alias(f"{name}_rank"), F.col("group_rank").alias(f"{name}_group_rank"), F.col("pos_sim").alias(f"{name}_sim"))
+        out = one if out is None else out.join(one, "pair_index")
+    done = scratch.table(out.withColumn("cosine", (F.col("i2t_sim") + F.col("t2i_sim")) / 2).drop("i2t_sim", "t2i_sim"), "pairs")
+    count = lambda df, n: df.agg(F.count("*").alias(n))
+    pools = count(images, "n_images").join(count(texts, "n_texts")).join(count(done, "n_pairs"))
+    pools = pools.withColumn("deduplicated", (F.col("n_images") != F.col("n_pairs")) | (F.col("n_texts") != F.col("n_pairs")))
+    return {"pairs": done, "pools": pools, "images": images, "texts": texts}
+
+
+def retrieval_summary(found: dict[str, DataFrame], nonmatches: DataFrame, groups: bool = True) -> DataFrame:
+    """One row: rank figures of both directions (and within groups), those of the matched cosines, matched minus `nonmatches` (sim) in mean."""
+    done, out = found["pairs"], found["pools"]
+    for name in ("i2t", "t2i", *(("i2t_group", "t2i_group") if groups else ())):
+        s = M.rank_summary(done.where(F.col(f"{name}_rank").isNotNull()), f"{name}_rank")
+        out = out.join(s.select(*[F.col(c).alias(f"{name}_{c}") for c in s.columns]))
+    c = done.agg(F.avg("cosine").alias("cosine_mean"), F.stddev_pop("cosine").alias("cosine_std"))
+    n = nonmatches.agg(F.avg("sim").alias("nonmatch_mean"))
+    return out.join(c).join(n).withColumn("matched_minus_nonmatch", F.col("cosine_mean") - F.col("nonmatch_mean"))
+
+
+def pool_pairs(pairs: DataFrame, key: str) -> DataFrame:
+    """`pairs` pooled to one row a slide: unit vectors averaged and made unit, ids in order of first appearance, n_patches."""
+    if_blank = F.raise_error(F.lit("a slide has no key"))
+    k = F.when(F.coalesce(F.trim(F.col(key).cast("string")), F.lit("")) == "", if_blank).otherwise(F.col(key).cast("string"))
+    t = pairs.select(k.alias("k"), "pair_index", V.unit(F.col("image_emb")).alias("i"), V.unit(F.col("text_emb")).alias("t"))
+    first = t.groupBy("k").agg(F.min("pair_index").alias("pair_index"), F.count("*").alias("n_patches"))
+    both = first.join(V.mean_by(t, ["k"], "i", "mi"), "k").join(V.mean_by(t, ["k"], "t", "mt"), "k")
+    none = F.lit(None).cast("string")
+    return both.select("pair_index", F.col("k").alias("slide"), "n_patches", V.unit(F.col("mi")).alias("image_emb"), V.unit(F.col("mt")).alias("text_emb"), none.alias("group_id"), none.alias("image_id"), none.alias("caption_id"))
+
+
+def nonmatches(pairs: DataFrame, n: int, i: Column, j: Column) -> DataFrame:
+    """(s, i, j, sim) of the samples s = 0 .. n - 1: image i with another pair's text; `i` and `j` are numbers made of the column s, taken modulo the number of pairs and that less one.
+
+    pair_index must be 0, 1, ... without gaps.
     """
-    pos = candidates.select(F.col("cand_id").alias("pos"), F.col("vec").alias("pv"))
-    q = queries.join(pos, "pos").select("query_id", "vec", "pos", V.dot(F.col("vec"), F.col("pv")).alias("at"))
-    qb, _ = _blocks(q, "query_id", "vec", ["pos", "at"], block, "q")
-    cb, n = _blocks(candidates, "cand_id", "vec", [], block, "c")
-    work = qb.withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).join(cb, "cb").select("qrows", "crows")
-    more = work.mapInArrow(_counts, "query_id long, more long").groupBy("query_id").agg(F.sum("more").alias("more"))
-    return q.join(more, "query_id").select("query_id", (F.col("more") + 1).alias("rank"), F.col("at").alias("pos_sim"))
-
-
-def top_k(queries: DataFrame, candidates: DataFrame, k: int) -> DataFrame:
-    """(query_id, cand_id, sim, place) of the k most similar; queries are a small sample, sent to the candidates."""
-    both = candidates.join(F.broadcast(queries.select("query_id", F.col("vec").alias("qv"))))
-    both = both.select("query_id", "cand_id", V.dot(F.col("qv"), F.col("vec")).alias("sim"))
-    w = Window.partitionBy("query_id").orderBy(F.desc(F.round("sim", 9)), "cand_id")
-    return both.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
+    size = pairs.count()
+    s = pairs.sparkSession.range(n).withColumnRenamed("id", "s").select("s", F.pmod(i, F.lit(size)).alias("i"), F.pmod(j, F.lit(size - 1)).alias("j"))
+    s = s.withColumn("j", F.col("j") + (F.col("j") >= F.col("i")).cast("int"))
+    t = s.join(pairs.select(F.col("pair_index").alias("i"), "image_emb"), "i").join(pairs.select(F.col("pair_index").alias("j"), "text_emb"), "j")
+    return t.select("s", "i", "j", V.dot(F.col("image_emb"), F.col("text_emb")).alias("sim"))
 
 
 def modality_gap(df: DataFrame, a: str, b: str) -> DataFrame:

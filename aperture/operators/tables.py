@@ -1,4 +1,4 @@
-"""Joins with checks, pooling of tiles and groups, prompt banks, upserts."""
+"""Joins with checks, pooling of tiles and groups, tile grids, upserts."""
 
 from __future__ import annotations
 
@@ -23,16 +23,114 @@ def if_evaluable(df: DataFrame) -> DataFrame:
     return df.where(F.col("evaluable").cast("boolean")) if "evaluable" in df.columns else df
 
 
-def join_patients(slides: DataFrame, patients: DataFrame, table: str) -> DataFrame:
-    """slides (group, slide, ...) with patient_id; both sides' names are made safe; unknown slides get an id of table, group and slide."""
-    p = patients.select(T.safe_name(F.col("group")).alias("pg"), T.safe_name(F.col("slide")).alias("ps"), "patient_id")
-    p = p.groupBy("pg", "ps").agg(F.max("patient_id").alias("patient_id"))
+def only_groups(df: DataFrame, groups: list[str] | None, column: str = "group") -> DataFrame:
+    """Rows of the named groups; all if none are named."""
+    return df.where(F.col(column).isin(groups)) if groups else df
+
+
+def agreeing(df: DataFrame, a: str, b: str) -> DataFrame:
+    """Rows on whose label both sides agree; a missing label agrees with none."""
+    return df.where(F.col(a) == F.col(b))
+
+
+def with_threshold(df: DataFrame, thresholds: DataFrame) -> DataFrame:
+    """Rows with their model's threshold; models without one are left out. A model with two thresholds fails the query."""
+    one = thresholds.where("threshold is not null").groupBy(F.col("model").alias("__m")).agg(F.when(F.count("*") > 1, F.raise_error(F.lit("a model has two thresholds"))).otherwise(F.max("threshold")).alias("threshold"))
+    return df.join(F.broadcast(one), F.col("model") == F.col("__m")).drop("__m")
+
+
+def with_split(df: DataFrame, splits: DataFrame, key: str = "patient_id") -> DataFrame:
+    """Rows with the split of their patient; one that the splits lack fails the query."""
+    s = splits.select(F.col(key).alias("__k"), F.col("split")).distinct()
+    out = df.join(s, F.col(key) == F.col("__k"), "left").drop("__k")
+    return out.withColumn("split", F.when(F.col("split").isNull(), F.raise_error(F.lit("a patient has no split"))).otherwise(F.col("split")))
+
+
+def same_group(queries: DataFrame, candidates: DataFrame) -> DataFrame:
+    """(query_id, cand_id) of the candidates (cand_id, grp) in the group of each query (query_id, grp)."""
+    return queries.select("query_id", "grp").join(candidates.select("cand_id", "grp"), "grp").select("query_id", "cand_id")
+
+
+def encoded_once(df: DataFrame, key: str, encode) -> DataFrame:
+    """`df` with the columns that `encode` adds to a table of its different keys, each of which is computed once."""
+    once = encode(df.select(key).distinct()).withColumnRenamed(key, "__k")
+    return df.join(once, F.col(key).eqNullSafe(F.col("__k"))).drop("__k")
+
+
+def join_patients(slides: DataFrame, patients: DataFrame, table: str, order: str | None = None) -> DataFrame:
+    """slides (group, slide, ...) with patient_id; both sides' names are made safe; unknown slides get an id of table, group and slide.
+
+    Of patients that share a slide the last by `order` counts; without it the largest id. missed is 1 for an unknown slide.
+    """
+    p = patients.select(T.safe_name(F.col("group")).alias("pg"), T.safe_name(F.col("slide")).alias("ps"), "patient_id", (F.col(order) if order else F.lit(0)).alias("po"))
+    p = p.groupBy("pg", "ps").agg(F.max(F.struct("po", "patient_id")).alias("x")).select("pg", "ps", F.col("x.patient_id").alias("patient_id"))
     g, s = T.safe_name(F.col("group")), T.safe_name(F.col("slide"))
     own = F.concat_ws("::", F.lit(table), g, F.lit("SLIDE"), s)
     df = slides.withColumns({"g": g, "s": s}).join(p, (F.col("g") == F.col("pg")) & (F.col("s") == F.col("ps")), "left")
     return df.withColumns({"missed": F.col("patient_id").isNull().cast("int"), "patient_id": F.coalesce("patient_id", own)}).drop("g", "s", "pg", "ps")
 
 
+def missed_by_group(joined: DataFrame) -> DataFrame:
+    """(group, n, missed): how many slides of each group found no patient."""
+    return joined.groupBy("group").agg(F.count("*").alias("n"), F.sum("missed").alias("missed"))
+
+
+def patient_rollup(df: DataFrame, patient: str = "patient", group: str = "grp") -> DataFrame:
+    """(patient, grp, n_slides, n_pos, pattern) of slides with gt; a patient of two groups fails the query."""
+    p = df.groupBy(patient).agg(F.min(group).alias(group), F.max(group).alias("__g"), F.count("*").alias("n_slides"), F.sum("gt").alias("n_pos"))
+    p = p.withColumn(group, F.when(F.col(group) == F.col("__g"), F.col(group)).otherwise(F.raise_error(F.lit("a patient has two groups"))))
+    pattern = F.when(F.col("n_pos") == 0, "negative_only").when(F.col("n_pos") == F.col("n_slides"), "positive_only").otherwise("mixed")
+    return p.select(patient, group, "n_slides", "n_pos", pattern.alias("pattern"))
+
+
+def strata(patients: DataFrame, *keys: str, least: int = 2) -> DataFrame:
+    """(keys, n) of the strata; one of fewer than `least` patients fails the query."""
+    t = patients.groupBy(*keys).agg(F.count("*").alias("n"))
+    return t.withColumn("n", F.when(F.col("n") < least, F.raise_error(F.lit("a stratum is too small"))).otherwise(F.col("n")))
+
+
+def members(df: DataFrame, key: str, order: str, *fields: str) -> DataFrame:
+    """(key, n, members): each group's rows as structs of `fields` in input order. A group is one row of the result, as is asked."""
+    t = df.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(order, *fields))).alias("m"))
+    return t.select(key, F.size("m").cast("long").alias("n"), F.transform("m", lambda x: F.struct(*[x[f].alias(f) for f in fields])).alias("members"))
+
+
+def batched(df: DataFrame, key: str, order: str, size: int, whole_only: bool = False) -> DataFrame:
+    """`batch` numbers the rows of each key in runs of `size`; whole_only leaves out a last short one, as in training."""
+    w = Window.partitionBy(key)
+    t = df.withColumn("batch", F.floor((F.row_number().over(w.orderBy(order)) - 1) / size))
+    return t.withColumn("__n", F.count("*").over(w)).where((F.col("batch") + 1) * size <= F.col("__n")).drop("__n") if whole_only else t
+
+
+# ------------------------------------------------------------------ tiles
+
+
+def tile_grid(df: DataFrame, height: str, width: str, size: int, *keep: str) -> DataFrame:
+    """(keep, y, x) of the whole tiles of each image; one smaller than a tile has none."""
+    h, w = F.col(height).cast("long"), F.col(width).cast("long")
+    run = lambda end: F.sequence(F.lit(0).cast("long"), end - size, F.lit(size).cast("long"))
+    t = df.where((h >= size) & (w >= size)).select(*keep, w.alias("__w"), F.explode(run(h)).alias("y"))
+    return t.select(*keep, "y", F.explode(run(F.col("__w"))).alias("x"))
+
+
+def tissue(pixels: DataFrame, key: str, saturation: str, hue: str, least: float = 20.0, part: float = 0.1, band: tuple[float, float] = (130.0, 220.0)) -> DataFrame:
+    """(key, mean_sat, hue_part) of the tiles with a mean saturation of `least` or more and at least `part` of their pixels in the hue band."""
+    t = pixels.groupBy(key).agg(F.avg(saturation).alias("mean_sat"), F.avg(F.col(hue).between(*band).cast("double")).alias("hue_part"))
+    return t.where((F.col("mean_sat") >= least) & (F.col("hue_part") >= part))
+
+
+def in_region(tiles: DataFrame, cells: DataFrame, size: int, cell: int, key: str) -> DataFrame:
+    """Tiles (key, y, x) that meet a marked cell of a region mask (key, cy, cx: cells of `cell` pixels); these stay whatever their tissue.
+
+    A tile is dealt to the cells it covers, so the mask is met by equal keys, not by ranges.
+    """
+    span = lambda c: F.sequence(F.floor(F.col(c) / cell), F.floor((F.col(c) + size - 1) / cell))
+    t = tiles.withColumn("cy", F.explode(span("y"))).withColumn("cx", F.explode(span("x")))
+    m = cells.select(F.col(key).alias("__k"), F.col("cy").alias("__cy"), F.col("cx").alias("__cx"))
+    met = t.join(m, (F.col(key) == F.col("__k")) & (F.col("cy") == F.col("__cy")) & (F.col("cx") == F.col("__cx")), "left_semi")
+    return met.select(*tiles.columns).distinct()
+
+
 def one_to_one(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     """Inner join that fails, when it runs, on a key that either side has twice."""
     check = lambda df, n: df.withColumn(n, F.when(F.count("*").over(Window.partitionBy(*keys)) > 1, F.raise_error(F.lit("a key is not unique"))).otherwise(F.lit(0).cast("int")))
@@ -55,10 +153,10 @@ def pool_groups(df: DataFrame, key: str, vector: str) -> DataFrame:
     return first.join(V.mean_by(t, ["k"], "v", "m"), "k").select("new_id", F.col("k").alias("group_key"), "caption", "n_patches", V.unit(F.col("m")).alias("vec"))
 
 
-def prompt_bank(classes: DataFrame, templates: DataFrame) -> DataFrame:
-    """(class_id, template_key, name, prompt): each template filled with each different name of a class, in order of first mention."""
-    names = classes.groupBy("class_id", "name").agg(F.min("ord").alias("ord"))
-    return names.join(F.broadcast(templates)).select("class_id", "ord", "template_key", "name", T.fill_template(F.col("template"), F.col("name")).alias("prompt"))
+def pool_texts(df: DataFrame, key: str, vector: str) -> DataFrame:
+    """One unit vector an item with several texts: their mean, made unit; n_texts."""
+    n = df.groupBy(key).agg(F.count("*").alias("n_texts")).withColumnRenamed(key, "__k")
+    return V.mean_by(df, [key], vector, "m").join(n, F.col(key) == F.col("__k")).select(key, "n_texts", V.unit(F.col("m")).alias("vec"))
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:

@@ -8,7 +8,9 @@ from aperture.functions import scalars as S
 from aperture.functions import text as T
 from aperture.functions import vectors as V
 from aperture.operators import curves as K
+from aperture.operators import bundles as U
 from aperture.operators import metrics as M
+from aperture.operators import prompts as W
 from aperture.operators import resample as B
 from aperture.operators import retrieval as R
 from aperture.operators import scoring as P
@@ -53,6 +55,9 @@ rc AS (SELECT {k} score AS threshold, sum(p) OVER w AS tps, sum(n) OVER w AS fps
 ro AS (SELECT {k} threshold, tps / nullif(ap, 0)::DOUBLE AS tpr, fps / nullif(an, 0)::DOUBLE AS fpr, tps::DOUBLE AS tps, fps::DOUBLE AS fps FROM rc)"""
 FLAT = POINTS.format(k="", pk="")
 BY = POINTS.format(k="lang,", pk="PARTITION BY lang")
+PRUNED = BY + """,
+kk AS (SELECT *, lead(tps) OVER w - 2 * tps + lag(tps) OVER w AS a, lead(fps) OVER w - 2 * fps + lag(fps) OVER w AS b FROM ro WINDOW w AS (PARTITION BY lang ORDER BY threshold DESC)),
+kp AS (SELECT lang, threshold, tpr, fpr, tpr - fpr AS j, 1 - fpr AS spec FROM kk WHERE a IS NULL OR a <> 0 OR b <> 0 UNION ALL SELECT DISTINCT lang, 'inf'::DOUBLE, CASE WHEN bool_or(gt = 1) OVER q THEN 0.0 END, CASE WHEN bool_or(gt = 0) OVER q THEN 0.0 END, CASE WHEN bool_or(gt = 1) OVER q AND bool_or(gt = 0) OVER q THEN 0.0 END, CASE WHEN bool_or(gt = 0) OVER q THEN 1.0 END FROM s WINDOW q AS (PARTITION BY lang))"""
 AUC = "sum(p * (below + 0.5::DOUBLE * n)) / nullif(sum(p) * sum(n), 0)::DOUBLE"
 PAIRS = """n AS (SELECT count(*) AS n FROM embeddings),
 raw AS (SELECT e.vec_id AS i, e.label, e.embedding::DOUBLE[] AS a, list_transform(list_zip(e.embedding, o.embedding), lambda z: z[1]::DOUBLE * 0.2::DOUBLE + z[2]::DOUBLE * 0.8::DOUBLE) AS b
@@ -117,12 +122,13 @@ def quadratic_kappa(spark, d):
     return rounded(M.quadratic_kappa(_pred(spark, d)))
 
 
-@query(f"""WITH {CLASSES}, b AS (SELECT class_id AS c, score, sum((label = class_id)::INT) AS p, sum((label <> class_id)::INT) AS n FROM (SELECT *, round(logit, 9) AS score FROM lg) GROUP BY ALL),
-w AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY c ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM b), a AS (SELECT c, {AUC} AS auc FROM w GROUP BY c) SELECT round(avg(auc), 6) AS macro_auroc, count(auc) AS classes FROM a""")
+@query(f"""WITH {CLASSES}, e AS (SELECT *, exp(logit - max(logit) OVER w) AS e FROM lg WINDOW w AS (PARTITION BY item_id)), sm AS (SELECT *, round(e / sum(e) OVER (PARTITION BY item_id), 9) AS score FROM e),
+b AS (SELECT class_id AS c, score, sum((label = class_id)::INT) AS p, sum((label <> class_id)::INT) AS n FROM sm GROUP BY ALL),
+w AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY c ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM b), a AS (SELECT c, {AUC} AS auc FROM w GROUP BY c)
+SELECT CASE WHEN count(auc) = 10 THEN round(avg(auc), 6) END AS macro_auroc, count(auc) AS classes FROM a""")
 def macro_ovr_auroc(spark, d):
-    lg = P.logits(I.items(spark, d), P.class_vectors(I.prompts(spark, d)))
-    t = lg.select("class_id", (F.col("label") == F.col("class_id")).cast("int").alias("gt"), F.round("logit", 9).alias("score"))
-    return rounded(K.auroc(t, ["class_id"]).agg(F.avg("auroc").alias("macro_auroc"), F.count("auroc").alias("classes")))
+    p = P.softmax(P.logits(I.items(spark, d), P.class_vectors(I.prompts(spark, d)))).withColumn("prob", F.round("prob", 9))
+    return rounded(K.macro_ovr_auroc(p, 10))
 
 
 @query("SELECT range AS c, CASE WHEN range >= 2 THEN round(1.0::DOUBLE / range, 6) END AS chance, CASE WHEN range >= 2 THEN round((0.8::DOUBLE - 1.0::DOUBLE / range) / (1 - 1.0::DOUBLE / range), 6) END AS corrected FROM range(2, 10)")
@@ -195,10 +201,7 @@ def patient_rollup(spark, d):
 
 
 def _patients(spark, d):
-    p = I.slide_scores(spark, d).groupBy("patient").agg(F.min("grp").alias("grp"), F.max("grp").alias("g2"), F.count("*").alias("n_slides"), F.sum("gt").alias("n_pos"))
-    p = p.withColumn("grp", F.when(F.col("grp") == F.col("g2"), F.col("grp")).otherwise(F.raise_error(F.lit("a patient has two organs"))))
-    pattern = F.when(F.col("n_pos") == 0, "negative_only").when(F.col("n_pos") == F.col("n_slides"), "positive_only").otherwise("mixed")
-    return p.select("patient", "grp", "n_slides", "n_pos", pattern.alias("pattern"))
+    return J.patient_rollup(I.slide_scores(spark, d))
 
 
 @query(f"SELECT 0 AS z, (SELECT count(DISTINCT o_custkey) FROM orders) AS patients, (SELECT count(DISTINCT c_mktsegment) FROM customer) AS groups")
@@ -207,10 +210,10 @@ def distinct_clusters(spark, d):
     return o.agg(F.countDistinct("o_custkey").alias("patients")).join(F.broadcast(c.agg(F.countDistinct("c_mktsegment").alias("groups")))).select(F.lit(0).alias("z"), "patients", "groups")
 
 
-@query("SELECT user_id, list(event_id ORDER BY event_id)[1:3] AS first_three, count(*) AS n FROM events GROUP BY user_id")
+@query("SELECT user_id, count(*) AS n, list(event_id ORDER BY event_id) AS events FROM events GROUP BY user_id")
 def grouped_in_order(spark, d):
-    e = I.read(spark, d, "events").groupBy("user_id").agg(F.slice(F.array_sort(F.collect_list("event_id")), 1, 3).alias("first_three"), F.count("*").alias("n"))
-    return e
+    m = J.members(I.read(spark, d, "events").withColumn("id", F.col("event_id")), "user_id", "event_id", "id")
+    return m.select("user_id", "n", F.transform("members", lambda x: x["id"]).alias("events"))
 
 
 @query("SELECT event_type, round(sum(value * (user_id % 7)) / greatest(1, sum(user_id % 7)), 6) AS weighted FROM events GROUP BY event_type")
@@ -243,10 +246,9 @@ def average_precision(spark, d):
     return rounded(K.average_precision(I.doc_scores(spark, d), ["lang"]))
 
 
-@query(f"WITH {DOCS}, {BY}, a AS (SELECT lang, threshold, tpr, fpr FROM ro UNION ALL SELECT DISTINCT lang, 'inf'::DOUBLE, 0.0, 0.0 FROM s), m AS (SELECT lang, max((round(tpr - fpr, 12), threshold)) AS m FROM a WHERE lang IN (SELECT lang FROM ro WHERE tpr IS NOT NULL AND fpr IS NOT NULL) GROUP BY lang) SELECT lang, round(m[2], 6) AS threshold, round(m[1], 6) AS j FROM m")
+@query(f"WITH {DOCS}, {PRUNED}, m AS (SELECT lang, max((j, threshold)) AS m, count(*) FILTER (j IS NULL) AS u FROM kp GROUP BY lang) SELECT lang, round(m[2], 6) AS threshold, round(m[1], 6) AS j FROM m WHERE u = 0")
 def youden_threshold(spark, d):
-    pts = K.roc(I.doc_scores(spark, d), ["lang"])
-    return rounded(K.youden(pts.withColumns({"tpr": F.round(F.col("tpr") - F.col("fpr"), 12), "fpr": F.lit(0.0)}), ["lang"]))
+    return rounded(K.youden(K.roc(I.doc_scores(spark, d), ["lang"], True), ["lang"]))
 
 
 @query(f"WITH {DOCS}, {BY}, m AS (SELECT *, max(tpr - fpr) OVER (PARTITION BY lang) AS b FROM ro) SELECT lang, round(max(threshold), 6) AS threshold, round(max(b), 6) AS j FROM m WHERE abs(tpr - fpr - b) <= 1e-8 + 1e-5 * abs(b) GROUP BY lang")
@@ -255,9 +257,15 @@ def youden_tolerant(spark, d):
     return rounded(K.youden(pts, ["lang"], True))
 
 
-@query(f"WITH {DOCS}, {BY}, a AS (SELECT lang, threshold, tpr, fpr FROM ro), c AS (SELECT lang, max((-fpr, threshold, tpr)) AS m FROM a WHERE tpr >= 0.9 GROUP BY lang) SELECT lang, round(m[2], 6) AS threshold, round(m[3], 6) AS sensitivity, round(1 + m[1], 6) AS specificity FROM c")
+@query(f"""WITH {DOCS}, {PRUNED}, f AS (SELECT unnest([0.9, 0.95, 1.5]::DOUBLE[]) AS floor), c AS (SELECT floor, lang, max((tpr >= floor, CASE WHEN tpr >= floor THEN -fpr ELSE tpr END, threshold, tpr, fpr)) AS m FROM kp, f WHERE tpr IS NOT NULL GROUP BY ALL)
+SELECT floor, lang, round(m[3], 6) AS threshold, round(m[4], 6) AS sensitivity, round(1 - m[5], 6) AS specificity FROM c""")
 def sensitivity_floor(spark, d):
-    return rounded(K.at_sensitivity(K.roc(I.doc_scores(spark, d), ["lang"]), 0.9, ["lang"]))
+    """Floors of 0.9 and 0.95, and one that no point reaches."""
+    pts, out = K.roc(I.doc_scores(spark, d), ["lang"], True), None
+    for floor in (0.9, 0.95, 1.5):
+        one = K.at_sensitivity(pts, floor, ["lang"]).withColumn("floor", F.lit(floor))
+        out = one if out is None else out.unionByName(one)
+    return rounded(out)
 
 
 @query(f"WITH {SLIDES}, x AS (SELECT grp, gt, (score >= 0.5::DOUBLE)::INT AS pred FROM s), c AS (SELECT grp, {CONF}, count(*) AS n FROM x GROUP BY grp) SELECT *, {DERIVED} FROM c")
@@ -272,9 +280,9 @@ def stored_or_thresholded(spark, d):
     return rounded(M.derived(t.groupBy("lang").agg(*M.confusion(F.col("gt"), F.col("pred")))))
 
 
-@query(f"WITH {DOCS} SELECT width_bucket AS bin, count(*) AS n FROM (SELECT least(greatest(floor(score / (1.0::DOUBLE / 80)), 0), 79)::INT AS width_bucket FROM s WHERE score BETWEEN 0 AND 1) GROUP BY 1")
+@query(f"WITH {DOCS}, e AS (SELECT min(score) AS lo, max(score) AS hi FROM s) SELECT bin, count(*) AS n FROM (SELECT CASE WHEN hi > lo THEN least(floor((score - lo) / ((hi - lo) / 80)), 79) ELSE 0 END::INT AS bin FROM s, e) GROUP BY 1")
 def score_histogram(spark, d):
-    return M.histogram(I.doc_scores(spark, d), "score", 80, 0.0, 1.0)
+    return M.histogram(I.doc_scores(spark, d), "score", 80)
 
 
 # ------------------------------------------------------------------ ids, joins, filters
@@ -363,15 +371,14 @@ def tile_grid_all(spark, d):
 
 
 def _grid(part):
-    h = F.col("p_size").cast("bigint") * 100
-    t = part.where(h >= 256).select(F.col("p_partkey").alias("k"), F.explode(F.sequence(F.lit(0).cast("bigint"), h - 256, F.lit(256).cast("bigint"))).alias("y"))
-    return t.select("k", "y", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(744).cast("bigint"), F.lit(256).cast("bigint"))).alias("x"))
+    t = part.select(F.col("p_partkey").alias("k"), (F.col("p_size") * 100).alias("h"), F.lit(1000).alias("w"))
+    return J.tile_grid(t, "h", "w", 256, "k")
 
 
-@query("SELECT user_id AS slide, round(avg(value), 6) AS mean_sat, round(avg((value BETWEEN 130 AND 220)::INT), 6) AS hue_part FROM events GROUP BY user_id HAVING avg(value) >= 20 AND avg((value BETWEEN 30 AND 220)::INT) >= 0.1")
+@query("SELECT user_id AS slide, round(avg(value), 6) AS mean_sat, round(avg((value BETWEEN 30 AND 220)::INT), 6) AS hue_part FROM events GROUP BY user_id HAVING avg(value) >= 20 AND avg((value BETWEEN 30 AND 220)::INT) >= 0.1::DOUBLE")
 def tissue_filter(spark, d):
-    t = I.read(spark, d, "events").groupBy(F.col("user_id").alias("slide")).agg(F.avg("value").alias("mean_sat"), F.avg(F.col("value").between(130, 220).cast("double")).alias("hue_part"), F.avg(F.col("value").between(30, 220).cast("double")).alias("part"))
-    return rounded(t.where("mean_sat >= 20 and part >= 0.1").drop("part"))
+    e = I.read(spark, d, "events").select(F.col("user_id").alias("slide"), "value")
+    return rounded(J.tissue(e, "slide", "value", "value", band=(30, 220)))
 
 
 @query("SELECT step, round(CASE WHEN step < 100 THEN 0.001::DOUBLE * (step + 1) / 100 ELSE 0.00001::DOUBLE + (0.001::DOUBLE - 0.00001::DOUBLE) * 0.5::DOUBLE * (1 + cos(pi() * (step - 100) / 900.0::DOUBLE)) END, 9) AS lr FROM (SELECT range AS step FROM range(1000))")
@@ -381,10 +388,12 @@ def lr_schedule(spark, d):
 
 @query("SELECT event_id, floor((row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1) / 8)::BIGINT AS batch FROM events")
 def fixed_batches(spark, d):
-    from pyspark.sql import Window
+    return J.batched(I.read(spark, d, "events"), "user_id", "event_id", 8).select("event_id", "batch")
+
 
-    r = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) - 1
-    return I.read(spark, d, "events").select("event_id", F.floor(r / 8).alias("batch"))
+@query("SELECT event_id, batch FROM (SELECT event_id, floor((row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1) / 8)::BIGINT AS batch, count(*) OVER (PARTITION BY user_id) AS n FROM events) WHERE (batch + 1) * 8 <= n")
+def whole_batches(spark, d):
+    return J.batched(I.read(spark, d, "events"), "user_id", "event_id", 8, True).select("event_id", "batch")
 
 
 # ------------------------------------------------------------------ texts and JSON
@@ -395,7 +404,7 @@ SELECT class_id, ord, template_key, name, replace(replace(template, '{}', name),
 def prompt_banks(spark, d):
     c = I.read(spark, d, "part").select((F.col("p_partkey") % 7).alias("class_id"), F.col("p_brand").alias("name"), F.col("p_partkey").alias("ord"))
     t = spark.createDataFrame([("a", "an image of {}."), ("b", "CLASSNAME is shown"), ("c", "presence of {} in CLASSNAME")], "template_key string, template string")
-    return J.prompt_bank(c, t)
+    return W.prompt_bank(c, t)
 
 
 @query("""WITH q AS (SELECT conv_id, turn, text AS q, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS a, role, lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS r2 FROM conversations),
@@ -494,12 +503,11 @@ def modality_gap(spark, d):
 @query(f"""WITH {PAIRS}, k AS (SELECT max(i) + 1 AS n FROM pq), s AS (SELECT range AS s, ('0x' || substr(md5('i' || range), 1, 15))::BIGINT AS x, ('0x' || substr(md5('j' || range), 1, 15))::BIGINT AS y FROM range(2000)),
 d AS (SELECT s, x % n AS i, y % (n - 1) AS j FROM s, k), e AS (SELECT s, i, j + (j >= i)::INT AS j FROM d) SELECT s, a.i, b.i AS j, round(list_dot_product(a.im, b.tx), 6) AS sim FROM e JOIN pq a ON a.i = e.i JOIN pq b ON b.i = e.j""")
 def random_nonmatches(spark, d):
-    p = I.pairs(spark, d)
-    n = p.count()
-    s = spark.range(2000).select(F.col("id").alias("s"), F.pmod(B.digest(F.concat(F.lit("i"), F.col("id").cast("string"))), F.lit(n)).alias("i"), F.pmod(B.digest(F.concat(F.lit("j"), F.col("id").cast("string"))), F.lit(n - 1)).alias("j"))
-    s = s.withColumn("j", F.col("j") + (F.col("j") >= F.col("i")).cast("int"))
-    t = s.join(p.select(F.col("pair_index").alias("i"), "image_emb"), "i").join(p.select(F.col("pair_index").alias("j"), "text_emb"), "j")
-    return rounded(t.select("s", "i", "j", V.dot(F.col("image_emb"), F.col("text_emb")).alias("sim")))
+    return rounded(R.nonmatches(I.pairs(spark, d), 2000, *_draws()))
+
+
+def _draws():
+    return [B.digest(F.concat(F.lit(x), F.col("s").cast("string"))) for x in "ij"]
 
 
 @query(f"""WITH {PAIRS}, x AS (SELECT a.i, b.i AS j, list_dot_product(a.im, b.tx) AS sim FROM pq a, pq b WHERE a.i < 64 AND b.i < 64), r AS (SELECT i, ln(sum(exp(sim * 10))) AS l, max(sim) AS m FROM x GROUP BY i), c AS (SELECT j, ln(sum(exp(sim * 10))) AS l, max(sim) AS m FROM x GROUP BY j),
@@ -518,10 +526,15 @@ def info_nce_batches(spark, d):
     return rounded(R.info_nce(both.select("batch", "i", "j", V.dot(F.col("image_emb"), F.col("text_emb")).alias("sim")), 10.0, "batch"))
 
 
-@query(f"""WITH {PAIRS} SELECT round(avg(list_dot_product(im, tx)), 6) AS mean_cosine, round(quantile_cont(list_dot_product(im, tx), 0.05), 6) AS p05, round(stddev_pop(list_dot_product(im, tx)), 6) AS std FROM pq""")
+SHIFT = "list_dot_product(im, tx) AS cosine, sqrt(list_sum(list_transform(list_zip(im, tx), lambda z: (z[1] - z[2]) * (z[1] - z[2])))) / sqrt(list_dot_product(im, im)) AS relative_l2, sqrt(list_dot_product(tx, tx)) / sqrt(list_dot_product(im, im)) AS norm_ratio, list_avg(list_transform(list_zip(im, tx), lambda z: abs(z[1] - z[2]))) AS mean_abs"
+
+
+@query(f"""WITH {PAIRS}, x AS (SELECT {SHIFT} FROM pq)
+SELECT round(avg(cosine), 6) AS mean_cosine, round(quantile_cont(cosine, 0.05), 6) AS p05, round(stddev_pop(cosine), 6) AS std, round(avg(relative_l2), 6) AS relative_l2, round(avg(norm_ratio), 6) AS norm_ratio, round(avg(mean_abs), 6) AS mean_abs FROM x""")
 def feature_shift(spark, d):
     x = I.pairs(spark, d).select(*[c.alias(n) for n, c in V.shift(F.col("image_emb"), F.col("text_emb")).items()])
-    return rounded(x.agg(F.avg("cosine").alias("mean_cosine"), F.percentile("cosine", F.lit(0.05)).alias("p05"), F.stddev_pop("cosine").alias("std")))
+    means = [F.avg(c).alias(c) for c in ("relative_l2", "norm_ratio", "mean_abs")]
+    return rounded(x.agg(F.avg("cosine").alias("mean_cosine"), F.percentile("cosine", F.lit(0.05)).alias("p05"), F.stddev_pop("cosine").alias("std"), *means))
 
 
 @query("WITH t AS (SELECT user_id % 12 + 1 AS rank FROM events) SELECT rank, round(sum(count(*)) OVER (ORDER BY rank) / sum(count(*)) OVER ()::DOUBLE, 6) AS cdf FROM t GROUP BY rank")
@@ -532,7 +545,7 @@ def rank_cdf(spark, d):
 # ------------------------------------------------------------------ resampling and splits
 
 DRAWS = """cl AS (SELECT source::VARCHAR AS c, row_number() OVER (ORDER BY source) - 1 AS ix FROM (SELECT DISTINCT source FROM s)), nc AS (SELECT count(*) AS n FROM cl),
-dr AS (SELECT (r.range // n)::INT AS rep, ('0x' || substr(md5('b' || r.range), 1, 15))::BIGINT % n AS d FROM nc, range(4000) r WHERE r.range < 200 * n), w AS (SELECT rep, c, count(*) AS weight FROM dr JOIN cl ON d = ix GROUP BY ALL)"""
+dr AS (SELECT (r // n)::INT AS rep, ('0x' || substr(md5('b' || r), 1, 15))::BIGINT % n AS d FROM (SELECT n, unnest(range(200 * n)) AS r FROM nc)), w AS (SELECT rep, c, count(*) AS weight FROM dr JOIN cl ON d = ix GROUP BY ALL)"""
 REPS = f"""{DRAWS}, x AS (SELECT rep, score, sum(CASE WHEN gt = 1 THEN weight ELSE 0 END)::DOUBLE AS p, sum(CASE WHEN gt = 0 THEN weight ELSE 0 END)::DOUBLE AS n FROM s JOIN w ON source = c GROUP BY ALL),
 bl AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY rep ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM x), st AS (SELECT rep, {AUC} AS auroc FROM bl GROUP BY rep)"""
 
@@ -556,15 +569,12 @@ def paired_bootstrap(spark, d):
     return rounded(B.paired_p(t.groupBy("rep").agg((acc(0.05) - acc(0.02)).alias("delta")), "delta"))
 
 
-@query(f"""WITH {DOCS}, {DRAWS}, k AS (SELECT rep, sum(weight) FILTER (gt = 1 AND score >= 0.05::DOUBLE) AS tp, sum(weight) FILTER (gt = 0 AND score < 0.05::DOUBLE) AS tn, sum(weight) FILTER (gt = 1) AS p, sum(weight) FILTER (gt = 0) AS n FROM s JOIN w ON source = c GROUP BY rep),
-m AS (SELECT coalesce(tp, 0) / p::DOUBLE AS se, coalesce(tn, 0) / n::DOUBLE AS sp FROM k WHERE p > 0 AND n > 0) SELECT round(quantile_cont(se, 0.025), 6) AS sens_lo, round(quantile_cont(se, 0.975), 6) AS sens_hi, round(quantile_cont(sp, 0.025), 6) AS spec_lo, round(quantile_cont(sp, 0.975), 6) AS spec_hi, count(*) AS n_valid FROM m""")
+@query(f"""WITH {DOCS}, {REPS}, k AS (SELECT rep, sum(weight) FILTER (gt = 1 AND score >= 0.05::DOUBLE) AS tp, sum(weight) FILTER (gt = 0 AND score < 0.05::DOUBLE) AS tn, sum(weight) FILTER (gt = 1) AS p, sum(weight) FILTER (gt = 0) AS n FROM s JOIN w ON source = c GROUP BY rep),
+m AS (SELECT auroc, coalesce(tp, 0) / p::DOUBLE AS se, coalesce(tn, 0) / n::DOUBLE AS sp FROM k JOIN st USING (rep) WHERE auroc IS NOT NULL)
+SELECT round(quantile_cont(auroc, 0.025), 6) AS auroc_lo, round(quantile_cont(auroc, 0.975), 6) AS auroc_hi, round(quantile_cont((se + sp) / 2, 0.025), 6) AS balanced_accuracy_lo, round(quantile_cont((se + sp) / 2, 0.975), 6) AS balanced_accuracy_hi,
+round(quantile_cont(se, 0.025), 6) AS sensitivity_lo, round(quantile_cont(se, 0.975), 6) AS sensitivity_hi, round(quantile_cont(sp, 0.025), 6) AS specificity_lo, round(quantile_cont(sp, 0.975), 6) AS specificity_hi, count(*) AS n_valid FROM m""")
 def locked_threshold_intervals(spark, d):
-    t, hit = _weighted(spark, d), F.col("score") >= 0.05
-    w = lambda c: F.sum(F.when(c, F.col("weight")).otherwise(0))
-    k = t.groupBy("rep").agg(w((F.col("gt") == 1) & hit).alias("tp"), w((F.col("gt") == 0) & ~hit).alias("tn"), w(F.col("gt") == 1).alias("p"), w(F.col("gt") == 0).alias("n")).where("p > 0 and n > 0")
-    k = k.select((F.col("tp") / F.col("p")).alias("se"), (F.col("tn") / F.col("n")).alias("sp"))
-    q = lambda c, x: F.percentile(c, F.lit(x))
-    return rounded(k.agg(q("se", 0.025).alias("sens_lo"), q("se", 0.975).alias("sens_hi"), q("sp", 0.025).alias("spec_lo"), q("sp", 0.975).alias("spec_hi"), F.count("*").alias("n_valid")))
+    return rounded(U.locked_threshold_intervals(I.doc_scores(spark, d), "source", 0.05, 200))
 
 
 @query("""WITH p AS (SELECT p_partkey AS k, p_size % 4 AS g, (p_partkey * 37 % 1000) / 1000.0::DOUBLE AS p FROM part WHERE p_partkey <= 200), r AS (SELECT *, least(1, (count(*) OVER (PARTITION BY g) - row_number() OVER w + 1) * p) AS s FROM p WINDOW w AS (PARTITION BY g ORDER BY p, k))
@@ -584,10 +594,13 @@ def _holm(part):
     return rounded(B.holm(t, "p", "g", order="k"))
 
 
-@query(f"""WITH {SLIDES}, p AS (SELECT patient, any_value(grp) AS grp, CASE WHEN sum(gt) = 0 THEN 'negative_only' WHEN sum(gt) = count(*) THEN 'positive_only' ELSE 'mixed' END AS pattern FROM s GROUP BY patient)
-SELECT patient, grp, pattern, CASE WHEN row_number() OVER (PARTITION BY grp, pattern ORDER BY ('0x' || substr(md5('42' || patient), 1, 15))::BIGINT, patient) <= greatest(round(count(*) OVER (PARTITION BY grp, pattern) * 0.2::DOUBLE), 2) THEN 'calibration' ELSE 'holdout' END AS split FROM p""")
+@query(f"""WITH {SLIDES}, p AS (SELECT patient, any_value(grp) AS grp, CASE WHEN sum(gt) = 0 THEN 'negative_only' WHEN sum(gt) = count(*) THEN 'positive_only' ELSE 'mixed' END AS pattern FROM s GROUP BY patient),
+z AS (SELECT grp, pattern, count(*) AS n, sum(count(*)) OVER () AS t, ceil(sum(count(*)) OVER () * 0.2 - 0.000000001) AS k FROM p GROUP BY ALL), f AS (SELECT *, n * k::DOUBLE / t AS share, floor(n * k::DOUBLE / t + 1e-9) AS base FROM z),
+q AS (SELECT grp, pattern, base + (row_number() OVER (ORDER BY round(share - base, 9) DESC, n DESC, grp || '::' || pattern) <= k - sum(base) OVER ())::INT AS m FROM f),
+r AS (SELECT *, row_number() OVER (PARTITION BY grp, pattern ORDER BY ('0x' || substr(md5('42' || patient), 1, 15))::BIGINT, patient) AS r FROM p)
+SELECT patient, r.grp, r.pattern, CASE WHEN r <= m THEN 'calibration' ELSE 'holdout' END AS split FROM r JOIN q ON r.grp = q.grp AND r.pattern = q.pattern""")
 def stratified_split(spark, d):
-    return B.stratified(_patients(spark, d), "patient", ["grp", "pattern"], 0.2).select("patient", "grp", "pattern", "split")
+    return B.stratified(_patients(spark, d), "patient", ["grp", "pattern"], 0.2, least=1).select("patient", "grp", "pattern", "split")
 
 
 @query("""WITH g AS (SELECT source, count(*) AS n FROM documents GROUP BY source) SELECT source, n, CASE WHEN coalesce(sum(n) OVER (ORDER BY ('0x' || substr(md5('42' || source), 1, 15))::BIGINT, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < 0.2 * sum(n) OVER () THEN 'val' ELSE 'train' END AS split FROM g""")
@@ -595,7 +608,7 @@ def grouped_split(spark, d):
     return B.grouped_split(I.read(spark, d, "documents"), "source", 0.2)
 
 
-@query("""WITH h AS (SELECT doc_id, ('0x' || substr(md5('42' || doc_id), 1, 15))::BIGINT AS h FROM documents) SELECT doc_id, CASE WHEN row_number() OVER (ORDER BY h) <= (SELECT round(count(*) * 0.1::DOUBLE) FROM h) THEN 'val' ELSE 'train' END AS split FROM h""")
+@query("""WITH h AS (SELECT doc_id, ('0x' || substr(md5('42' || doc_id), 1, 15))::BIGINT AS h FROM documents) SELECT doc_id, CASE WHEN row_number() OVER (ORDER BY h, doc_id) <= (SELECT round(count(*) * 0.1::DOUBLE) FROM h) THEN 'val' ELSE 'train' END AS split FROM h""")
 def flat_split(spark, d):
     return B.flat_split(I.read(spark, d, "documents").select("doc_id"), "doc_id", 0.1)
 
@@ -648,3 +661,6 @@ def first_seen_distinct(spark, d):
 def headline_mean(spark, d):
     t = I.read(spark, d, "documents").groupBy("lang", "source").agg(F.avg((F.col("n_chars") > 2000).cast("int")).alias("x"))
     return rounded(t.groupBy("lang").agg(F.avg(S.chance_corrected(F.col("x"), F.lit(4))).alias("headline")))
+
+
+from aperture import queries_reports  # noqa: E402, F401  registers the rest

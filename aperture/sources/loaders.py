@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -42,8 +43,23 @@ def split_files(spark: SparkSession, folder: str, split: str, columns: list[str]
     return df.select(*columns) if columns else df
 
 
+def numbered(df: DataFrame, into: str = "row") -> DataFrame:
+    """Rows numbered 0, 1, ... in the order of the scan; only the sizes of partitions reach the driver."""
+    t = df.withColumn("__m", F.monotonically_increasing_id())
+    part = F.shiftright("__m", 33)
+    sizes = sorted((r.p, r.n) for r in t.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect())
+    before, starts = 0, []
+    for p, n in sizes:
+        starts.append((p, before))
+        before += n
+    starts = df.sparkSession.createDataFrame(starts, "__p long, __s long")
+    out = t.join(F.broadcast(starts), part == F.col("__p"))
+    return out.withColumn(into, F.col("__s") + F.col("__m").bitwiseAND((1 << 33) - 1)).drop("__m", "__p", "__s")
+
+
 def image_rows(df: DataFrame, label: str = "label") -> DataFrame:
-    """(id, label, image) of a table with an image struct; a row without a path is named by its number in `row`."""
+    """(id, label, image) of a table with an image struct; a row without a path is named by its number in the table."""
+    df = df if "row" in df.columns else numbered(df)
     return df.select(F.coalesce(T.blank_to_null(F.col("image.path")), F.concat(F.lit("row"), F.col("row").cast("string"))).alias("id"), F.col(label).cast("int").alias("label"), "image")
 
 
@@ -187,13 +203,23 @@ def polygons(df: DataFrame, column: str, wanted: str, dx: float = 0.0, dy: float
     return t.withColumn("points", F.transform("points", lambda p: F.array(F.get(p, 0) + dx, F.get(p, 1) + dy)))
 
 
-def lookup_rows(df: DataFrame, columns: list[str], caption: str) -> DataFrame:
-    """Rows with all of `columns` and a caption that is not blank."""
-    return df.na.drop(subset=columns).where(T.blank_to_null(F.col(caption)).isNotNull())
+def lookup_rows(df: DataFrame, columns: list[str], caption: str, n: int | None = None, strict: bool = False) -> DataFrame:
+    """Rows with all of `columns` and a caption that is not blank, `n` of them at most if asked; a missing column is an error, and so is one more if `strict`."""
+    if missing := [c for c in (*columns, caption) if c not in df.columns]:
+        raise ValueError(f"columns missing: {', '.join(missing)}")
+    if strict and (more := [c for c in df.columns if c not in (*columns, caption)]):
+        raise ValueError(f"columns not expected: {', '.join(more)}")
+    out = df.na.drop(subset=columns).where(T.blank_to_null(F.col(caption)).isNotNull())
+    return out.limit(n) if n is not None else out
 
 
-def existing_only(df: DataFrame, path: str, listing: DataFrame) -> DataFrame:
-    return df.join(listing.select(F.col("path").alias(path)).distinct(), path, "left_semi")
+def existing_only(df: DataFrame, path: str, listing: DataFrame, skip: bool = True) -> DataFrame:
+    """Rows whose file is in `listing` (path); with skip=False a row without its file fails the query."""
+    found = listing.select(F.col("path").alias("__p")).distinct()
+    if skip:
+        return df.join(found, F.col(path) == F.col("__p"), "left_semi")
+    both = df.join(found, F.col(path) == F.col("__p"), "left")
+    return both.where(F.when(F.col("__p").isNull(), F.raise_error(F.lit("a file is missing"))).otherwise(F.lit(True))).drop("__p")
 
 
 def table_key(path):
@@ -216,10 +242,139 @@ def resolve_keys(asked: str, known: list[str]) -> list[str]:
     return keys
 
 
-#: Loaders by key; others may be added.
-LOADERS: dict[str, Callable[..., DataFrame]] = {"images": image_rows, "slides": slide_table, "captions": captions, "qa": qa_pairs, "polygons": polygons}
+#: Folders of grades and their labels.
+GRADE_FOLDERS = {"BC_IDC_Grade_1": 0, "BC_IDC_Grade_2": 1, "BC_IDC_Grade_3": 2}
+
+
+def graded_files(spark: SparkSession, root: str, split: str, grades: dict[str, int] = GRADE_FOLDERS) -> DataFrame:
+    """(id, label) of the images right in root/grade/split; a grade without that folder is an error."""
+    folders = {first_existing(spark, f"{root}/{g}/{split}"): n for g, n in grades.items()}
+    files = spark.read.format("binaryFile").load([f"{x}/*" for x in folders]).select("path")
+    grade = F.regexp_extract("path", r"([^/]*)/[^/]*/[^/]*$", 1)
+    by = F.create_map(*[F.lit(x) for kv in grades.items() for x in kv])
+    return files.where(F.lower(F.regexp_extract("path", r"\.([^.]*)$", 1)).isin(IMAGE_TYPES)).select(F.col("path").alias("id"), F.try_element_at(by, grade).alias("label"))
+
+
+def files_by_parent_or_prefix(spark: SparkSession, roots: list[str], parents: dict[str, int], prefixes: list[tuple[str, int]]) -> DataFrame:
+    """(id, label) of the images under the first of `roots` that exists, labelled by parent folder, else by the first prefix; others go."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(first_existing(spark, *roots)).select("path")
+    files = files.where(F.lower(F.regexp_extract("path", r"\.([^.]*)$", 1)).isin(IMAGE_TYPES))
+    return files.select(F.col("path").alias("id"), label_by_parent_or_prefix(F.col("path"), parents, prefixes).alias("label")).where("label is not null")
+
+
+def prefix_code_files(spark: SparkSession, root: str, split: str = "all", codes: list[str] = PREFIX_CODES) -> DataFrame:
+    """(id, label) of the images of root/split (`all`: of every folder), labelled by the code before the first dash; others go."""
+    folder = root if split == "all" else first_existing(spark, f"{root}/{split}")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path")
+    return files.select(F.col("path").alias("id"), prefix_code_label(F.col("path"), codes).alias("label")).where("label is not null")
+
+
+#: Dataset loaders by key: each takes (spark, root, split, options) and gives (id, label, ...); others may be added.
+LOADERS: dict[str, Callable[..., DataFrame]] = {
+    "parquet": lambda spark, root, split, o: image_rows(split_files(spark, root, split), o.get("label", "label")),
+    "class_folders": lambda spark, root, split, o: files_by_class(spark, f"{root}/{split}" if split else root, o["classes"]),
+    "graded_folders": lambda spark, root, split, o: graded_files(spark, root, split, o.get("grades", GRADE_FOLDERS)),
+    "parent_or_prefix": lambda spark, root, split, o: files_by_parent_or_prefix(spark, [f"{root}/{x}" for x in o.get("roots", [""])], o["parents"], o["prefixes"]),
+    "prefix_codes": lambda spark, root, split, o: prefix_code_files(spark, root, split or "all", o.get("codes", PREFIX_CODES)),
+    "csv": lambda spark, root, split, o: csv_partition(spark, f"{root}/{o['file']}", split, o["labels"], o.get("split_col", "split"), o.get("label_col", "class")),
+}
+
+
+def load(spark: SparkSession, registry: dict[str, dict], key: str, root: str) -> DataFrame:
+    """The dataset of a registry entry by its loader; a label outside its classes fails the query, an unknown key or loader at once."""
+    if key not in registry:
+        raise KeyError(f"unknown dataset {key}; known: {', '.join(sorted(registry))}")
+    spec = registry[key]
+    if spec["loader"] not in LOADERS:
+        raise KeyError(f"unknown loader {spec['loader']}")
+    df = LOADERS[spec["loader"]](spark, f"{root}/{spec.get('dir', key)}", spec.get("split", ""), spec.get("options", {}))
+    return in_range(df, len(spec["class_names"]))
+
+
+def dataset_dimension(spark: SparkSession, registry: dict[str, dict]) -> DataFrame:
+    """(key, loader, dir, split, class_names, num_classes): a row a dataset, classes counted."""
+    rows = [(k, s["loader"], s.get("dir", k), s.get("split", ""), list(s["class_names"])) for k, s in registry.items()]
+    return spark.createDataFrame(rows, "key string, loader string, dir string, split string, class_names array<string>").withColumn("num_classes", F.size("class_names"))
+
+
+def model_dimension(spark: SparkSession, registry: dict[str, dict]) -> DataFrame:
+    """(key, family, dir, extra): a row a model; extra options as JSON."""
+    rows = [(k, s["family"], s.get("dir", k), json.dumps(s.get("extra", {}), sort_keys=True)) for k, s in registry.items()]
+    return spark.createDataFrame(rows, "key string, family string, dir string, extra string")
+
+
+def valid_cache(df: DataFrame, vector: str = "embedding", dim: int | None = None) -> DataFrame:
+    """Cached rows whose vector can be used: not null, not empty, of `dim` if given, the same length as most if not, all components finite."""
+    ok = F.size(F.coalesce(F.col(vector), F.array().cast(df.schema[vector].dataType))) > 0
+    df = df.where(ok & F.forall(vector, lambda x: x.isNotNull() & (F.abs(x) < float("inf"))))
+    if dim is None:
+        usual = df.groupBy(F.size(vector).alias("__d")).agg(F.count("*").alias("__n")).orderBy(F.desc("__n"), "__d").limit(1)
+        return df.join(F.broadcast(usual.select("__d")), F.size(vector) == F.col("__d")).drop("__d")
+    return df.where(F.size(vector) == dim)
+
+
+def readable(spark: SparkSession, paths: list[str]) -> DataFrame | None:
+    """The caches that exist as one table, damaged files left out; None if there are none. A model's missing dataset is skipped."""
+    found = [p for p in paths if _fs(spark, p)[0].exists(_fs(spark, p)[1])]
+    return spark.read.option("ignoreCorruptFiles", True).parquet(*found) if found else None
+
+
+def cached_pairs(spark: SparkSession, folder: str, models: list[str], datasets: list[str]) -> DataFrame:
+    """(model, dataset) of the caches folder/model=../dataset=.. that exist, of those asked for; the rest are skipped."""
+    fs, p = _fs(spark, f"{folder}/model=*/dataset=*")
+    names = [tuple(part.split("=", 1)[1] for part in str(x.getPath()).split("/")[-2:]) for x in fs.globStatus(p) or []]
+    return spark.createDataFrame(sorted((m, d) for m, d in names if m in models and d in datasets), "model string, dataset string")
+
+
+def score_tables(spark: SparkSession, folder: str) -> DataFrame:
+    """(table, model, path) of the files table__model.csv of a folder."""
+    fs, p = _fs(spark, f"{folder}/*__*.csv")
+    rows = [(*stem.split("__", 1), str(x.getPath())) for x in fs.globStatus(p) or [] if (stem := x.getPath().getName().removesuffix(".csv"))]
+    return spark.createDataFrame(sorted(rows), "table string, model string, path string")
+
+
+def models_of_all(tables: DataFrame, wanted: list[str]) -> DataFrame:
+    """(model) that every wanted table has a file of."""
+    t = tables.where(F.col("table").isin(wanted)).groupBy("model").agg(F.count_distinct("table").alias("n"))
+    return t.where(F.col("n") == len(set(wanted))).select("model")
+
+
+def read_scores(spark: SparkSession, tables: DataFrame) -> DataFrame:
+    """The rows of many score files with the table and model in their names."""
+    df = prediction_records(spark, [r.path for r in tables.select("path").collect()])
+    name = F.element_at(F.split(F.input_file_name(), "/"), -1)
+    return df.withColumns({"table": F.substring_index(name, "__", 1), "model": F.regexp_extract(name, r"__(.*)\.csv$", 1)})
+
+
+def config(spark: SparkSession, path: str, **changes) -> dict:
+    """A JSON config (or YAML, if a reader is installed) as a new dict, with changes in place of its values; None changes nothing."""
+    text = "\n".join(r.value for r in spark.read.text(path, wholetext=True).collect())
+    if path.endswith((".yml", ".yaml")):
+        import yaml
+
+        found = yaml.safe_load(text)
+    else:
+        found = json.loads(text)
+    return found | {k: v for k, v in changes.items() if v is not None}
+
+
+def sidecar(spark: SparkSession, path: str) -> dict:
+    """The metadata beside an input, nothing if there is no file."""
+    fs, p = _fs(spark, path)
+    return config(spark, path) if fs.exists(p) else {}
+
+
+def inputs_with_manifest(spark: SparkSession, vectors: DataFrame, manifests: list[str], n: int | None = None) -> DataFrame:
+    """`vectors` (pair_index, ...) with the columns of the first manifest that exists, or with none of its own; the first n pairs if asked. A pair without its row fails the query."""
+    vectors = vectors.where(F.col("pair_index") < n) if n is not None else vectors
+    found = [p for p in manifests if _fs(spark, p)[0].exists(_fs(spark, p)[1])]
+    if not found:
+        return vectors
+    rows = spark.read.csv(found[0], header=True).withColumn("pair_index", F.col("pair_index").cast("bigint")).withColumn("__here", F.lit(True))
+    out = vectors.join(rows, "pair_index", "left")
+    return out.where(F.when(F.col("__here").isNull(), F.raise_error(F.lit("a pair is not in the manifest"))).otherwise(F.lit(True))).drop("__here")
 
 
 def shards(df: DataFrame, order: str, n: int, i: int) -> DataFrame:
-    """Every n-th row from the i-th, in order."""
-    return df.withColumn("__r", F.row_number().over(Window.orderBy(order)) - 1).where(F.col("__r") % n == i).drop("__r")
+    """One of n shards of about the same size, by the hash of a key; no order over all rows is needed."""
+    return df.where(F.pmod(F.xxhash64(order), F.lit(n)) == i)

@@ -3,33 +3,83 @@
 from __future__ import annotations
 
 import json
+import time
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import Column, DataFrame, SparkSession
 
 from aperture.operators.tables import upsert
 from aperture.sources.loaders import _fs
 
 
+@contextmanager
+def locked(spark: SparkSession, path: str, patience: float = 60.0) -> Iterator[None]:
+    """One writer of `path` at a time: a file beside it that only one can create; TimeoutError after `patience` seconds."""
+    fs, p = _fs(spark, f"{path}.lock")
+    until = time.monotonic() + patience
+    while not fs.createNewFile(p):
+        if time.monotonic() > until:
+            raise TimeoutError(f"{path}.lock is held; remove it if its writer is gone")
+        time.sleep(0.1)
+    try:
+        yield
+    finally:
+        fs.delete(p, False)
+
+
+def restore(spark: SparkSession, path: str) -> None:
+    """Put back the table that a writer had moved aside when it was stopped."""
+    fs, p = _fs(spark, path)
+    old = _fs(spark, f"{path}.old")[1]
+    if fs.exists(old) and not fs.exists(p):
+        fs.rename(old, p)
+
+
 def replace_folder(df: DataFrame, path: str, fmt: str = "parquet") -> None:
-    """Write beside, then swap, so a reader or a failed job never meets half a table."""
+    """Write the whole new table beside, move the old one aside, put the new one in its place, and only then remove the old one.
+
+    If the last move fails the old table is put back; if the writer dies between, `restore` does it.
+    """
     spark = df.sparkSession
     new = f"{path}.{uuid.uuid4().hex}"
     df.write.format(fmt).option("header", True).save(new)
     fs, p = _fs(spark, path)
-    fs.delete(p, True)
-    fs.rename(_fs(spark, new)[1], p)
+    old, fresh = _fs(spark, f"{path}.old")[1], _fs(spark, new)[1]
+    if fs.exists(p):
+        fs.delete(old, True)
+        if not fs.rename(p, old):
+            raise OSError(f"{path} could not be moved aside")
+    if not fs.rename(fresh, p):
+        restore(spark, path)
+        raise OSError(f"{path} could not be replaced")
+    fs.delete(old, True)
+
+
+def merge_on_write(new: DataFrame, path: str, keys: list[str] | None = None, patience: float = 60.0) -> DataFrame:
+    """Blocks of new rows replace the old rows of their keys: (model, table) if there is a table, else (model). Writers wait for each other."""
+    spark = new.sparkSession
+    keys = keys or (["model", "table"] if "table" in new.columns else ["model"])
+    with locked(spark, path, patience):
+        restore(spark, path)
+        fs, p = _fs(spark, path)
+        whole = upsert(spark.read.parquet(path), new, keys) if fs.exists(p) else new
+        replace_folder(whole.orderBy(*keys), path)
+    return spark.read.parquet(path)
 
 
-def merge_on_write(new: DataFrame, path: str, keys: list[str] | None = None) -> DataFrame:
-    """Blocks of new rows replace the old rows of their keys: (model, table) if there is a table, else (model)."""
+def merge_summary(new: DataFrame, folder: str, keys: list[str] | None = None, patience: float = 60.0) -> DataFrame:
+    """A summary as CSV and as JSON lines (folder/csv, folder/json): as merge_on_write, all columns as texts in the CSV."""
     spark = new.sparkSession
     keys = keys or (["model", "table"] if "table" in new.columns else ["model"])
-    fs, p = _fs(spark, path)
-    whole = upsert(spark.read.parquet(path), new, keys) if fs.exists(p) else new
-    replace_folder(whole.orderBy(*keys), path)
-    return spark.read.parquet(path)
+    with locked(spark, folder, patience):
+        restore(spark, f"{folder}/json")
+        fs, p = _fs(spark, f"{folder}/json")
+        whole = upsert(spark.read.json(f"{folder}/json"), new, keys) if fs.exists(p) else new
+        replace_folder(whole.orderBy(*keys), f"{folder}/json", "json")
+        replace_folder(spark.read.schema(whole.schema).json(f"{folder}/json").orderBy(*keys), f"{folder}/csv", "csv")
+    return spark.read.csv(f"{folder}/csv", header=True)
 
 
 def append_manifest(df: DataFrame, path: str) -> None:
@@ -43,9 +93,14 @@ def unfinished(work: DataFrame, path: str, keys: list[str]) -> DataFrame:
     return work.join(spark.read.parquet(path).select(*keys).distinct(), keys, "left_anti") if fs.exists(p) else work
 
 
-def append_unfinished(work: DataFrame, path: str, keys: list[str]) -> int:
-    """Commit what is left as one more block; returns how many rows."""
+def append_unfinished(work: DataFrame, path: str, keys: list[str], failed: Column | None = None, log: str | None = None) -> int:
+    """Commit what is left as one more block; returns how many rows. Rows whose `failed` holds a reason go to `log` instead, and are tried again next time."""
     left = unfinished(work, path, keys)
+    if failed is not None:
+        bad = left.where(failed.isNotNull()).select(*keys, failed.cast("string").alias("reason"))
+        if log and not bad.isEmpty():
+            append_manifest(bad, log)
+        left = left.where(failed.isNull())
     n = left.count()
     if n:
         left.write.mode("append").parquet(path)
@@ -53,8 +108,19 @@ def append_unfinished(work: DataFrame, path: str, keys: list[str]) -> int:
 
 
 def write_cache(df: DataFrame, path: str, *by: str) -> None:
-    """Partitioned by model and dataset, so one model's features never serve another."""
-    df.write.mode("overwrite").partitionBy(*(by or ("model", "dataset"))).parquet(path)
+    """Partitioned by model and dataset, so one model's features never serve another; what is written again replaces its own partitions alone."""
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*(by or ("model", "dataset"))).parquet(path)
+
+
+def write_pooled(pooled: DataFrame, path: str, vectors: tuple[str, ...] = ("image_emb", "text_emb")) -> None:
+    """Pooled vectors as a table by pair_index, and beside it a manifest of all other columns."""
+    replace_folder(pooled.orderBy("pair_index"), f"{path}/embeddings")
+    replace_folder(pooled.drop(*vectors).orderBy("pair_index"), f"{path}/manifest", "csv")
+
+
+def write_csv(df: DataFrame, path: str, *order: str) -> None:
+    """A report (ranks of pairs, top k, metrics) as CSV files with headers, in order from file to file."""
+    replace_folder(df.orderBy(*order) if order else df, path, "csv")
 
 
 def flat_metrics(nested: dict, prefix: str = "") -> dict[str, object]:
@@ -75,16 +141,23 @@ def markdown(metrics: dict[str, object]) -> str:
     return "\n".join(["| metric | value |", "|---|---|", *(f"| {k} | {'' if v is None else v} |" for k, v in sorted(metrics.items()))])
 
 
+def metric_rows(spark: SparkSession, metrics: dict) -> DataFrame:
+    """(metric, value) of one run's metrics by dotted name; undefined numbers have no value."""
+    rows = [(k, None if v is None else str(v)) for k, v in sorted(flat_metrics(metrics).items())]
+    return spark.createDataFrame(rows, "metric string, value string")
+
+
 def metrics_table(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """(run, metric, value) of many metrics files, read by Spark."""
-    def rows(files):
-        for path, data in files:
-            for k, v in sorted(flat_metrics(json.loads(bytes(data))).items()):
-                yield path, k, None if v is None else str(v)
+    """(run, metric, value) of many metrics files, read by Spark and flattened file by file in Arrow batches."""
+    import pyarrow as pa
+
+    def flat(batches):
+        for b in batches:
+            out = [(path, k, None if v is None else str(v)) for path, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for k, v in sorted(flat_metrics(json.loads(data)).items())]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.string()) for k in range(3)], ["run", "metric", "value"])
 
     files = spark.read.format("binaryFile").load(paths).select("path", "content")
-    many = F.udf(lambda p, c: list(rows([(p, c)])), "array<struct<run:string,metric:string,value:string>>")
-    return files.select(F.explode(many("path", "content")).alias("x")).select("x.*")
+    return files.mapInArrow(flat, "run string, metric string, value string")
 
 
 def merge_shards(spark: SparkSession, folder: str) -> DataFrame:
