@@ -99,6 +99,10 @@ def write_shared(uri: str, parts) -> None:
     store.move(own, path)
 
 
+def is_mounted(uri: str) -> bool:
+    return urlparse(uri).scheme in ("", "file")
+
+
 def open_shared(uri: str):
     store, path = _place(uri)
     return store.open_input_file(path)
@@ -106,7 +110,7 @@ def open_shared(uri: str):
 
 def map_shared(uri: str, dtype) -> np.ndarray:
     """An array memory-mapped where the shared folder is mounted; read whole from any other store."""
-    if urlparse(uri).scheme in ("", "file"):
+    if is_mounted(uri):
         path = urlparse(uri).path
         return np.memmap(path, dtype, "r") if os.path.getsize(path) else np.empty(0, dtype)
     with open_shared(uri) as f:
