@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from aperture.llm import common as C
 
-SYSTEM, END = "system", "<|end|>\n"
+SYSTEM, OURS, END = "system", "<|assistant|>\n", "<|end|>\n"
 SPREAD = 64
 
 
-def rotate(turns: DataFrame, system: str = SYSTEM) -> DataFrame:
+def _other(role: Column, system: str) -> Column:
+    """The head of a turn of another than the perspective."""
+    name = F.regexp_replace(F.coalesce(role, F.lit("unknown")), r'[<>|"\n]', "_")
+    return F.when(role == system, F.lit("<|system|>\n")).otherwise(F.concat(F.lit('<|user name="'), name, F.lit('"|>\n')))
+
+
+def rotate(turns: DataFrame, scratch: C.Scratch, system: str = SYSTEM) -> DataFrame:
     """Every dialogue of `turns` (conv_id, turn, role, text) once from the view of each participant.
 
     A result row is one turn in one view: conv_id, perspective, seq (0, 1, ... in the view), turn,
@@ -23,29 +29,38 @@ def rotate(turns: DataFrame, system: str = SYSTEM) -> DataFrame:
     others as users with their names. Participants are the roles other than system and null; a
     dialogue without any has no view. A null role speaks as user "unknown". A null text is empty. Turns
     are ordered by turn (null first), role, text; repeated rows are turns of their own. A null conv_id
-    is one dialogue. Extra columns are ignored.
+    is one dialogue. Extra columns are ignored. An empty table gives an empty one.
 
-    No dialogue is gathered: turns meet the participants by a join, and places are sums in two
-    levels over ranges of SPREAD turns, so that a dialogue of a third of all rows is spread as well.
+    No dialogue is gathered. Turns are numbered within ranges of SPREAD turn numbers and written once;
+    views and places are then made of their lengths alone, and meet the texts in one last join. A
+    place is what all turns before take as others' turns, and for each of the perspective's own
+    the difference between the two heads; both are sums in two levels over the ranges, so that a dialogue of a third of
+    all rows is spread as well.
     """
     t = turns.select("conv_id", F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    people = t.where(F.col("role") != system).select(F.col("conv_id").alias("c2"), F.col("role").alias("perspective")).distinct()
-    df = t.join(people, F.col("conv_id").eqNullSafe(F.col("c2"))).drop("c2")
-    ours = F.col("role").eqNullSafe(F.col("perspective"))
-    name = F.regexp_replace(F.coalesce("role", F.lit("unknown")), r'[<>|"\n]', "_")
-    head = F.when(ours, F.lit("<|assistant|>\n")).when(F.col("role") == system, F.lit("<|system|>\n")).otherwise(F.concat(F.lit('<|user name="'), name, F.lit('"|>\n')))
-    df = df.withColumns({"head": F.length(head).cast("long"), "segment": F.concat(head, "text", F.lit(END)), "ours": ours, "part": F.coalesce(F.floor(F.col("turn") / SPREAD), F.lit(-(2**62)))})
-    df = df.withColumns({"length": F.length("segment").cast("long"), "one": F.lit(1).cast("long")})
-    order = [F.col("turn").asc_nulls_first(), F.col("role").asc_nulls_first(), F.col("text")]
-    keys = ["conv_id", "perspective"]
-    df = C.running_sum(df, keys, "part", order, "length", "start")
-    df = C.running_sum(df, keys, "part", order, "one", "seq")
-    begin, end = F.col("start") + F.col("head"), F.col("start") + F.col("length") - 1
-    return df.select("conv_id", "perspective", "seq", "turn", F.col("role").alias("speaker"), "segment", "start", F.when(F.col("ours"), begin).alias("mask_start"), F.when(F.col("ours"), end).alias("mask_end"))
+    t = t.withColumns({"part": F.coalesce(F.floor(F.col("turn") / SPREAD), F.lit(-(2**62))), "long": F.length(F.concat(_other(F.col("role"), system), "text", F.lit(END))).cast("long")})
+    w = Window.partitionBy("conv_id", "part").orderBy(F.col("turn").asc_nulls_first(), F.col("role").asc_nulls_first(), F.col("text"))
+    t = scratch.table(t.withColumns({"at": F.row_number().over(w), "own": F.sum("long").over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("long")}), "turns")
+    narrow = t.select("conv_id", "part", "at", "role", "own")
+    before = Window.partitionBy("conv_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = t.groupBy("conv_id", "part").agg(F.sum("long").alias("n"), F.count("*").alias("k"))
+    parts = parts.select(F.col("conv_id").alias("c2"), F.col("part").alias("p2"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"), F.coalesce(F.sum("k").over(before), F.lit(0)).alias("first"))
+    people = narrow.where(F.col("role") != system).select(F.col("conv_id").alias("c3"), F.col("role").alias("perspective")).distinct()
+    views = narrow.join(parts, F.col("conv_id").eqNullSafe(F.col("c2")) & (F.col("part") == F.col("p2"))).join(people, F.col("conv_id").eqNullSafe(F.col("c3")))
+    views = views.select("conv_id", "perspective", "part", "at", F.col("role").eqNullSafe(F.col("perspective")).cast("long").alias("ours"), (F.col("first") + F.col("at") - 1).alias("seq"), (F.col("base") + F.col("own")).alias("place"))
+    views = C.running_sum(views, ["conv_id", "perspective"], "part", ["at"], "ours", "mine")
+    gain = F.lit(len(OURS)) - F.length(_other(F.col("perspective"), system))
+    views = views.select(F.col("conv_id").alias("c4"), F.col("part").alias("p4"), F.col("at").alias("a4"), "perspective", "seq", (F.col("ours") == 1).alias("ours"), (F.col("place") + F.col("mine") * gain).cast("long").alias("start"))
+    both = t.join(views, F.col("conv_id").eqNullSafe(F.col("c4")) & (F.col("part") == F.col("p4")) & (F.col("at") == F.col("a4")))
+    head = F.when(F.col("ours"), F.lit(OURS)).otherwise(_other(F.col("role"), system))
+    both = both.withColumns({"head": head, "segment": F.concat(head, "text", F.lit(END))})
+    begin, end = F.col("start") + F.length("head"), F.col("start") + F.length("segment") - 1
+    mask = lambda c: F.when(F.col("ours"), c).cast("long")
+    return both.select("conv_id", "perspective", F.col("seq").cast("long").alias("seq"), "turn", F.col("role").alias("speaker"), "segment", "start", mask(begin).alias("mask_start"), mask(end).alias("mask_end"))
 
 
 def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rotate(C.read(spark, sf_dir, "conversations"))
+    return rotate(C.read(spark, sf_dir, "conversations"), C.Scratch(spark, "chat"))
 
 
 OP10_SQL = r"""

@@ -95,14 +95,15 @@ def classify(docs: DataFrame, labels: DataFrame, scratch: C.Scratch, sample: int
     document itself left out, relative to the global ones; kept if it is `least` or more.
 
     A null or empty text has features of neither kind. Null hosts and paths are groups of their own; a
-    null doc_id is scored but never an example. Without labels of both classes doc_score is one half.
+    null doc_id is scored but never an example. Of rows that share a labelled doc_id the text of the smallest
+    MD5 is the example, of labels that share one the larger counts, so at most `sample` examples reach the driver. Without labels of both classes doc_score is one half.
     Repeated rows count each time; extra columns are ignored; an empty table gives an empty one.
     Groups are summed in map tasks first, and only their sums are joined back.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("host").cast("string").alias("host"), F.col("path").cast("string").alias("path"), "text")
-    some = labels.where("quality is not null and doc_id is not null").select(F.col("doc_id").alias("l"), F.col("quality").cast("int").alias("y")).orderBy(F.xxhash64("l"), "l").limit(sample)
-    examples = docs.join(F.broadcast(some), F.col("doc_id") == F.col("l")).select("y", "text").mapInArrow(_examples, "y int, k array<int>, v array<float>")
-    got = sorted(examples.limit(2 * sample).collect(), key=lambda r: (r.y, r.k[:8], r.v[:2]))
+    some = labels.where("quality is not null and doc_id is not null").groupBy(F.col("doc_id").alias("l")).agg(F.max(F.col("quality").cast("int")).alias("y")).orderBy(F.xxhash64("l"), "l").limit(sample)
+    texts = docs.join(F.broadcast(some), F.col("doc_id") == F.col("l")).groupBy("l", "y").agg(F.min_by("text", F.struct(F.md5("text"))).alias("text"))
+    got = sorted(texts.select("y", "text").mapInArrow(_examples, "y int, k array<int>, v array<float>").collect(), key=lambda r: (r.y, r.k, r.v))
     scored = scratch.table(docs.mapInArrow(_evidence(fit(got)), "doc_id long, host string, path string, doc_score double"), "scored")
     paths = scratch.table(scored.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("doc_score").alias("s")), "paths")
     hosts = paths.groupBy("host").agg(F.sum("n").alias("hn"), F.sum("s").alias("hs"))

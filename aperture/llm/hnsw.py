@@ -14,7 +14,8 @@ from aperture.llm import common as C
 
 M, EF, LEVEL_ODDS = 16, 64, 16
 SHARDS, SHARD_ROWS, BLOCK = 8, 100_000, 1024
-AUDIT, RECALL = 32, 0.99
+#: Audited vectors of each shard, and of all, that its graph is searched for.
+AUDIT, RECALL = 256, 0.99
 
 
 def _spread(sim: np.ndarray, ids: np.ndarray, x: np.ndarray, keep: int) -> np.ndarray:
@@ -168,15 +169,21 @@ def _file(folder: str, dim: int, shard: int) -> str:
     return f"{folder}/graph-{dim}-{shard}.npz"
 
 
+def _unit(v: np.ndarray) -> np.ndarray:
+    """Unit vectors in double precision; the largest component first becomes one, so that no square leaves the range."""
+    v = v.astype(np.float64)
+    v = v / np.abs(v).max(1, keepdims=True)
+    return v / np.linalg.norm(v, axis=1, keepdims=True)
+
+
 def _build(folder: str):
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         dim, shard = key[0].as_py(), key[1].as_py()
         table = table.sort_by("rep")
-        v = np.array(table.column("embedding").combine_chunks().flatten(), np.float64).reshape(-1, dim)
-        x = (v / np.linalg.norm(v, axis=1, keepdims=True)).astype(np.float32)
-        g = Graph.build(x)
+        v = np.asarray(table.column("embedding").combine_chunks().flatten()).reshape(-1, dim)
+        g = Graph.build(_unit(v).astype(np.float32))
         ids, copies = (np.asarray(table.column(c)) for c in ("rep", "copies"))
-        C.write_shared(_file(folder, dim, shard), [_pack(v=v.astype(np.float32), ids=ids, copies=copies, top=np.array(g.top), **{f"layer{k}": a for k, a in enumerate(g.layers)})])
+        C.write_shared(_file(folder, dim, shard), [_pack(v=v, ids=ids, copies=copies, top=np.array(g.top), **{f"layer{k}": a for k, a in enumerate(g.layers)})])
         return pa.table({"dim": pa.array([dim], pa.int32()), "shard": pa.array([shard], pa.int32()), "n": pa.array([len(v)], pa.int64())})
 
     return run
@@ -207,6 +214,36 @@ def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[some], nodes[label[some]]
 
 
+def _searchable(part: dict) -> dict:
+    if "graph" not in part:
+        part["unit"] = _unit(part["v"]).astype(np.float32)
+        part["graph"] = Graph(part["unit"], [part[f"layer{k}"] for k in range(sum(x.startswith("layer") for x in part))], int(part["top"]))
+    return part
+
+
+_AUDITED = "dim int, target int, ef int, recall double"
+
+
+def _audit(folder: str, least: float, sample: dict[int, np.ndarray], audit: int):
+    """The beam at which each shard's graph finds what full scans for the audited vectors find, and the recall measured there."""
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows:
+            for r in batch.to_pylist():
+                part = _searchable(_load(folder, r["dim"], r["shard"]))
+                own = part["unit"][np.linspace(0, len(part["unit"]) - 1, min(audit, len(part["unit"]))).astype(int)]
+                q, bound, ef = np.concatenate([own, sample[r["dim"]]]) if r["dim"] in sample else own, least - 1e-4, EF
+                want = sum(int((q[p : p + 64] @ part["unit"].T >= bound).sum()) for p in range(0, len(q), 64))
+                while True:
+                    got = len(next(iter(part["graph"].within(q, bound, ef))))
+                    if ef >= len(part["unit"]) or got >= RECALL * want:
+                        break
+                    ef *= 2
+                yield pa.RecordBatch.from_arrays([pa.array([r["dim"]], pa.int32()), pa.array([r["shard"]], pa.int32()), pa.array([ef], pa.int32()), pa.array([min(1.0, got / want)])], ["dim", "target", "ef", "recall"])
+
+    return run
+
+
 def _query(folder: str, least: float):
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict = {}
@@ -220,21 +257,10 @@ def _query(folder: str, least: float):
 
         for batch in rows:
             for r in sorted(batch.to_pylist(), key=lambda r: (r["dim"], r["target"], r["shard"], r["lo"])):
-                ours, theirs = get(r["dim"], r["shard"]), get(r["dim"], r["target"])
-                unit = lambda v: v / np.linalg.norm(v.astype(np.float64), axis=1, keepdims=True)
-                if "unit" not in theirs:
-                    theirs["unit"] = unit(theirs["v"]).astype(np.float32)
-                    theirs["graph"] = Graph(theirs["unit"], [theirs[f"layer{k}"] for k in range(sum(x.startswith("layer") for x in theirs))], int(theirs["top"]))
-                q64 = unit(ours["v"][r["lo"] : r["hi"]])
-                q, bound, ef = q64.astype(np.float32), least - 1e-4, EF
-                audit = np.arange(0, len(q), max(1, len(q) // AUDIT))
-                want = (q[audit] @ theirs["unit"].T >= bound).sum(1)
-                while True:  # widen all beams until the audited queries have found what a full scan finds
-                    a, b = theirs["graph"].within(q, bound, ef)
-                    if ef >= len(theirs["unit"]) or np.bincount(a, minlength=len(q))[audit].sum() >= RECALL * want.sum():
-                        break
-                    ef *= 2
-                cos = np.concatenate([np.einsum("nd,nd->n", q64[a[p : p + 100_000]], unit(theirs["v"][b[p : p + 100_000]])) for p in range(0, len(a), 100_000)] or [np.empty(0)])
+                ours, theirs = get(r["dim"], r["shard"]), _searchable(get(r["dim"], r["target"]))
+                q64 = _unit(ours["v"][r["lo"] : r["hi"]])
+                a, b = theirs["graph"].within(q64.astype(np.float32), least - 1e-4, r["ef"])
+                cos = np.concatenate([np.einsum("nd,nd->n", q64[a[p : p + 100_000]], _unit(theirs["v"][b[p : p + 100_000]])) for p in range(0, len(a), 100_000)] or [np.empty(0)])
                 a, b = a[cos >= least], b[cos >= least]
                 ids = ours["ids"][r["lo"] : r["hi"]]
                 other = theirs["ids"][b] != ids[a]
@@ -246,22 +272,26 @@ def _query(folder: str, least: float):
     return run
 
 
-def link_vectors(vectors: DataFrame, scratch: C.Scratch, least: float = 0.95, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """(vec_id, n_links, component_id, kept) for each row of `vectors` (vec_id, embedding).
+def link_vectors(vectors: DataFrame, scratch: C.Scratch, least: float = 0.95, shard_rows: int = SHARD_ROWS, audit: int = AUDIT) -> DataFrame:
+    """(vec_id, n_links, component_id, kept, audit_recall) for each row of `vectors` (vec_id, embedding).
 
     Two vectors of the same length are linked if their cosine, in double precision, is `least` or
     more; n_links counts the other vectors linked, component_id is the smallest vec_id reachable. A
     vector that is null, empty, zero, or has a null or non-finite component links with nothing, nor
     does one without vec_id (component_id is its vec_id). Rows that share a vec_id and vector are
-    copies of each other. Extra columns are ignored; an empty table gives an empty one.
+    copies of each other. Extra columns are ignored; an empty table gives an empty one. Vectors of doubles
+    stay doubles; only the graphs are searched in single precision, with a margin.
 
     Equal vectors are one node with a count. Nodes are dealt to shards of about `shard_rows` by hash
-    (SHARDS at least), one graph each, written to the shared folder. Every block of queries goes
-    to every graph: a beam that fills with links widens until it does not, and all beams of a block
-    widen until the queries audited by a full scan of the shard have RECALL of their links. A task passes
-    on counts and a spanning forest, not its pairs.
+    (SHARDS at least), one graph each, written to the shared folder. Each graph is audited: `audit` of
+    its own vectors and `audit` of all vectors (those of the smallest hashes) are compared with its whole shard, and its
+    beams widen until they find RECALL of these links; audit_recall is what the vector's own shard
+    reached. That is work in proportion to the vectors. Then every block of queries goes to every graph; a
+    beam that fills with links widens until it does not. A task passes on counts and a spanning forest,
+    not its pairs.
     """
-    base = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("embedding"))
+    kind = "array<float>" if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else "array<double>"
+    base = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(kind).alias("embedding"))
     fine = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
     good = (F.size("embedding") > 0) & F.forall("embedding", fine) & F.exists("embedding", lambda x: x != 0)
     base = base.withColumn("good", F.coalesce(good, F.lit(False)) & F.col("vec_id").isNotNull())
@@ -273,17 +303,26 @@ def link_vectors(vectors: DataFrame, scratch: C.Scratch, least: float = 0.95, sh
     placed = nodes.withColumn("shard", F.pmod(F.xxhash64("rep"), F.lit(shards)).cast("int"))
     files = placed.groupBy("dim", "shard").applyInArrow(_build(folder), "dim int, shard int, n long")
     files = scratch.table(files, "files")
+    some: dict[int, list] = {}
+    for r in nodes.orderBy(F.xxhash64("rep", F.lit(17)), "rep").limit(audit).select("dim", "embedding").collect():
+        some.setdefault(r.dim, []).append(r.embedding)
+    sample = {d: _unit(np.array(v)).astype(np.float32) for d, v in some.items()}
+    parts = max(1, int(scratch.spark.conf.get("spark.sql.shuffle.partitions")))
+    audits = scratch.table(files.repartition(parts, "dim", "shard").mapInArrow(_audit(folder, least, sample, audit), _AUDITED), "audits")
     lists = files.groupBy("dim").agg(F.collect_list("shard").alias("targets"))
     work = files.join(lists, "dim").select("dim", "shard", "n", F.explode("targets").alias("target"))
     work = work.select("dim", "shard", "target", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(BLOCK).cast("long"))).alias("lo")).withColumn("hi", F.least(F.col("lo") + BLOCK, "n"))
-    parts = max(1, int(scratch.spark.conf.get("spark.sql.shuffle.partitions")))
+    work = work.join(F.broadcast(audits.select("dim", "target", "ef")), ["dim", "target"])  # one row a shard
     found = scratch.table(work.repartition(parts).mapInArrow(_query(folder, least), "a long, b long, links long"), "found")
     comp = C.components(found.where("b is not null").select("a", "b"), scratch)
     links = found.groupBy(F.col("a").alias("l_rep")).agg(F.sum("links").alias("links"))
-    nodes = nodes.join(links, F.col("rep") == F.col("l_rep"), "left").join(comp, F.col("rep") == F.col("node"), "left").select(F.col("embedding").alias("e2"), "rep", "copies", "links", "component")
+    recall = audits.select("dim", F.col("target").alias("shard"), "recall")
+    nodes = nodes.withColumn("shard", F.pmod(F.xxhash64("rep"), F.lit(shards)).cast("int")).join(F.broadcast(recall), ["dim", "shard"], "left")
+    nodes = nodes.join(links, F.col("rep") == F.col("l_rep"), "left").join(comp, F.col("rep") == F.col("node"), "left").select(F.col("embedding").alias("e2"), "rep", "copies", "links", "component", "recall")
     out = base.join(nodes, F.col("good") & (F.col("embedding") == F.col("e2")), "left")
     n_links = F.when(F.col("good"), F.coalesce("links", F.lit(0)) + F.col("copies") - 1).otherwise(0)
-    return out.select("vec_id", n_links.cast("long").alias("n_links"), F.when(F.col("good"), F.coalesce("component", "rep")).otherwise(F.col("vec_id")).alias("component_id")).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
+    scratch.only("nodes", "found", "audits", *[x for x in scratch.names if x.startswith("cc-")])
+    return out.select("vec_id", n_links.cast("long").alias("n_links"), F.when(F.col("good"), F.coalesce("component", "rep")).otherwise(F.col("vec_id")).alias("component_id"), F.when(F.col("good"), F.col("recall")).alias("audit_recall")).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 
 def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

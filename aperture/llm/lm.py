@@ -14,7 +14,8 @@ from aperture.llm import common as C
 
 #: Stands for the end of a text as a token and for its beginning as a context.
 EDGE = np.uint64(0x9D1C5AF3E77B2461)
-BITS = 10
+#: Buckets of keys: 2 ** BITS at least, and so many that each has about this many tokens at most.
+BITS, BUCKET_TOKENS = 10, 4_000_000
 SLICE = 3_000_000
 HOT = 1000
 
@@ -23,8 +24,12 @@ def pair_keys(v: np.ndarray, w: np.ndarray) -> np.ndarray:
     return C.mix(v * np.uint64(0x9E3779B97F4A7C15) ^ (w + np.uint64(0x632BE59BD9B4E019)) ^ (v >> np.uint64(32)))
 
 
-def _bucket(x: np.ndarray) -> np.ndarray:
-    return (C.mix(x ^ np.uint64(0xA24BAED4963EE407)) >> np.uint64(64 - BITS)).astype(np.int64)
+def bucket_bits(tokens: int) -> int:
+    return max(BITS, (-(-tokens // BUCKET_TOKENS) - 1).bit_length())
+
+
+def _bucket(x: np.ndarray, bits: int) -> np.ndarray:
+    return (C.mix(x ^ np.uint64(0xA24BAED4963EE407)) >> np.uint64(64 - bits)).astype(np.int64)
 
 
 def _isin(x: np.ndarray, among: np.ndarray) -> np.ndarray:
@@ -33,11 +38,11 @@ def _isin(x: np.ndarray, among: np.ndarray) -> np.ndarray:
     return among[np.minimum(np.searchsorted(among, x), len(among) - 1)] == x
 
 
-def _route(v: np.ndarray, keys: np.ndarray, hot: np.ndarray) -> np.ndarray:
+def _route(v: np.ndarray, keys: np.ndarray, hot: np.ndarray, bits: int) -> np.ndarray:
     """The bucket of a bigram: its context's, or, where the context is a very frequent word, its own."""
-    out = _bucket(v)
+    out = _bucket(v, bits)
     if (often := _isin(v, hot)).any():
-        out[often] = _bucket(keys[often])
+        out[often] = _bucket(keys[often], bits)
     return out
 
 
@@ -60,7 +65,7 @@ def _frequent(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(u[often].view(np.int64)), pa.array(c[often].astype(np.int64)), pa.array(np.where(np.arange(often.sum()) == 0, c.sum(), 0))], ["w", "c", "n"])
 
 
-def _count(hot: np.ndarray):
+def _count(hot: np.ndarray, bits: int):
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
 
@@ -72,7 +77,7 @@ def _count(hot: np.ndarray):
             first = np.flatnonzero(np.append(True, np.diff(keys[order]) != 0))
             c = np.diff(np.append(first, len(order))).astype(np.uint32)
             v, w, keys = (x[order[first]] for x in (v, w, keys))
-            b = _route(v, keys, hot)
+            b = _route(v, keys, hot, bits)
             order = np.lexsort((v, b))
             v, w, c, b = v[order], w[order], c[order], b[order]
             first = np.flatnonzero(np.append(True, np.diff(b) != 0))
@@ -115,7 +120,7 @@ def _by_bucket(rows: Iterator[pa.RecordBatch], columns: tuple[str, ...]) -> Iter
 _PART = "kind int, key long, a long, b long, c long, d long, bucket long, w binary, n binary"
 
 
-def _store(folder: str, hot: np.ndarray):
+def _store(folder: str, hot: np.ndarray, bits: int):
     """Sum each bucket's bigrams, write its arrays, and pass on what crosses buckets."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,7 +134,7 @@ def _store(folder: str, hot: np.ndarray):
         def words_out() -> pa.RecordBatch:
             u, n = np.unique(np.concatenate(words), return_counts=True)
             words.clear()
-            b = _bucket(u)
+            b = _bucket(u, bits)
             order = np.argsort(b, kind="stable")
             u, n, b = u[order], n[order].astype(np.uint32), b[order]
             first = np.flatnonzero(np.append(True, np.diff(b) != 0))
@@ -143,7 +148,7 @@ def _store(folder: str, hot: np.ndarray):
             c = np.add.reduceat(c[order].astype(np.int64), first)
             keys, v, w = (x[order[first]] for x in (keys, v, w))
             C.write_shared(f"{folder}/pair-{bucket}", [keys.tobytes()])
-            C.write_shared(f"{folder}/count-{bucket}", [np.minimum(c, 2**32 - 1).astype(np.uint32).tobytes()])
+            C.write_shared(f"{folder}/count-{bucket}", [c.astype(np.uint32 if c.max() < 2**32 else np.int64).tobytes()])
             tally += [*(int((c == k).sum()) for k in (1, 2, 3, 4)), int(c.sum()), len(c)]
             ctx, inverse = np.unique(v, return_inverse=True)
             stats = np.stack([np.bincount(inverse, c, len(ctx)), *(np.bincount(inverse, x, len(ctx)) for x in (c == 1, c == 2, c >= 3))], 1).astype(np.int64)
@@ -203,10 +208,10 @@ def train(docs: DataFrame, scratch: C.Scratch, parts: int | None = None) -> dict
     often = docs.mapInArrow(_frequent, "w long, c long, n long")
     n_all = often.agg(F.sum("n")).first()[0] or 0
     found = often.groupBy("w").agg(F.sum("c").alias("c")).where(F.col("c") * 2 * HOT >= F.lit(n_all)).orderBy(F.desc("c"), "w").limit(2 * HOT).collect() if n_all else []
-    hot = np.sort(np.array([r.w for r in found], np.int64).view(np.uint64))
+    hot, bits = np.sort(np.array([r.w for r in found], np.int64).view(np.uint64)), bucket_bits(n_all)
     folder = scratch.folder("model")
-    pairs = docs.mapInArrow(_count(hot), "bucket long, v binary, w binary, c binary").repartition(parts, "bucket").sortWithinPartitions("bucket")
-    crossing = scratch.table(pairs.mapInArrow(_store(folder, hot), _PART), "crossing")
+    pairs = docs.mapInArrow(_count(hot, bits), "bucket long, v binary, w binary, c binary").repartition(parts, "bucket").sortWithinPartitions("bucket")
+    crossing = scratch.table(pairs.mapInArrow(_store(folder, hot, bits), _PART), "crossing")
     tally = {r.key: r.a for r in crossing.where("kind = 2").groupBy("key").agg(F.sum("a").alias("a")).collect()}
     hot_rows = crossing.where("kind = 1").groupBy("key").agg(*[F.sum(x).alias(x) for x in "abcd"]).orderBy("key").collect()
     words = crossing.where("kind = 0").select("bucket", "w", "n").repartition(parts, "bucket").sortWithinPartitions("bucket")
@@ -216,33 +221,39 @@ def train(docs: DataFrame, scratch: C.Scratch, parts: int | None = None) -> dict
     types = tally.get(5, 0)
     left = e[0] * after.get(0, 0) + e[1] * after.get(1, 0) + e[2] * after.get(4, 0)
     return {
-        "folder": folder, "d": d, "e": e, "tokens": tally.get(4, 0), "types": types, "vocabulary": after.get(5, 0), "left": left / types if types else 1.0, "hot": hot,
+        "folder": folder, "bits": bits, "d": d, "e": e, "tokens": tally.get(4, 0), "types": types, "vocabulary": after.get(5, 0), "left": left / types if types else 1.0, "hot": hot,
         "hot_ctx": np.array([hot_rows[i].key for i in order], np.int64).view(np.uint64), "hot_stats": np.array([[hot_rows[i][x] for x in "abcd"] for i in order], np.int64).reshape(-1, 4),
     }
 
 
-@lru_cache(maxsize=8192)
-def _mapped(uri: str, dtype: str) -> np.ndarray:
+def _load(uri: str, dtype: str) -> np.ndarray:
     try:
         return C.map_shared(uri, dtype)
     except FileNotFoundError:  # no key of this bucket was seen in training
         return np.empty(0, dtype)
 
 
+#: Mapped arrays cost no memory of their own; of those read from a store that is not mounted a worker keeps a few.
+_mapped, _fetched = lru_cache(maxsize=8192)(_load), lru_cache(maxsize=32)(_load)
+
+
 def _find(x: np.ndarray, buckets: np.ndarray, folder: str, keys: str, values: str, dtype: str, width: int = 1) -> np.ndarray:
     """Rows of `values` for the keys x, zero where absent; each bucket's mapped array is searched once, in order."""
-    out = np.zeros((len(x), width), np.int64)
+    out, get = np.zeros((len(x), width), np.int64), _mapped if C.is_mounted(folder) else _fetched
     order = np.lexsort((x, buckets))
     b = buckets[order]
     first = np.flatnonzero(np.append(True, np.diff(b) != 0)) if len(b) else []
     for i, j in zip(first, np.append(first[1:], len(b)) if len(b) else []):
-        have = _mapped(f"{folder}/{keys}-{b[i]}", "<u8")
+        have = get(f"{folder}/{keys}-{b[i]}", "<u8")
         if not len(have):
             continue
         q = x[order[i:j]]
         at = np.minimum(np.searchsorted(have, q), len(have) - 1)
         hit = have[at] == q
-        out[order[i:j][hit]] = _mapped(f"{folder}/{values}-{b[i]}", dtype).reshape(-1, width)[at[hit]]
+        rows = get(f"{folder}/{values}-{b[i]}", dtype)
+        if len(rows) == 2 * width * len(have):  # counts over 32 bits
+            rows = rows.view("<i8")
+        out[order[i:j][hit]] = rows.reshape(-1, width)[at[hit]]
     return out
 
 
@@ -253,7 +264,7 @@ def _scorer(model: dict):
         for batch in C.batches(rows, "text"):
             tok, sizes = _tokens(batch)
             u, inv = np.unique(tok, return_inverse=True)
-            b = _bucket(u)
+            b = _bucket(u, model["bits"])
             stats = _find(u, b, folder, "ctx", "stats", "<i8", 4)
             if len(model["hot_ctx"]) and (often := _isin(u, model["hot_ctx"])).any():
                 stats[often] = model["hot_stats"][np.searchsorted(model["hot_ctx"], u[often])]
@@ -266,7 +277,7 @@ def _scorer(model: dict):
             keys, kin = np.unique(pair_keys(u[ctx], tok), return_inverse=True)
             one = np.empty(len(keys), np.int64)
             one[kin] = np.arange(len(tok))
-            c = _find(keys, _route(u[ctx[one]], keys, hot), folder, "pair", "count", "<u4")[:, 0][kin]
+            c = _find(keys, _route(u[ctx[one]], keys, hot, model["bits"]), folder, "pair", "count", "<u4")[:, 0][kin]
             p = np.maximum(c - d[np.minimum(c, 3)], 0) / np.maximum(count[ctx], 1) + back[ctx] * low[inv]
             base = np.log10((count + 1) / (n + 1 * (v_all + 1)))[inv]
             first = np.append(0, np.cumsum(sizes)[:-1])
@@ -281,7 +292,7 @@ def score(docs: DataFrame, training: DataFrame, scratch: C.Scratch) -> DataFrame
 
     A null or empty text is its end alone: one token. A model of no texts gives every word the
     uniform probability of one unknown word, 1. Repeated rows are scored, and counted, each time.
-    Extra columns are ignored.
+    Extra columns are ignored; an empty table gives an empty one.
     """
     model = train(training, scratch)
     return docs.select("doc_id", "held_out", "text").mapInArrow(_scorer(model), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from bisect import bisect_left, bisect_right, insort
@@ -86,7 +87,7 @@ class Packer:
 
 
 class Words:
-    """The token ids of each word seen, as little-endian bytes.
+    """The token ids of texts as little-endian bytes, by those of each word seen.
 
     Words are divided by spaces and line ends only, where the tokenizer always divides too. A word of
     printable characters of ASCII without the apostrophe, and of the letters of Latin-1, divides further into
@@ -96,6 +97,10 @@ class Words:
 
     PLAIN = re.compile("[!-&(-~\u00c0-\u00ff]*")
     PARTS = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|\n|[^a-z\u00df-\u00f6\u00f8-\u00ff0-9\n]+")
+    #: The settings under which words and parts are encoded apart; with any others whole texts are encoded.
+    NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+    SPLIT = {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}
+    PRE_TOKENIZER = {"type": "Sequence", "pretokenizers": [SPLIT, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
     #: Stands between words; no vocabulary has this id.
     MARK = b"\xff\xff\xff\xff"
 
@@ -103,6 +108,9 @@ class Words:
         from tokenizers import Tokenizer
 
         self.tok, self.seen, self.parts = Tokenizer.from_file(path), {}, {"\n": self.MARK}
+        with open(path, encoding="utf-8") as f:
+            made = json.load(f)
+        self.divides = made.get("normalizer") == self.NORMALIZER and made.get("pre_tokenizer") == self.PRE_TOKENIZER and made.get("model", {}).get("type") == "BPE" and all("<|" in x["content"] for x in made.get("added_tokens", []))
 
     def learn(self, words: list[str]) -> None:
         is_plain = self.PLAIN.fullmatch
@@ -124,6 +132,8 @@ class Words:
                 self.seen[w] = np.array(e.ids, "<u4").tobytes()
 
     def ids(self, texts: list[str]) -> list[bytes]:
+        if not self.divides:
+            return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch(texts, add_special_tokens=False)]
         if len(self.seen) > MEMORY:
             self.seen = {}
         if len(self.parts) > PARTS_MEMORY:

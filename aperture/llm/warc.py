@@ -164,18 +164,21 @@ def write_archives(pages: DataFrame, scratch: C.Scratch, least: int = 1000) -> D
     page_id, each of them is whole. A row without page_id is never referred to; it revisits a row that
     has one. Extra columns are ignored; an empty table writes nothing.
 
-    Equal payloads are found by digest and length alone, counted in map tasks first; only digests that
-    occur twice are joined back, so a payload that a third of all pages share moves one small row a task.
+    Equal payloads are found by digest and length alone, counted in map tasks first. Only (page_id, digest,
+    size) is joined with what occurs twice; whom a page refers to then goes back to the pages by page_id and
+    digest, of which no two different pages share both, so a payload that a third of all pages have is spread
+    over its pages. A revisit is written without its html.
     A task's records go to bundles of its own in the shared folder, under a name that no other attempt
     has; the index names the bundles of the attempts that counted.
     """
     html = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     base = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", F.sha1(html).alias("digest"), F.octet_length(html).cast("long").alias("size"))
-    equal = base.where(F.col("size") >= least).groupBy("digest", "size").agg(F.max("page_id").alias("last"), F.count("*").alias("n")).where("n > 1 and last is not null")
-    equal = scratch.table(equal.select(F.col("digest").alias("d"), F.col("size").alias("s"), "last"), "equal")
-    both = base.join(equal, (F.col("digest") == F.col("d")) & (F.col("size") == F.col("s")), "left")
-    refers = F.when(~F.col("page_id").eqNullSafe(F.col("last")), F.col("last")).alias("refers_to")
-    return scratch.table(both.select("page_id", "url", "html", "digest", refers).mapInArrow(_write(scratch.folder("bundles")), _INDEX), "index")
+    narrow = base.where(F.col("size") >= least).select("page_id", "digest", "size")
+    equal = narrow.groupBy("digest", "size").agg(F.max("page_id").alias("last"), F.count("*").alias("n")).where("n > 1 and last is not null").select("digest", "size", "last")
+    refers = narrow.join(equal, ["digest", "size"]).where(~F.col("page_id").eqNullSafe(F.col("last"))).select(F.col("page_id").alias("p"), F.col("digest").alias("d"), "last").distinct()
+    refers = scratch.table(refers, "refers")
+    both = base.join(refers, F.col("page_id").eqNullSafe(F.col("p")) & (F.col("digest") == F.col("d")), "left")
+    return scratch.table(both.select("page_id", "url", "html", "digest", F.col("last").alias("refers_to")).mapInArrow(_write(scratch.folder("bundles")), _INDEX), "index")
 
 
 def read_archives(index: DataFrame) -> DataFrame:

@@ -40,6 +40,7 @@ def test_against_brute_force(spark):
     assert sum(min(have[i][0], want[i][0]) for i in want) >= 0.99 * total and all(have[i][0] <= want[i][0] for i in want)
     assert sum(have[i][1] == want[i][1] for i in want) >= 0.99 * len(want)
     assert all(have[i] == want[i] for i in range(800, 810))
+    assert all(r.audit_recall >= 0.99 for r in got if r.n_links)
 
 
 def test_graph_recall():
@@ -54,5 +55,14 @@ def test_graph_recall():
     assert len(set(zip(a.tolist(), b.tolist())) & want) >= 0.95 * len(want)
 
 
+def test_doubles_stay_doubles(spark):
+    """Components beyond single precision, and a cosine that only doubles tell from the limit."""
+    edge = lambda c: [c, (1 - c * c) ** 0.5]
+    rows = [(1, [1e300, 1e300]), (2, [1e-300, 1e-300]), (3, [2.0, 2.0]), (4, [-1e300, 1e300]), (10, [1.0, 0.0]), (11, edge(0.95 + 1e-12)), (12, edge(0.95 - 1e-12))]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in hnsw.link_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), C.Scratch(spark, "t")).collect()}
+    assert got[1] == got[2] == got[3] == (2, 1) and got[4] == (0, 4)
+    assert got[10] == (1, 10) and got[11] == (2, 10) and got[12] == (1, 10)
+
+
 def test_empty_table(spark):
     assert hnsw.link_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>"), C.Scratch(spark, "t")).count() == 0

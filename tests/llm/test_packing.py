@@ -68,3 +68,21 @@ def test_words_agree_with_the_tokenizer():
     got = packing.Words(packing.tokenizer_path()).ids(texts)
     for text, ids in zip(texts, got):
         assert np.frombuffer(ids, "<u4").tolist() == tok.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+def test_other_tokenizers_are_not_divided(spark, tmp_path):
+    """With other settings than those that the words' way was made for, whole texts are encoded."""
+    import json
+
+    from tokenizers import Tokenizer
+
+    with open(packing.tokenizer_path(), encoding="utf-8") as f:
+        made = json.load(f)
+    made["normalizer"] = {"type": "NFC"}  # no lower case, and spaces stay
+    path = f"{tmp_path}/other.json"
+    with open(path, "w", encoding="utf-8") as f:
+        json.dump(made, f)
+    texts = ["It's A Test", "a  b\nC", "", "x1 Y2"]
+    tok = Tokenizer.from_file(path)
+    assert [np.frombuffer(x, "<u4").tolist() for x in packing.Words(path).ids(texts)] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
+    assert packing.Words(packing.tokenizer_path()).divides and not packing.Words(path).divides
