@@ -20,7 +20,7 @@ from aperture.llm import common as C
 
 CAPACITY, END_ID, POOL = 2048, 1, 1024
 #: Words, and parts of words, that a worker remembers before it begins anew.
-MEMORY, PARTS_MEMORY = 600_000, 1_200_000
+MEMORY, PARTS_MEMORY = 400_000, 800_000
 
 
 def best_fill(counts: dict[int, int], room: int, lengths: list[int] | None = None) -> dict[int, int]:
