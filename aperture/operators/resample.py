@@ -7,10 +7,13 @@ instead of being copied, and draws are digests of their numbers, so any task can
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from aperture.operators.prefix import running_sum
+
 
 def digest(c: Column) -> Column:
     """A 60-bit number of a text, the same in other engines."""
@@ -59,13 +62,24 @@ def paired_p(df: DataFrame, delta: str, *keys: str) -> DataFrame:
 
 
 def holm(df: DataFrame, p: str, *keys: str, order: str) -> DataFrame:
-    """Holm-Bonferroni within keys: the running maximum of (m - i) p, at most 1; rows without p are not tests and have none."""
-    part = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    w = part.orderBy(F.col(p).asc_nulls_last(), order)
-    step = (F.count(p).over(part) - F.row_number().over(w) + 1) * F.col(p)
-    df = df.withColumn("__s", step)
-    best = F.max("__s").over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return df.withColumn("p_holm", F.when(F.col(p).isNotNull(), F.least(F.lit(1.0), best))).drop("__s")
+    """Holm-Bonferroni within keys: the running maximum of (m - i) p, at most 1; rows without p are not tests and have none.
+
+    Ranks and maxima are made in two levels over ranges of p, so that a key of very many tests is spread.
+    """
+    spread = df.withColumns({"__range": F.floor(F.least(F.greatest(F.col(p), F.lit(0.0)), F.lit(1.0)) * 1024), "__one": F.lit(1)})
+    t = running_sum(spread.where(F.col(p).isNotNull()), list(keys), "__range", [F.col(p), F.col(order)], "__one", "__rank")
+    per = [F.col(k) for k in keys] or [F.lit(0)]
+    sizes = t.groupBy(*keys, "__range").agg(F.count("*").alias("__n"))
+    sizes = sizes.withColumn("__m", F.sum("__n").over(Window.partitionBy(*per))).drop("__n")
+    both = [*keys, "__range"]
+    t = t.join(sizes.withColumnsRenamed({k: f"__k_{k}" for k in both}), reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__k_{k}")) for k in both])).drop(*[f"__k_{k}" for k in both])
+    t = t.withColumn("__s", (F.col("__m") - F.col("__rank")) * F.col(p))
+    tops = t.groupBy(*keys, "__range").agg(F.max("__s").alias("__t"))
+    tops = tops.withColumn("__top", F.max("__t").over(Window.partitionBy(*per).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1))).drop("__t")
+    own = F.max("__s").over(Window.partitionBy(*keys, "__range").orderBy(p, order).rowsBetween(Window.unboundedPreceding, 0))
+    t = t.withColumn("__own", own).join(tops.withColumnsRenamed({k: f"__k_{k}" for k in both}), reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__k_{k}")) for k in both])).drop(*[f"__k_{k}" for k in both])
+    t = t.withColumn("p_holm", F.least(F.lit(1.0), F.greatest("__own", "__top"))).select(*df.columns, "p_holm")
+    return t.unionByName(df.where(F.col(p).isNull()).withColumn("p_holm", F.lit(None).cast("double")))
 
 
 def stratified(df: DataFrame, id_col: str, strata: list[str], fraction: float, seed: str = "42", least: int = 2) -> DataFrame:

@@ -1,4 +1,4 @@
-"""The operators that other queries show on a subset of ids, over whole tables and against plain Python."""
+"""Operators over whole tables against plain Python."""
 
 import math
 from collections import defaultdict
@@ -22,7 +22,7 @@ def test_info_nce_of_every_batch(spark):
             loss += sum(math.log(sum(math.exp(10 * x) for x in m[k])) - 10 * m[k][k] for k in range(n)) / n / 2
             top += sum(m[k][k] >= max(m[k]) for k in range(n)) / n / 2
         want[b] = (loss, top)
-    got = {r.batch: (r.loss, r.top1) for r in QUERIES["info_nce_batches"](spark, SF).collect()}
+    got = {r.batch: (r.loss, r.top1) for r in QUERIES["info_nce"](spark, SF).collect()}
     assert set(got) == set(want) and len(want) > 1
     assert all(abs(x - y) < 2e-6 for b in want for x, y in zip(got[b], want[b]))
 
@@ -38,12 +38,12 @@ def test_holm_of_all_parts(spark):
         for at, (p, k) in enumerate(sorted(g)):
             top = max(top, (len(g) - at) * p)
             want[k] = round(min(1.0, top), 6)
-    got = {r.k: r.p_holm for r in QUERIES["holm_correction_all"](spark, SF).collect()}
+    got = {r.k: r.p_holm for r in QUERIES["holm_correction"](spark, SF).collect()}
     assert got == want and len(got) == len(parts)
 
 
 def test_tile_grid_of_all_parts(spark):
     parts = I.read(spark, SF, "part").select("p_partkey", "p_size").collect()
     want = {(k, y, x) for k, size in parts for y in range(0, size * 100 - 255, 256) for x in range(0, 1000 - 255, 256)}
-    got = [tuple(r) for r in QUERIES["tile_grid_all"](spark, SF).select("k", "y", "x").collect()]
+    got = [tuple(r) for r in QUERIES["tile_grid"](spark, SF).select("k", "y", "x").collect()]
     assert len(got) == len(want) and set(got) == want and len({k for k, _, _ in want}) > 20
