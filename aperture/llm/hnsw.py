@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from aperture.llm import common as C
 
 M, EF, LEVEL_ODDS = 16, 64, 16
+#: The beam that audits begin with.
+START = 24
 SHARDS, SHARD_ROWS, BLOCK = 8, 100_000, 1024
 #: Audited vectors of each shard, and of all, that its graph is searched for.
 AUDIT, RECALL = 256, 0.99
@@ -137,7 +139,7 @@ class Graph:
         out[r, c] = np.einsum("nd,nd->n", self.x[ids[r, c]], q[r])
         return out
 
-    def within(self, q: np.ndarray, least: float, ef: int = EF) -> tuple[np.ndarray, np.ndarray]:
+    def within(self, q: np.ndarray, least: float, ef: int = START) -> tuple[np.ndarray, np.ndarray]:
         """(query, node) of the pairs found with similarity `least` or more; a query whose beam is full of them searches again with a wider one."""
         n = len(self.x)
         entry = np.full((len(q), 1), self.top)
@@ -232,7 +234,7 @@ def _audit(folder: str, least: float, sample: dict[int, np.ndarray], audit: int)
             for r in batch.to_pylist():
                 part = _searchable(_load(folder, r["dim"], r["shard"]))
                 own = part["unit"][np.linspace(0, len(part["unit"]) - 1, min(audit, len(part["unit"]))).astype(int)]
-                q, bound, ef = np.concatenate([own, sample[r["dim"]]]) if r["dim"] in sample else own, least - 1e-4, EF
+                q, bound, ef = np.concatenate([own, sample[r["dim"]]]) if r["dim"] in sample else own, least - 1e-4, START
                 want = sum(int((q[p : p + 64] @ part["unit"].T >= bound).sum()) for p in range(0, len(q), 64))
                 while True:
                     got = len(next(iter(part["graph"].within(q, bound, ef))))
