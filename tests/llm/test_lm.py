@@ -110,3 +110,9 @@ def test_no_training_rows(spark):
     ask = spark.createDataFrame([(1, True, "a b"), (2, True, None)], "doc_id long, held_out boolean, text string")
     got = {r.doc_id: r for r in lm.score(ask, docs, C.Scratch(spark, "t")).collect()}
     assert got[1].score == 0 and got[1].n_known == 0 and got[2].n_tokens == 1
+
+
+def test_no_rows_to_score(spark):
+    docs = spark.createDataFrame([("a b",)], "text string")
+    none = spark.createDataFrame([], "doc_id long, held_out boolean, text string")
+    assert lm.score(none, docs, C.Scratch(spark, "t")).count() == 0

@@ -94,3 +94,24 @@ def test_estimates_probability_jaccard():
     x[a.astype(int)], y[b.astype(int)] = wa, wb
     want = sum(1 / np.maximum(x / x[d], y / y[d]).sum() for d in range(41, 121))
     assert abs((sig[0] == sig[1]).mean() - want) < 0.04
+
+
+def test_repeated_lines_do_not_hide_copies(spark):
+    """Texts whose sets are alike but whose weights are far apart, as one repeats a line very often, are linked."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    rows = []
+    for k in range(12):
+        base = [word() for _ in range(124)]
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(base + base[-10:] * 60))]
+    want = brute(rows)
+    assert all(want[2 * k + 1] == 2 * k for k in range(12))
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), C.Scratch(spark, "t")).collect()
+    assert {r.doc_id: r.class_id for r in got} == want
+
+
+def test_batches_are_bounded_in_rows():
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array(["x"] * 100)], ["text"])
+    assert [b.num_rows for b in C.batches(iter([batch]), "text", rows_most=30)] == [30, 30, 30, 10]

@@ -64,3 +64,8 @@ def test_documents_in_order_of_slots_with_clashing_columns(spark):
     assert [(d, w) for _, _, d, w in plan] == [(r.doc_id, len(r.text.split())) for r in got]
     hot = [r.source == "hot" for r in got]
     assert 0.3 < sum(hot[: len(hot) // 2]) / sum(hot) < 0.7  # sources alternate
+
+
+def test_empty_table(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert mixing.op7_mixing(spark, str(tmp_path)).count() == 0
