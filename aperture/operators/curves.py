@@ -55,7 +55,7 @@ def macro_ovr_auroc(probs: DataFrame, n_classes: int) -> DataFrame:
 
 
 def roc(df: DataFrame, keys: list[str] = (), drop_intermediate: bool = False) -> DataFrame:
-    """(keys, threshold, tpr, fpr, tps, fps) by falling threshold; the first point is an infinite threshold and nothing predicted.
+    """(keys, threshold, tpr, fpr, tps, fps) by falling threshold; the first point is an infinite threshold and nothing predicted. With one class the other's rates are null but for that point.
 
     drop_intermediate leaves out points on a straight run, but for its ends.
     """
@@ -69,7 +69,8 @@ def roc(df: DataFrame, keys: list[str] = (), drop_intermediate: bool = False) ->
     totals = t.groupBy(*keys).agg(F.max("tps").alias("all_p"), F.max("fps").alias("all_n"))
     first = totals.select(*keys, F.lit(float("inf")).alias("score"), F.lit(0.0).alias("tps"), F.lit(0.0).alias("fps"))
     t = _with(first.unionByName(t), totals, keys)
-    return t.select(*keys, F.col("score").alias("threshold"), div(F.col("tps"), F.col("all_p")).alias("tpr"), div(F.col("fps"), F.col("all_n")).alias("fpr"), "tps", "fps")
+    part = lambda c, whole: F.when(F.col(c) == 0.0, F.when((F.col("score") == float("inf")) | (F.col(whole) > 0), 0.0)).otherwise(div(F.col(c), F.col(whole)))
+    return t.select(*keys, F.col("score").alias("threshold"), part("tps", "all_p").alias("tpr"), part("fps", "all_n").alias("fpr"), "tps", "fps")
 
 
 def _with(df: DataFrame, one: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:

@@ -57,7 +57,7 @@ FLAT = POINTS.format(k="", pk="")
 BY = POINTS.format(k="lang,", pk="PARTITION BY lang")
 PRUNED = BY + """,
 kk AS (SELECT *, lead(tps) OVER w - 2 * tps + lag(tps) OVER w AS a, lead(fps) OVER w - 2 * fps + lag(fps) OVER w AS b FROM ro WINDOW w AS (PARTITION BY lang ORDER BY threshold DESC)),
-kp AS (SELECT lang, threshold, tpr, fpr, tpr - fpr AS j, 1 - fpr AS spec FROM kk WHERE a IS NULL OR a <> 0 OR b <> 0 UNION ALL SELECT DISTINCT lang, 'inf'::DOUBLE, CASE WHEN bool_or(gt = 1) OVER q THEN 0.0 END, CASE WHEN bool_or(gt = 0) OVER q THEN 0.0 END, CASE WHEN bool_or(gt = 1) OVER q AND bool_or(gt = 0) OVER q THEN 0.0 END, CASE WHEN bool_or(gt = 0) OVER q THEN 1.0 END FROM s WINDOW q AS (PARTITION BY lang))"""
+kp AS (SELECT lang, threshold, tpr, fpr, tpr - fpr AS j, 1 - fpr AS spec FROM kk WHERE a IS NULL OR a <> 0 OR b <> 0 UNION ALL SELECT DISTINCT lang, 'inf'::DOUBLE, 0.0, 0.0, 0.0, 1.0 FROM s)"""
 AUC = "sum(p * (below + 0.5::DOUBLE * n)) / nullif(sum(p) * sum(n), 0)::DOUBLE"
 PAIRS = """n AS (SELECT count(*) AS n FROM embeddings),
 raw AS (SELECT e.vec_id AS i, e.label, e.embedding::DOUBLE[] AS a, list_transform(list_zip(e.embedding, o.embedding), lambda z: z[1]::DOUBLE * 0.2::DOUBLE + z[2]::DOUBLE * 0.8::DOUBLE) AS b
