@@ -66,7 +66,7 @@ def roc(df: DataFrame, keys: list[str] = (), drop_intermediate: bool = False) ->
         w = _window(keys)
         turn = lambda c: F.lead(c).over(w) - 2 * F.col(c) + F.lag(c).over(w)
         t = t.withColumn("keep", F.coalesce((turn("tps") != 0) | (turn("fps") != 0), F.lit(True))).where("keep").drop("keep")
-    totals = t.groupBy(*keys).agg(F.max("tps").alias("all_p"), F.max("fps").alias("all_n"))
+    totals = t.groupBy(*keys).agg(F.max("tps").alias("all_p"), F.max("fps").alias("all_n")).where("all_p is not null")  # no points of no rows
     first = totals.select(*keys, F.lit(float("inf")).alias("score"), F.lit(0.0).alias("tps"), F.lit(0.0).alias("fps"))
     t = _with(first.unionByName(t), totals, keys)
     part = lambda c, whole: F.when(F.col(c) == 0.0, F.when((F.col("score") == float("inf")) | (F.col(whole) > 0), 0.0)).otherwise(div(F.col(c), F.col(whole)))
