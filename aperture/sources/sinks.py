@@ -5,106 +5,96 @@ from __future__ import annotations
 import json
 import time
 import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from aperture.operators.tables import upsert
+from aperture.sources import versions as V
 from aperture.sources.loaders import _fs
 
 
-@contextmanager
-def locked(spark: SparkSession, path: str, patience: float = 60.0) -> Iterator[None]:
-    """One writer of `path` at a time: a file beside it that only one can create; TimeoutError after `patience` seconds."""
-    fs, p = _fs(spark, f"{path}.lock")
-    until = time.monotonic() + patience
-    while not fs.createNewFile(p):
-        if time.monotonic() > until:
-            raise TimeoutError(f"{path}.lock is held; remove it if its writer is gone")
-        time.sleep(0.1)
-    try:
-        yield
-    finally:
-        fs.delete(p, False)
-
+def replace_table(df: DataFrame, path: str, fmt: str = "parquet", grace: float = V.GRACE) -> None:
+    """The whole table anew, as the newest version of `path`; whoever reads the one before keeps it (versions.read_current reads the newest)."""
+    V.publish(df.sparkSession, path, lambda folder, _: df.write.format(fmt).option("header", True).save(f"{folder}/data"), grace=grace)
 
-def restore(spark: SparkSession, path: str) -> None:
-    """Put back the table that a writer had moved aside when it was stopped."""
-    fs, p = _fs(spark, path)
-    old = _fs(spark, f"{path}.old")[1]
-    if fs.exists(old) and not fs.exists(p):
-        fs.rename(old, p)
 
+def merge_on_write(new: DataFrame, path: str, keys: list[str] | None = None, patience: float = 300.0, grace: float = V.GRACE) -> DataFrame:
+    """Blocks of new rows replace the old rows of their keys: (model, table) if there is a table, else (model). Gives the version made.
 
-def replace_folder(df: DataFrame, path: str, fmt: str = "parquet") -> None:
-    """Write the whole new table beside, move the old one aside, put the new one in its place, and only then remove the old one.
-
-    If the last move fails the old table is put back; if the writer dies between, `restore` does it.
+    Writers at the same time lose nothing: who commits second merges again. A plain table at `path` is the base of the first version.
     """
-    spark = df.sparkSession
-    new = f"{path}.{uuid.uuid4().hex}"
-    df.write.format(fmt).option("header", True).save(new)
-    fs, p = _fs(spark, path)
-    old, fresh = _fs(spark, f"{path}.old")[1], _fs(spark, new)[1]
-    if fs.exists(p):
-        fs.delete(old, True)
-        if not fs.rename(p, old):
-            raise OSError(f"{path} could not be moved aside")
-    if not fs.rename(fresh, p):
-        restore(spark, path)
-        raise OSError(f"{path} could not be replaced")
-    fs.delete(old, True)
-
-
-def merge_on_write(new: DataFrame, path: str, keys: list[str] | None = None, patience: float = 60.0) -> DataFrame:
-    """Blocks of new rows replace the old rows of their keys: (model, table) if there is a table, else (model). Writers wait for each other."""
     spark = new.sparkSession
     keys = keys or (["model", "table"] if "table" in new.columns else ["model"])
-    with locked(spark, path, patience):
-        restore(spark, path)
-        fs, p = _fs(spark, path)
-        whole = upsert(spark.read.parquet(path), new, keys) if fs.exists(p) else new
-        replace_folder(whole.orderBy(*keys), path)
-    return spark.read.parquet(path)
 
+    def write(folder: str, base: str | None) -> None:
+        whole = upsert(spark.read.parquet(V.part_of(spark, base, "data")), new, keys) if base else new
+        whole.orderBy(*keys).write.parquet(f"{folder}/data")
+
+    return spark.read.parquet(f"{V.publish(spark, path, write, patience, grace)}/data")
 
-def merge_summary(new: DataFrame, folder: str, keys: list[str] | None = None, patience: float = 60.0) -> DataFrame:
-    """A summary as CSV and as JSON lines (folder/csv, folder/json): as merge_on_write, all columns as texts in the CSV."""
+
+def merge_summary(new: DataFrame, path: str, keys: list[str] | None = None, patience: float = 300.0, grace: float = V.GRACE) -> DataFrame:
+    """A summary as CSV and as JSON lines (parts csv and json): as merge_on_write, all columns as texts in the CSV. Both are of one version, so none is newer than the other."""
     spark = new.sparkSession
     keys = keys or (["model", "table"] if "table" in new.columns else ["model"])
-    with locked(spark, folder, patience):
-        restore(spark, f"{folder}/json")
-        fs, p = _fs(spark, f"{folder}/json")
-        whole = upsert(spark.read.json(f"{folder}/json"), new, keys) if fs.exists(p) else new
-        replace_folder(whole.orderBy(*keys), f"{folder}/json", "json")
-        replace_folder(spark.read.schema(whole.schema).json(f"{folder}/json").orderBy(*keys), f"{folder}/csv", "csv")
-    return spark.read.csv(f"{folder}/csv", header=True)
+
+    def write(folder: str, base: str | None) -> None:
+        whole = upsert(spark.read.json(V.part_of(spark, base, "json")), new, keys) if base else new
+        whole.orderBy(*keys).write.json(f"{folder}/json")
+        spark.read.schema(whole.schema).json(f"{folder}/json").orderBy(*keys).write.option("header", True).csv(f"{folder}/csv")
+
+    return spark.read.csv(f"{V.publish(spark, path, write, patience, grace)}/csv", header=True)
 
 
 def append_manifest(df: DataFrame, path: str) -> None:
     df.write.mode("append").option("header", True).csv(path)
 
 
+def appended(spark: SparkSession, path: str) -> DataFrame | None:
+    """All blocks that append_unfinished has committed at `path`, and a plain table that was there before; None if there are none."""
+    base = path.rstrip("/")
+    fs, p = _fs(spark, base)
+    plain = fs.exists(p) and any(not str(x.getPath().getName()).startswith(("_", ".")) for x in fs.listStatus(p))
+    found = [spark.read.parquet(base)] if plain else []
+    blocks = [f"{base}/{e['block']}" for e in V.Log(spark, base).all()]
+    found += [spark.read.parquet(*blocks).drop("__reason")] if blocks else []
+    return found[0].unionByName(found[1], allowMissingColumns=True) if len(found) > 1 else found[0] if found else None
+
+
 def unfinished(work: DataFrame, path: str, keys: list[str]) -> DataFrame:
-    """The rows of `work` that no earlier run has written."""
-    spark = work.sparkSession
-    fs, p = _fs(spark, path)
-    return work.join(spark.read.parquet(path).select(*keys).distinct(), keys, "left_anti") if fs.exists(p) else work
-
-
-def append_unfinished(work: DataFrame, path: str, keys: list[str], failed: Column | None = None, log: str | None = None) -> int:
-    """Commit what is left as one more block; returns how many rows. Rows whose `failed` holds a reason go to `log` instead, and are tried again next time."""
-    left = unfinished(work, path, keys)
-    if failed is not None:
-        bad = left.where(failed.isNotNull()).select(*keys, failed.cast("string").alias("reason"))
-        if log and not bad.isEmpty():
-            append_manifest(bad, log)
-        left = left.where(failed.isNull())
-    n = left.count()
-    if n:
-        left.write.mode("append").parquet(path)
-    return n
+    """The rows of `work` that no earlier run has committed."""
+    done = appended(work.sparkSession, path)
+    return work if done is None else work.join(done.select(*keys).distinct(), keys, "left_anti")
+
+
+def append_unfinished(work: DataFrame, path: str, keys: list[str], failed: Column | None = None, log: str | None = None, patience: float = 300.0) -> int:
+    """Commit what is left as one more block; returns how many rows. Rows whose `failed` holds a reason go to `log` instead, and are tried again next time.
+
+    What is left is computed once, into a block that counts only when its entry is in the log; of two
+    builders at the same time the second looks again for what is left, so that no row is there twice.
+    """
+    spark, until = work.sparkSession, time.monotonic() + patience
+    entries = V.Log(spark, path)
+    while True:
+        n = entries.last()
+        name = f"_blocks/{n + 1:012d}-{uuid.uuid4().hex}"
+        block = f"{path.rstrip('/')}/{name}"
+        reason = failed.cast("string") if failed is not None else F.lit(None).cast("string")
+        left = unfinished(work, path, keys).withColumn("__reason", reason).withColumn("__failed", F.col("__reason").isNotNull())
+        left.write.partitionBy("__failed").parquet(f"{block}/rows")
+        part = lambda failed: f"{block}/rows/__failed={failed}"
+        fs, p = _fs(spark, part("false"))
+        count = spark.read.parquet(part("false")).count() if fs.exists(p) else 0
+        if not count or entries.add(n + 1, {"block": f"{name}/rows/__failed=false", "rows": count}):
+            if log and fs.exists(_fs(spark, part("true"))[1]):
+                append_manifest(spark.read.parquet(part("true")).select(*keys, F.col("__reason").alias("reason")), log)
+            if not count:
+                fs.delete(_fs(spark, block)[1], True)
+            return count
+        fs.delete(_fs(spark, block)[1], True)
+        if time.monotonic() > until:
+            raise TimeoutError(f"other writers of {path} were always first")
 
 
 def write_cache(df: DataFrame, path: str, *by: str) -> None:
@@ -113,14 +103,18 @@ def write_cache(df: DataFrame, path: str, *by: str) -> None:
 
 
 def write_pooled(pooled: DataFrame, path: str, vectors: tuple[str, ...] = ("image_emb", "text_emb")) -> None:
-    """Pooled vectors as a table by pair_index, and beside it a manifest of all other columns."""
-    replace_folder(pooled.orderBy("pair_index"), f"{path}/embeddings")
-    replace_folder(pooled.drop(*vectors).orderBy("pair_index"), f"{path}/manifest", "csv")
+    """Pooled vectors as a table by pair_index (part embeddings), and a manifest of all other columns (part manifest), of one version."""
+
+    def write(folder: str, _: str | None) -> None:
+        pooled.orderBy("pair_index").write.parquet(f"{folder}/embeddings")
+        pooled.drop(*vectors).orderBy("pair_index").write.option("header", True).csv(f"{folder}/manifest")
+
+    V.publish(pooled.sparkSession, path, write)
 
 
 def write_csv(df: DataFrame, path: str, *order: str) -> None:
-    """A report (ranks of pairs, top k, metrics) as CSV files with headers, in order from file to file."""
-    replace_folder(df.orderBy(*order) if order else df, path, "csv")
+    """A report (ranks of pairs, top k, metrics) as CSV files with headers, in order from file to file; a version of `path`."""
+    replace_table(df.orderBy(*order) if order else df, path, "csv")
 
 
 def flat_metrics(nested: dict, prefix: str = "") -> dict[str, object]:

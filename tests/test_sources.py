@@ -87,10 +87,11 @@ def test_statistics(spark):
 
 
 def test_stream_upsert(spark, tmp_path):
+    from aperture.sources.versions import read_current
     from aperture.streaming.upserts import upsert_stream
 
     spark.createDataFrame([("m", 1), ("n", 2)], "model string, v int").write.parquet(f"{tmp_path}/in")
     stream = spark.readStream.schema("model string, v int").parquet(f"{tmp_path}/in")
     for _ in range(2):
         upsert_stream(stream, f"{tmp_path}/out", ["model"], f"{tmp_path}/c").awaitTermination(60)
-    assert spark.read.parquet(f"{tmp_path}/out").count() == 2
+    assert read_current(spark, f"{tmp_path}/out").count() == 2
