@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from aperture.operators import bundles as U
+from aperture.operators import callables as A
 from aperture.operators import curves as K
 from aperture.operators import metrics as M
 from aperture.operators import prompts as W
@@ -343,3 +344,42 @@ def missed_patients(spark, d):
     slides = c.select(F.col("c_mktsegment").alias("group"), F.col("c_name").alias("slide"))
     known = c.where("c_custkey % 4 <> 0").select(F.col("c_mktsegment").alias("group"), F.col("c_name").alias("slide"), F.concat(F.lit("P"), (F.col("c_custkey") % 9).cast("string")).alias("patient_id"), "c_custkey")
     return J.missed_by_group(J.join_patients(slides, known, "ext", "c_custkey"))
+
+
+# ------------------------------------------------------------------ functions that users bring
+
+
+def _letters():
+    """An encoder of texts: how many of a text's characters have each code modulo 8."""
+    import numpy as np
+
+    return lambda texts: np.array([np.bincount(np.frombuffer(t.encode("utf-32-le"), np.uint32) % 8, minlength=8) for t in texts], float)
+
+
+_CODES = "list_transform(range(8), lambda k: len(list_filter(string_split({}, ''), lambda c: unicode(c) % 8 = k))::DOUBLE)"
+
+
+@query(f"""WITH c AS (SELECT n_regionkey AS class_id, {_CODES.format('n_name')} AS v FROM nation), m AS (SELECT class_id, i, avg(v[i]) AS m FROM c, range(1, 9) t(i) GROUP BY ALL), w AS (SELECT class_id, list(m ORDER BY i) AS v FROM m GROUP BY class_id),
+u AS (SELECT class_id, list_transform(v, lambda x: x / (sqrt(list_dot_product(v, v)) + 1e-8)) AS v FROM w), e AS (SELECT DISTINCT p_name AS name, {_CODES.format('p_name')} AS v FROM part),
+l AS (SELECT name, class_id, list_dot_product(e.v, u.v) AS z FROM e, u), p AS (SELECT *, exp(0.25::DOUBLE * (z - max(z) OVER q)) AS x FROM l WINDOW q AS (PARTITION BY name))
+SELECT name, arg_max(class_id, (z, -class_id)) AS pred, round(max(x) / sum(x), 6) AS prob FROM p GROUP BY name""")
+def injected_encoder(spark, d):
+    """Part names classified by the regions whose nations' names are nearest, with an encoder that the caller brings."""
+    encoder = A.Encoder(_letters)
+    names = I.read(spark, d, "part").select(F.col("p_name").alias("item_id")).distinct()
+    prompts = I.read(spark, d, "nation").select(F.col("n_regionkey").alias("class_id"), F.col("n_name").alias("text"))
+    scores = A.zero_shot(encoder.encode(names, "item_id", "embedding"), prompts, encoder, temperature=0.25)
+    best = F.max(F.struct("logit", -F.col("class_id"), "prob")).alias("m")
+    return rounded(scores.groupBy(F.col("item_id").alias("name")).agg(best).select("name", (-F.col("m.col2")).cast("int").alias("pred"), F.col("m.prob").alias("prob")))
+
+
+@query(f"""WITH {DOCS}, {_draws_sql('s', 'source', 100)}, x AS (SELECT lang, rep, sum(weight * (score - gt) ** 2) / sum(weight) AS brier, sum(weight * (score - gt)) / sum(weight) AS bias FROM s JOIN w ON source = c GROUP BY ALL)
+SELECT lang, round(quantile_cont(brier, 0.025), 6) AS brier_lo, round(quantile_cont(brier, 0.975), 6) AS brier_hi, round(quantile_cont(bias, 0.025), 6) AS bias_lo, round(quantile_cont(bias, 0.975), 6) AS bias_hi, count(brier) AS n_valid FROM x GROUP BY lang""")
+def custom_statistic_intervals(spark, d):
+    """Intervals of two statistics that the caller brings as sums over rows: mean squared error and bias, by language."""
+    import numpy as np
+
+    parts = lambda c: np.stack([(c["score"] - c["gt"]) ** 2, c["score"] - c["gt"], np.ones(len(c["gt"]))], 1)
+    final = lambda s: {"brier": s[0] / s[2], "bias": s[1] / s[2]} if s[2] else {}
+    t = A.bootstrap_sums(I.doc_scores(spark, d), "source", 100, parts, final, ["brier", "bias"], ["lang"], ["score", "gt"])
+    return rounded(B.intervals(t, ["brier", "bias"], "lang", require="brier"))
