@@ -34,10 +34,15 @@ def unit_class(a: Column) -> Column:
 
 
 def mean_by(df: DataFrame, keys: list[str], vector: str, into: str) -> DataFrame:
-    """The mean vector of each group, by position: sums are combined in map tasks before the shuffle."""
-    parts = df.select(*keys, F.posexplode(vector).alias("__p", "__x"))
-    means = parts.groupBy(*keys, "__p").agg(F.avg(F.col("__x").cast("double")).alias("__m"))
-    return means.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("__p", "__m"))), lambda s: s["__m"]).alias(into))
+    """The mean vector of each group, one buffer of running means a group in each task (Spark ML's summarizer); null vectors are left out.
+
+    Vectors of a group must be of one length, or the query fails.
+    """
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+
+    some = df.where(F.col(vector).isNotNull()).select(*keys, array_to_vector(F.col(vector)).alias("__v"))
+    return some.groupBy(*keys).agg(Summarizer.mean(F.col("__v")).alias("__m")).select(*keys, vector_to_array("__m").alias(into))
 
 
 def shift(a: Column, b: Column) -> dict[str, Column]:

@@ -20,14 +20,14 @@ def _joined(parts: list[DataFrame], keys: list[str]) -> DataFrame:
     return out
 
 
-def operating_points(df: DataFrame, keys: list[str] = (), floors: dict[str, float] | None = None) -> DataFrame:
+def operating_points(df: DataFrame, keys: list[str] = (), floors: dict[str, float] | None = None, curve: DataFrame | None = None) -> DataFrame:
     """youden_{thresh, sens, spec, j} and, for each floor of sensitivity, {name}_{thresh, sens, spec}, from one pruned curve; null with one class.
 
     Youden: the highest threshold among equals. A floor: the highest specificity of the points that reach
     it, then the highest threshold; if none does, the largest sensitivity.
     """
     keys = list(keys)
-    p = K.roc(df, keys, True).withColumns({"j": F.col("tpr") - F.col("fpr"), "spec": 1.0 - F.col("fpr")})
+    p = K.roc(df, keys, True, curve).withColumns({"j": F.col("tpr") - F.col("fpr"), "spec": 1.0 - F.col("fpr")})
     picks = {"youden": F.struct("j", "threshold", F.col("tpr").alias("sens"), "spec")}
     for name, floor in (floors or {}).items():
         ok = F.col("tpr") >= floor
@@ -43,9 +43,8 @@ def _counts(df: DataFrame, keys: list[str], pred: Column) -> DataFrame:
     return df.groupBy(*keys).agg(*M.confusion(F.col("gt"), pred), *sums)
 
 
-def _areas(df: DataFrame, keys: list[str]) -> list[DataFrame]:
-    a, p = K.auroc(df, keys), K.average_precision(df, keys).withColumnRenamed("average_precision", "aupr")
-    return [a, p]
+def _areas(df: DataFrame, keys: list[str], curve: DataFrame) -> list[DataFrame]:
+    return [K.auroc(df, keys, curve=curve), K.average_precision(df, keys, curve).withColumnRenamed("average_precision", "aupr")]
 
 
 def probability_metrics(df: DataFrame, keys: list[str] = (), pred: str | None = None) -> DataFrame:
@@ -57,7 +56,8 @@ def probability_metrics(df: DataFrame, keys: list[str] = (), pred: str | None =
     over = (F.col("score") >= NEUTRAL).cast("int")
     stored = F.coalesce(F.trim(F.col(pred).cast("string")).try_cast("double").cast("int"), over) if pred else over
     base = M.derived(_counts(df, keys, stored))
-    out = _joined([base, *_areas(df, keys), operating_points(df, keys, {"sens90": 0.9, "sens95": 0.95})], keys).drop("youden_j")
+    curve = K.rising(df, keys)
+    out = _joined([base, *_areas(df, keys, curve), operating_points(df, keys, {"sens90": 0.9, "sens95": 0.95}, curve)], keys).drop("youden_j")
     return out.withColumn("aupr", F.when((F.col("n_pos") > 0) & (F.col("n_neg") > 0), F.col("aupr")))
 
 
@@ -66,7 +66,7 @@ def fixed_threshold(df: DataFrame, threshold: float | Column, keys: list[str] =
     keys = list(keys)
     base = M.derived(_counts(df, keys, (F.col("score") >= threshold).cast("int")), True)
     both = (F.col("n_pos") > 0) & (F.col("n_neg") > 0)
-    out = _joined([base, *_areas(df, keys)], keys)
+    out = _joined([base, *_areas(df, keys, K.rising(df, keys))], keys)
     names = ["auroc", "aupr", "accuracy", "balanced_accuracy", "sensitivity", "specificity", "precision", "f1"]
     return out.select(*keys, "n", "n_pos", "n_neg", *[F.when(both, F.col(c)).alias(c) for c in names])
 
@@ -77,23 +77,25 @@ BINARY = ["accuracy", "f1", "precision", "sensitivity", "specificity", *M.COUNTS
 def binary_thresholds(df: DataFrame, n_classes: int, keys: list[str] = ()) -> DataFrame:
     """binary_auroc and binary_{0p5, youden}_* of (keys, gt: the label, score: the second class's probability), precision and F1 zero where undefined.
 
-    Null unless there are two classes and all labels are 0 or 1; what needs both classes is null with one.
+    Null unless there are two classes and all labels are 0 or 1 (binary_0p5_threshold is 0.5 all the same); what needs both
+    classes is null with one. Without keys there is one row, of an empty table too.
     """
     keys = list(keys)
     one = df.groupBy(*keys).agg(F.max("gt").alias("hi"), F.min("gt").alias("lo"))
     fit = F.lit(n_classes == 2) & F.col("lo").isin(0, 1) & F.col("hi").isin(0, 1)
     df = K._with(df, one.select(*keys, fit.alias("__fit")), keys).where("__fit").drop("__fit") if n_classes == 2 else df.limit(0)
-    points = operating_points(df, keys).select(*keys, F.col("youden_thresh").alias("binary_youden_threshold"), F.col("youden_j").alias("binary_youden_j"))
+    curve = K.rising(df, keys)
+    points = operating_points(df, keys, curve=curve).select(*keys, F.col("youden_thresh").alias("binary_youden_threshold"), F.col("youden_j").alias("binary_youden_j"))
     at = K._with(df, points, keys, "left").withColumn("__t", F.col("binary_youden_threshold"))
 
     def part(t: DataFrame, pred: Column, name: str) -> DataFrame:
-        x = M.derived(t.groupBy(*keys).agg(*M.confusion(F.col("gt"), pred)), True)
+        x = M.derived(t.groupBy(*keys).agg(*M.confusion(F.col("gt"), pred), F.count("*").alias("__n")), True).where("__n > 0")
         return x.select(*keys, *[F.col(c).alias(f"binary_{name}_{c}") for c in BINARY])
 
-    fixed = part(df, (F.col("score") >= NEUTRAL).cast("int"), "0p5").withColumn("binary_0p5_threshold", F.lit(NEUTRAL))
+    fixed = part(df, (F.col("score") >= NEUTRAL).cast("int"), "0p5")
     best = part(at.where("__t is not null"), (F.col("score") >= F.col("__t")).cast("int"), "youden")
-    auc = K.auroc(df, keys).withColumnRenamed("auroc", "binary_auroc")
-    return _joined([one.select(*keys), fixed, auc, points, best], keys) if keys else _joined([fixed, auc, points, best], keys)
+    auc = K.auroc(df, keys, curve=curve).withColumnRenamed("auroc", "binary_auroc")
+    return _joined([one.select(*keys, F.lit(NEUTRAL).alias("binary_0p5_threshold")), fixed, auc, points, best], keys)
 
 
 def grouped_tables(df: DataFrame, group: str, poolings: dict[str, str], at: float = NEUTRAL) -> DataFrame:

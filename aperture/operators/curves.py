@@ -1,16 +1,13 @@
-"""Ranking curves on (keys, score, gt[, weight]): scores are counted by value first, then accumulated."""
+"""Ranking curves on (keys, score, gt[, weight]): scores are counted by value first, then accumulated over sampled ranges of (keys, score)."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from aperture.functions.scalars import div
 from aperture.operators import metrics as M
-from aperture.operators.prefix import running_sum
-
-#: Ranges of scores in which a curve over all rows is accumulated.
-RANGES = 1024
+from aperture.operators import ranges as R
 
 
 def _points(df: DataFrame, keys: list[str], weight=None) -> DataFrame:
@@ -18,29 +15,19 @@ def _points(df: DataFrame, keys: list[str], weight=None) -> DataFrame:
     return df.groupBy(*keys, "score").agg(F.sum(F.when(F.col("gt") == 1, w).otherwise(0.0)).alias("p"), F.sum(F.when(F.col("gt") == 0, w).otherwise(0.0)).alias("n"))
 
 
-def _window(keys, desc=True):
-    w = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    return w.orderBy(F.desc("score") if desc else F.asc("score"))
-
-
-def _before(points: DataFrame, keys: list[str], into: dict[str, str], desc: bool = True) -> DataFrame:
-    """Sums of columns over the points before each in the order of scores. With no keys the scores are dealt to ranges first, for all of them may be different."""
-    if keys:
-        w = _window(keys, desc).rowsBetween(Window.unboundedPreceding, -1)
-        return points.withColumns({name: F.coalesce(F.sum(c).over(w), F.lit(0.0)) for c, name in into.items()})
-    ends = points.where(F.abs("score") < float("inf")).agg(F.min("score").alias("__lo"), F.max("score").alias("__hi"))
-    at = F.floor(F.coalesce(F.try_divide(F.col("score") - F.col("__lo"), F.col("__hi") - F.col("__lo")), F.lit(0.0)) * RANGES)
-    out = points.join(F.broadcast(ends)).withColumn("__range", (F.lit(-1) if desc else F.lit(1)) * F.least(F.greatest(at, F.lit(-1)), F.lit(RANGES + 1))).drop("__lo", "__hi")
-    for c, name in into.items():
-        out = running_sum(out, [], "__range", [F.desc("score") if desc else F.asc("score")], c, name)
-    return out.drop("__range")
+def rising(df: DataFrame, keys: list[str] = (), weight=None) -> DataFrame:
+    """(keys, score, p, n, tps, fps, range): weights of both classes at each score, and of all scores down to it. The functions below take it as `curve`, so that several need one pass."""
+    keys = list(keys)
+    t = R.dealt(_points(df, keys, weight), keys, ["score"])
+    t = R.before(t, keys, ["score"], {"tps": "p", "fps": "n"}, True)
+    return t.withColumns({"tps": F.col("tps") + F.col("p"), "fps": F.col("fps") + F.col("n")})
 
 
-def auroc(df: DataFrame, keys: list[str] = (), weight=None) -> DataFrame:
+def auroc(df: DataFrame, keys: list[str] = (), weight=None, curve: DataFrame | None = None) -> DataFrame:
     """Mann-Whitney with half for ties; null with one class."""
-    keys = list(keys)
-    t = _before(_points(df, keys, weight), keys, {"n": "below"}, False).withColumn("u", F.col("p") * (F.col("below") + 0.5 * F.col("n")))
-    return t.groupBy(*keys).agg(div(F.sum("u"), F.sum("p") * F.sum("n")).alias("auroc"))
+    t = curve if curve is not None else rising(df, keys, weight)
+    pairs = F.sum("p") * F.sum("n")
+    return t.groupBy(*keys).agg(div(pairs - F.sum(F.col("p") * (F.col("fps") - 0.5 * F.col("n"))), pairs).alias("auroc"))
 
 
 def macro_ovr_auroc(probs: DataFrame, n_classes: int) -> DataFrame:
@@ -54,18 +41,17 @@ def macro_ovr_auroc(probs: DataFrame, n_classes: int) -> DataFrame:
     return t.agg(F.when(n == (1 if n_classes == 2 else n_classes), F.avg("auroc")).alias("macro_auroc"), n.alias("classes"))
 
 
-def roc(df: DataFrame, keys: list[str] = (), drop_intermediate: bool = False) -> DataFrame:
+def roc(df: DataFrame, keys: list[str] = (), drop_intermediate: bool = False, curve: DataFrame | None = None) -> DataFrame:
     """(keys, threshold, tpr, fpr, tps, fps) by falling threshold; the first point is an infinite threshold and nothing predicted. With one class the other's rates are null but for that point.
 
     drop_intermediate leaves out points on a straight run, but for its ends.
     """
     keys = list(keys)
-    t = _before(_points(df, keys), keys, {"p": "tps", "n": "fps"}).withColumns({"tps": F.col("tps") + F.col("p"), "fps": F.col("fps") + F.col("n")})
-    t = t.select(*keys, "score", "tps", "fps")
+    t = (curve if curve is not None else rising(df, keys)).select(*keys, "score", "tps", "fps", R.PART)
     if drop_intermediate:
-        w = _window(keys)
-        turn = lambda c: F.lead(c).over(w) - 2 * F.col(c) + F.lag(c).over(w)
-        t = t.withColumn("keep", F.coalesce((turn("tps") != 0) | (turn("fps") != 0), F.lit(True))).where("keep").drop("keep")
+        turn = lambda c: F.col(f"{c}_lead") - 2 * F.col(c) + F.col(f"{c}_lag")
+        t = R.neighbours(t, keys, "score", ["tps", "fps"], True).where(F.coalesce((turn("tps") != 0) | (turn("fps") != 0), F.lit(True)))
+    t = t.select(*keys, "score", "tps", "fps")
     totals = t.groupBy(*keys).agg(F.max("tps").alias("all_p"), F.max("fps").alias("all_n")).where("all_p is not null")  # no points of no rows
     first = totals.select(*keys, F.lit(float("inf")).alias("score"), F.lit(0.0).alias("tps"), F.lit(0.0).alias("fps"))
     t = _with(first.unionByName(t), totals, keys)
@@ -76,23 +62,22 @@ def roc(df: DataFrame, keys: list[str] = (), drop_intermediate: bool = False) ->
 def _with(df: DataFrame, one: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """Each row of `df` with the row of its keys of `one`; without keys that is one row."""
     if not keys:
-        return df.join(F.broadcast(one))
+        return df.join(F.broadcast(one), F.lit(True), how)
     other = one.withColumnsRenamed({k: f"__{k}" for k in keys})
     on = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
     return df.join(other, on, how).drop(*[f"__{k}" for k in keys])
 
 
-def average_precision(df: DataFrame, keys: list[str] = ()) -> DataFrame:
+def average_precision(df: DataFrame, keys: list[str] = (), curve: DataFrame | None = None) -> DataFrame:
     """Sum of the steps in recall times precision."""
-    keys = list(keys)
-    t = _before(_points(df, keys), keys, {"p": "tps", "n": "fps"}).withColumns({"tps": F.col("tps") + F.col("p"), "fps": F.col("fps") + F.col("n")})
+    t = curve if curve is not None else rising(df, keys)
     return t.groupBy(*keys).agg(div(F.sum(F.col("p") * F.col("tps") / (F.col("tps") + F.col("fps"))), F.sum("p")).alias("average_precision"))
 
 
 def precision_recall(df: DataFrame, keys: list[str] = ()) -> DataFrame:
     """(keys, threshold, precision, recall) at each score, and the end point of precision 1 and recall 0 with no threshold; recall is 1 without positives."""
     keys = list(keys)
-    t = _before(_points(df, keys), keys, {"p": "tps", "n": "fps"}).withColumns({"tps": F.col("tps") + F.col("p"), "fps": F.col("fps") + F.col("n")})
+    t = rising(df, keys)
     totals = t.groupBy(*keys).agg(F.max("tps").alias("all_p"))
     t = _with(t, totals, keys).select(*keys, F.col("score").alias("threshold"), div(F.col("tps"), F.col("tps") + F.col("fps")).alias("precision"), F.coalesce(div(F.col("tps"), F.col("all_p")), F.lit(1.0)).alias("recall"))
     return t.unionByName(totals.select(*keys, F.lit(None).cast("double").alias("threshold"), F.lit(1.0).alias("precision"), F.lit(0.0).alias("recall")))
@@ -105,8 +90,8 @@ def youden(points: DataFrame, keys: list[str] = (), tolerant: bool = False) -> D
     if not tolerant:
         best = p.groupBy(*keys).agg(F.max(F.struct("j", "threshold")).alias("m"), F.count_if(F.col("j").isNull()).alias("undefined"))
         return best.where("undefined = 0").select(*keys, F.col("m.threshold").alias("threshold"), F.col("m.j").alias("j"))
-    all_ = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    p = p.withColumns({"best": F.max("j").over(all_), "undefined": F.count_if(F.col("j").isNull()).over(all_)}).where("undefined = 0").where(F.abs(F.col("j") - F.col("best")) <= 1e-8 + 1e-5 * F.abs("best"))
+    tops = p.groupBy(*keys).agg(F.max("j").alias("best"), F.count_if(F.col("j").isNull()).alias("undefined"))
+    p = _with(p, tops, keys).where("undefined = 0").where(F.abs(F.col("j") - F.col("best")) <= 1e-8 + 1e-5 * F.abs("best"))
     return p.groupBy(*keys).agg(F.max("threshold").alias("t"), F.max("best").alias("j")).select(*keys, F.when(F.col("t") < float("inf"), F.col("t")).alias("threshold"), "j")
 
 

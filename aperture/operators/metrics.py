@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from aperture.functions.scalars import div
+from aperture.operators import ranges as R
 
 COUNTS = ["tp", "tn", "fp", "fn"]
 
@@ -62,16 +63,25 @@ def grouped_and_overall(df: DataFrame, group: str, aggs: list[Column], overall:
     return out.withColumn(group, F.when(F.col("__g") == 1, F.lit(overall)).otherwise(F.col(group))).drop("__g")
 
 
+def _beside(base: DataFrame, more: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """Both tables' columns by key; a key that `more` lacks has nulls. Without keys each is one row."""
+    if not keys:
+        return base.join(F.broadcast(more), F.lit(True), "left")
+    other = more.withColumnsRenamed({k: f"__{k}" for k in keys})
+    return base.join(other, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys], "left").drop(*[f"__{k}" for k in keys])
+
+
 def score_summary(df: DataFrame, col: str, *keys: str) -> DataFrame:
-    q = [0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99]
-    names = ["p01", "p05", "p25", "median", "p75", "p95", "p99"]
-    out = df.groupBy(*keys).agg(F.avg(col).alias("mean"), F.stddev_pop(col).alias("std"), F.min(col).alias("min"), F.max(col).alias("max"), F.percentile(col, F.array(*map(F.lit, q))).alias("q"))
-    return out.select(*keys, "mean", "std", "min", "max", *[F.col("q")[i].alias(n) for i, n in enumerate(names)])
+    """mean, std, min, max and exact quantiles of a column by key."""
+    shares = {"p01": 0.01, "p05": 0.05, "p25": 0.25, "median": 0.5, "p75": 0.75, "p95": 0.95, "p99": 0.99}
+    out = df.groupBy(*keys).agg(F.avg(col).alias("mean"), F.stddev_pop(col).alias("std"), F.min(col).alias("min"), F.max(col).alias("max"))
+    return _beside(out, R.quantiles(df, col, shares, list(keys)), keys)
 
 
 def rank_summary(df: DataFrame, rank: str, *keys: str) -> DataFrame:
     r = F.col(rank)
-    return df.groupBy(*keys).agg(F.percentile(rank, F.lit(0.5)).alias("median_rank"), F.avg(r.cast("double")).alias("mean_rank"), F.avg(1.0 / r).alias("mrr"), *[F.avg((r <= k).cast("double")).alias(f"recall_{k}") for k in (1, 5, 10)])
+    out = df.groupBy(*keys).agg(F.avg(r.cast("double")).alias("mean_rank"), F.avg(1.0 / r).alias("mrr"), *[F.avg((r <= k).cast("double")).alias(f"recall_{k}") for k in (1, 5, 10)])
+    return _beside(out, R.quantiles(df, rank, {"median_rank": 0.5}, list(keys)), keys).select(*keys, "median_rank", "mean_rank", "mrr", "recall_1", "recall_5", "recall_10")
 
 
 def histogram(df: DataFrame, col: str, bins: int) -> DataFrame:
@@ -84,7 +94,7 @@ def histogram(df: DataFrame, col: str, bins: int) -> DataFrame:
 
 
 def rank_cdf(df: DataFrame, rank: str) -> DataFrame:
-    """The share of rows up to each rank: counted by rank first, so the window holds distinct ranks only."""
-    t = df.groupBy(rank).agg(F.count("*").alias("n"))
-    w = Window.orderBy(rank).rowsBetween(Window.unboundedPreceding, 0)
-    return t.select(rank, (F.sum("n").over(w) / F.sum("n").over(Window.partitionBy(F.lit(0)))).alias("cdf"))
+    """The share of rows up to each rank: counted by rank first, then summed over ranges of ranks."""
+    t = R.before(R.dealt(df.groupBy(rank).agg(F.count("*").alias("n")), [], [rank]), [], [rank], {"lower": "n"})
+    total = t.agg(F.sum("n").alias("__all"))
+    return t.join(F.broadcast(total)).select(rank, ((F.col("lower") + F.col("n")) / F.col("__all")).alias("cdf"))

@@ -9,9 +9,12 @@ from __future__ import annotations
 import math
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
+from aperture.operators import ranges as R
 from aperture.operators.prefix import running_sum
 
 
@@ -21,9 +24,11 @@ def digest(c: Column) -> Column:
 
 
 def cluster_draws(df: DataFrame, cluster_col: str, reps: int, seed: str = "b") -> DataFrame:
-    """(rep, cluster, weight): n clusters drawn with replacement from the n sorted ones. The unit of resampling has no default."""
-    ids = df.select(F.col(cluster_col).cast("string").alias("cluster")).distinct()
-    ids = ids.withColumn("ix", F.row_number().over(Window.orderBy("cluster")) - 1)
+    """(rep, cluster, weight): n clusters drawn with replacement from the n sorted ones. The unit of resampling has no default.
+
+    Clusters are numbered over sampled ranges of their ids, so that rows can be the units too.
+    """
+    ids = R.numbered(df.select(F.col(cluster_col).cast("string").alias("cluster")).distinct(), [], ["cluster"], "ix")
     n = ids.count()
     spark = df.sparkSession
     draws = spark.range(reps * n).select(F.floor(F.col("id") / n).cast("int").alias("rep"), F.pmod(digest(F.concat(F.lit(seed), F.col("id").cast("string"))), F.lit(n)).alias("d"))
@@ -98,18 +103,19 @@ def stratified(df: DataFrame, id_col: str, strata: list[str], fraction: float, s
     order = Window.partitionBy(F.lit(0)).orderBy(F.desc(F.round(F.col("__share") - F.col("__k"), 9)), F.desc("__n"), "__s")
     more = F.ceil(F.col("__whole") * fraction - 1e-9) - F.sum("__k").over(all_)
     sizes = sizes.withColumn("__k", F.col("__k") + (F.row_number().over(order) <= more).cast("int")).select("__s", "__k")
-    r = F.row_number().over(Window.partitionBy("__t").orderBy(digest(F.concat(F.lit(seed), F.col(id_col).cast("string"))), id_col))
-    t = df.withColumn("__t", key).withColumn("__r", r).join(F.broadcast(sizes), F.col("__t") == F.col("__s"))
-    return t.withColumn("split", F.when(F.col("__r") <= F.col("__k"), "calibration").otherwise("holdout")).drop("__t", "__r", "__s", "__k")
+    t = df.withColumns({"__t": key, "__d": digest(F.concat(F.lit(seed), F.col(id_col).cast("string"))), "__one": F.lit(1)}).withColumn("__range", F.shiftright("__d", 50))
+    t = running_sum(t, ["__t"], "__range", [F.col("__d"), F.col(id_col)], "__one", "__r")  # digests are even, so are their 1,024 ranges, of a large stratum too
+    t = t.join(F.broadcast(sizes), F.col("__t") == F.col("__s"))
+    return t.withColumn("split", F.when(F.col("__r") < F.col("__k"), "calibration").otherwise("holdout")).drop("__t", "__d", "__one", "__range", "__r", "__s", "__k")
 
 
 def grouped_split(df: DataFrame, group: str, fraction: float, seed: str = "42") -> DataFrame:
     """(group, n, split): whole groups, in hash order, go to val until it has `fraction` of the rows."""
-    g = df.groupBy(group).agg(F.count("*").alias("n"))
-    w = Window.orderBy(digest(F.concat(F.lit(seed), F.col(group).cast("string"))), group)
-    before = F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    total = F.sum("n").over(Window.partitionBy(F.lit(0)))
-    return g.withColumn("split", F.when(before < fraction * total, "val").otherwise("train"))
+    g = df.groupBy(group).agg(F.count("*").alias("n")).withColumn("__d", digest(F.concat(F.lit(seed), F.col(group).cast("string"))))
+    order = ["__d", group]
+    t = R.before(R.dealt(g, [], order), [], order, {"__before": "n"})
+    t = t.join(F.broadcast(t.agg(F.sum("n").alias("__all"))))
+    return t.withColumn("split", F.when(F.col("__before") < fraction * F.col("__all"), "val").otherwise("train")).select(group, "n", "split")
 
 
 def flat_split(df: DataFrame, id_col: str, fraction: float, seed: str = "42") -> DataFrame:
@@ -134,33 +140,57 @@ def flat_split(df: DataFrame, id_col: str, fraction: float, seed: str = "42") ->
     return rest.unionByName(edge).drop("__d", "__p")
 
 
+def signed_ranks(df: DataFrame, a: str, b: str, keys: list[str] = ()) -> DataFrame:
+    """(keys, n, w, zeros, ties): pairs that differ, the smaller sum of signed mid-ranks of their absolute differences, pairs that do not differ, and the sum of t^3 - t over ties of t.
+
+    Pairs without a difference (a null on either side) are left out. Differences are counted by size and ranked over sampled ranges.
+    """
+    keys = list(keys)
+    d = df.select(*keys, (F.col(a) - F.col(b)).alias("d")).where("d is not null")
+    sizes = d.groupBy(*keys, F.abs("d").alias("m")).agg(F.count("*").alias("c"), F.count_if(F.col("d") > 0).alias("up"))
+    some = sizes.withColumns({"c": F.when(F.col("m") != 0, F.col("c")).otherwise(0), "same": F.when(F.col("m") == 0, F.col("c")).otherwise(0)})
+    t = R.before(R.dealt(some, keys, ["m"]), keys, ["m"], {"before": "c"}).withColumn("r", F.col("before") + (F.col("c") + 1) / 2.0)
+    up, down = F.sum(F.col("r") * F.col("up")), F.sum(F.col("r") * (F.col("c") - F.col("up")))
+    return t.groupBy(*keys).agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.least(up, down).alias("w"), F.coalesce(F.sum("same"), F.lit(0)).alias("zeros"), F.coalesce(F.sum(F.pow("c", 3) - F.col("c")), F.lit(0.0)).alias("ties"))
+
+
 def wilcoxon(df: DataFrame, a: str, b: str) -> DataFrame:
     """(n, w): pairs that differ, and the smaller sum of signed mid-ranks of their absolute differences."""
-    d = df.select((F.col(a) - F.col(b)).alias("d")).where("d <> 0")
-    t = d.groupBy(F.abs("d").alias("m")).agg(F.count("*").alias("c"), F.count_if(F.col("d") > 0).alias("up"))
-    before = F.coalesce(F.sum("c").over(Window.orderBy("m").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    t = t.withColumn("r", before + (F.col("c") + 1) / 2.0)
-    return t.agg(F.sum("c").alias("n"), F.least(F.sum(F.col("r") * F.col("up")), F.sum(F.col("r") * (F.col("c") - F.col("up")))).alias("w"))
-
-
-def wilcoxon_test(df: DataFrame, a: str, b: str) -> DataFrame:
-    """(n, w, p_value): exact up to 25 untied differences, else the normal approximation with correction for ties."""
-    t = df.select((F.col(a) - F.col(b)).alias("d")).where("d <> 0").groupBy(F.abs("d").alias("m")).agg(F.count("*").alias("c"))
-    ties = t.agg(F.coalesce(F.sum(F.pow("c", 3) - F.col("c")), F.lit(0.0)).alias("ties"), F.max("c").alias("most"))
-    r = wilcoxon(df, a, b).join(ties).first()
-    if not r.n:
-        return df.sparkSession.createDataFrame([(0, None, None)], "n long, w double, p_value double")
-    if r.n <= 25 and r.most == 1:
-        p = wilcoxon_p(r.n, r.w)
-    else:
-        var = r.n * (r.n + 1) * (2 * r.n + 1) / 24 - r.ties / 48
-        p = math.erfc(abs(r.w - r.n * (r.n + 1) / 4) / math.sqrt(2 * var))
-    return df.sparkSession.createDataFrame([(r.n, float(r.w), min(1.0, p))], "n long, w double, p_value double")
+    return signed_ranks(df, a, b).select("n", "w")
+
+
+#: Up to so many pairs the distribution of the statistic is counted exactly, if none is tied or without a difference.
+EXACT_PAIRS = 50
+
+
+def exact_p(n: Column, w: Column) -> Column:
+    """The two-sided p of n untied differences: how many of the 2^n sets of ranks have a sum up to w, by folding each rank into an array of counts by sum."""
+    empty = F.transform(F.sequence(F.lit(0), F.floor(w).cast("int")), lambda s: F.when(s == 0, 1.0).otherwise(0.0))
+    add = lambda ways, r: F.transform(ways, lambda x, s: x + F.when(s >= r, F.get(ways, s - r)).otherwise(0.0))
+    ways = F.aggregate(F.sequence(F.lit(1), n.cast("int")), empty, add)
+    return F.least(F.lit(1.0), 2 * F.aggregate(ways, F.lit(0.0), lambda a, x: a + x) / F.pow(F.lit(2.0), n))
+
+
+@F.pandas_udf(DoubleType())
+def _two_sided(z: pd.Series) -> pd.Series:
+    """p of a normal deviate: the complementary error function, which Spark has not; a row for each test."""
+    return z.map(lambda v: None if pd.isna(v) else math.erfc(abs(v) / math.sqrt(2)))
+
+
+def wilcoxon_test(df: DataFrame, a: str, b: str, *keys: str) -> DataFrame:
+    """(keys, n, w, p_value): two-sided signed-rank tests. Exact up to 50 pairs that all differ and are not tied, else the normal approximation with correction for ties; no p without a difference."""
+    t = signed_ranks(df, a, b, list(keys))
+    n = F.col("n").cast("double")
+    var = n * (n + 1) * (2 * n + 1) / 24 - F.col("ties") / 48
+    exact = (F.col("n") > 0) & (F.col("n") + F.col("zeros") <= EXACT_PAIRS) & (F.col("zeros") == 0) & (F.col("ties") == 0)
+    t = t.withColumn("z", F.when((F.col("n") > 0) & ~exact & (var > 0), (F.col("w") - n * (n + 1) / 4) / F.sqrt(var)))
+    p = F.when(exact, exact_p(F.col("n"), F.col("w"))).when(F.col("n") > 0, F.least(F.lit(1.0), _two_sided(F.col("z"))))
+    return t.select(*keys, "n", F.when(F.col("n") > 0, F.col("w")).alias("w"), p.alias("p_value"))
 
 
 def wilcoxon_p(n: int, w: float) -> float:
-    """The exact two-sided p of n untied differences, by counting subsets of ranks."""
-    ways = [1]
+    """exact_p of plain numbers."""
+    ways = [1.0] + [0.0] * int(w)
     for r in range(1, n + 1):
-        ways = [(ways[s] if s < len(ways) else 0) + (ways[s - r] if 0 <= s - r < len(ways) else 0) for s in range(len(ways) + r)]
-    return min(1.0, 2 * sum(ways[: int(w) + 1]) / 2**n)
+        ways = [x + (ways[s - r] if s >= r else 0.0) for s, x in enumerate(ways)]
+    return min(1.0, 2 * sum(ways) / 2**n)

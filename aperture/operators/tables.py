@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from aperture.functions import text as T
 from aperture.functions import vectors as V
+from aperture.operators import ranges as R
 
 
 def require(df: DataFrame, *columns: str) -> DataFrame:
@@ -46,9 +47,20 @@ def with_split(df: DataFrame, splits: DataFrame, key: str = "patient_id") -> Dat
     return out.withColumn("split", F.when(F.col("split").isNull(), F.raise_error(F.lit("a patient has no split"))).otherwise(F.col("split")))
 
 
-def same_group(queries: DataFrame, candidates: DataFrame) -> DataFrame:
-    """(query_id, cand_id) of the candidates (cand_id, grp) in the group of each query (query_id, grp)."""
-    return queries.select("query_id", "grp").join(candidates.select("cand_id", "grp"), "grp").select("query_id", "cand_id")
+def same_group(queries: DataFrame, candidates: DataFrame, most: int = 100_000) -> DataFrame:
+    """(query_id, cand_id) of the candidates (cand_id, grp) in the group of each query (query_id, grp): all pairs of a group, as is asked.
+
+    A group of more than `most` candidates fails the query; how many there are is told by same_group_counts without making pairs.
+    """
+    sizes = candidates.groupBy(F.col("grp").alias("__g")).agg(F.when(F.count("*") > most, F.raise_error(F.lit("a group has too many candidates to pair"))).otherwise(F.lit(1)).alias("__fits"))
+    q = queries.select("query_id", "grp").join(sizes, F.col("grp") == F.col("__g")).where("__fits = 1")
+    return q.join(candidates.select("cand_id", "grp"), "grp").select("query_id", "cand_id")
+
+
+def same_group_counts(queries: DataFrame, candidates: DataFrame) -> DataFrame:
+    """(query_id, n): how many candidates are in the group of each query, none too; a row for each query, a count for each group."""
+    n = candidates.groupBy(F.col("grp").alias("__g")).agg(F.count("*").alias("n"))
+    return queries.select("query_id", "grp").join(n, F.col("grp") == F.col("__g"), "left").select("query_id", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def encoded_once(df: DataFrame, key: str, encode) -> DataFrame:
@@ -97,9 +109,11 @@ def members(df: DataFrame, key: str, order: str, *fields: str) -> DataFrame:
 
 def batched(df: DataFrame, key: str, order: str, size: int, whole_only: bool = False) -> DataFrame:
     """`batch` numbers the rows of each key in runs of `size`; whole_only leaves out a last short one, as in training."""
-    w = Window.partitionBy(key)
-    t = df.withColumn("batch", F.floor((F.row_number().over(w.orderBy(order)) - 1) / size))
-    return t.withColumn("__n", F.count("*").over(w)).where((F.col("batch") + 1) * size <= F.col("__n")).drop("__n") if whole_only else t
+    t = R.numbered(df, [key], [order], "__at").withColumn("batch", F.floor(F.col("__at") / size)).drop("__at")
+    if not whole_only:
+        return t
+    sizes = df.groupBy(F.col(key).alias("__k")).agg(F.count("*").alias("__n"))
+    return t.join(sizes, F.col(key).eqNullSafe(F.col("__k"))).where((F.col("batch") + 1) * size <= F.col("__n")).drop("__n", "__k")
 
 
 # ------------------------------------------------------------------ tiles
@@ -139,7 +153,7 @@ def one_to_one(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def top_mean(df: DataFrame, keys: list[str], score: str, k: int = 5) -> DataFrame:
-    """Max, mean, mean of the k largest, and number of scores by key. The k largest are kept while rows are combined, so no group is sorted."""
+    """Max, mean, mean of the k largest, and number of scores by key. Each task passes on its k largest of a key, so that few rows of a key meet."""
     w = Window.partitionBy(*keys).orderBy(F.desc(score), "tile_ix")
     best = df.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).groupBy(*keys).agg(F.avg(score).alias("top_mean"))
     return df.groupBy(*keys).agg(F.max(score).alias("max_score"), F.avg(score).alias("mean_score"), F.count("*").alias("n_tiles")).join(best, keys)
@@ -149,7 +163,7 @@ def pool_groups(df: DataFrame, key: str, vector: str) -> DataFrame:
     """One unit vector a group: rows are made unit, averaged, made unit; ids follow first appearance, attributes are the first row's."""
     t = df.select(F.when(F.coalesce(T.blank_to_null(F.col(key).cast("string")), F.lit("")) == "", F.raise_error(F.lit("a group has no key"))).otherwise(F.col(key).cast("string")).alias("k"), "pair_index", "caption", V.unit(F.col(vector)).alias("v"))
     first = t.groupBy("k").agg(F.min("pair_index").alias("first"), F.min_by("caption", "pair_index").alias("caption"), F.count("*").alias("n_patches"))
-    first = first.withColumn("new_id", F.row_number().over(Window.orderBy("first")) - 1)
+    first = R.numbered(first, [], ["first", "k"], "new_id")
     return first.join(V.mean_by(t, ["k"], "v", "m"), "k").select("new_id", F.col("k").alias("group_key"), "caption", "n_patches", V.unit(F.col("m")).alias("vec"))
 
 
@@ -169,6 +183,11 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     return old.join(gone, on, "left_anti").unionByName(new, allowMissingColumns=True)
 
 
+def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+    """Reports round: all double columns to so many digits, others as they are."""
+    return df.select(*[F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
 def label_of(value: Column, labels: dict) -> Column:
     """The label of a value; one that the map lacks has none. Texts are matched as they are written."""
     return F.try_element_at(F.create_map(*[F.lit(x) for k, v in labels.items() for x in (str(k), v)]), value.cast("string"))

@@ -32,8 +32,7 @@ def query(sql: str | None = None):
     return put
 
 
-def rounded(df, digits: int = 6):
-    return df.select(*[F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+rounded = J.rounded
 
 
 # ------------------------------------------------------------------ common parts of the SQL
@@ -131,10 +130,12 @@ def macro_ovr_auroc(spark, d):
     return rounded(K.macro_ovr_auroc(p, 10))
 
 
-@query("SELECT range AS c, CASE WHEN range >= 2 THEN round(1.0::DOUBLE / range, 6) END AS chance, CASE WHEN range >= 2 THEN round((0.8::DOUBLE - 1.0::DOUBLE / range) / (1 - 1.0::DOUBLE / range), 6) END AS corrected FROM range(2, 10)")
+@query("""WITH g AS (SELECT source, 1 + count(DISTINCT lang) AS c, avg((n_chars > 2000)::INT) AS x FROM documents GROUP BY source)
+SELECT source, c, round(1.0::DOUBLE / c, 6) AS chance, round((x - 1.0::DOUBLE / c) / (1 - 1.0::DOUBLE / c), 6) AS corrected FROM g""")
 def chance_correction(spark, d):
-    c = F.col("id")
-    return rounded(spark.range(2, 10).select(c.alias("c"), S.chance_level(c).alias("chance"), S.chance_corrected(F.lit(0.8), c).alias("corrected")))
+    """The share of long documents of each source, corrected for a chance of one in its number of languages and one more."""
+    t = I.read(spark, d, "documents").groupBy("source").agg((1 + F.count_distinct("lang")).alias("c"), F.avg((F.col("n_chars") > 2000).cast("int")).alias("x"))
+    return rounded(t.select("source", "c", S.chance_level(F.col("c")).alias("chance"), S.chance_corrected(F.col("x"), F.col("c")).alias("corrected")))
 
 
 @query("SELECT c_custkey AS k, round(coalesce(CASE WHEN c_custkey % 3 = 0 THEN c_acctbal END, nullif(CASE WHEN c_custkey % 3 = 1 THEN c_nationkey::DOUBLE END, 0), 1 / 0.07::DOUBLE), 6) AS scale FROM customer")
@@ -327,9 +328,9 @@ def patient_join(spark, d):
     return J.join_patients(slides, known, "ext").select("k", "patient_id", "missed")
 
 
-@query("WITH b AS (SELECT l_orderkey, round(sum(l_extendedprice * l_discount), 4) AS s FROM lineitem GROUP BY 1) SELECT o_orderkey AS k, o_totalprice AS a, s AS b FROM orders JOIN b ON o_orderkey = l_orderkey WHERE o_orderstatus <> 'P'")
+@query("WITH b AS (SELECT l_orderkey, round(sum(l_extendedprice * l_discount), 4) AS s FROM lineitem GROUP BY 1) SELECT o_orderkey AS k, o_totalprice AS a, s AS b FROM orders JOIN b ON o_orderkey = l_orderkey")
 def one_to_one_join(spark, d):
-    a = I.read(spark, d, "orders").where("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("k"), F.col("o_totalprice").alias("a"))
+    a = I.read(spark, d, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_totalprice").alias("a"))
     b = I.read(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(F.round(F.sum(F.col("l_extendedprice") * F.col("l_discount")), 4).alias("b"))
     return J.one_to_one(a, b, ["k"])
 
@@ -376,9 +377,12 @@ def tissue_filter(spark, d):
     return rounded(J.tissue(e, "slide", "value", "value", band=(30, 220)))
 
 
-@query("SELECT step, round(CASE WHEN step < 100 THEN 0.001::DOUBLE * (step + 1) / 100 ELSE 0.00001::DOUBLE + (0.001::DOUBLE - 0.00001::DOUBLE) * 0.5::DOUBLE * (1 + cos(pi() * (step - 100) / 900.0::DOUBLE)) END, 9) AS lr FROM (SELECT range AS step FROM range(1000))")
+@query("""WITH n AS (SELECT count(*) AS n FROM events) SELECT event_id AS step, round(CASE WHEN event_id < 100 THEN 0.001::DOUBLE * (event_id + 1) / 100
+ELSE 0.00001::DOUBLE + (0.001::DOUBLE - 0.00001::DOUBLE) * 0.5::DOUBLE * (1 + cos(pi() * (event_id - 100) / greatest(n - 100, 1)::DOUBLE)) END, 9) AS lr FROM events, n""")
 def lr_schedule(spark, d):
-    return spark.range(1000).select(F.col("id").alias("step"), F.round(S.warmup_cosine(F.col("id"), 1000, 100, 0.001, 0.00001), 9).alias("lr"))
+    """The rate at each event, one being a step of a run over all of them."""
+    e = I.read(spark, d, "events").select(F.col("event_id").alias("step"))
+    return e.select("step", F.round(S.warmup_cosine(F.col("step"), e.count(), 100, 0.001, 0.00001), 9).alias("lr"))
 
 
 @query("SELECT event_id, floor((row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1) / 8)::BIGINT AS batch FROM events")
@@ -404,7 +408,7 @@ def prompt_banks(spark, d):
 
 @query("""WITH q AS (SELECT conv_id, turn, text AS q, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS a, role, lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS r2 FROM conversations),
 p AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS ix FROM q WHERE role = 'user' AND r2 = 'assistant')
-SELECT conv_id, ix::INT AS ix, md5('Question: ' || trim(q) || ' Answer: ' || trim(a)) AS digest FROM p WHERE ix <= 5 AND trim(q) <> '' AND trim(a) <> ''""")
+SELECT conv_id, ix::INT AS ix, md5('Question: ' || trim(q) || ' Answer: ' || trim(a)) AS digest FROM p WHERE trim(q) <> '' AND trim(a) <> ''""")
 def qa_pairs(spark, d):
     return _qa(spark, d).select("conv_id", "ix", F.md5("text").alias("digest"))
 
@@ -414,14 +418,15 @@ def _qa(spark, d):
 
     w = Window.partitionBy("conv_id").orderBy("turn")
     t = I.read(spark, d, "conversations").withColumns({"a": F.lead("text").over(w), "r2": F.lead("role").over(w)}).where("role = 'user' and r2 = 'assistant'")
-    t = t.withColumn("ix", F.row_number().over(w)).where("ix <= 5")
+    t = t.withColumn("at", F.row_number().over(w) - 1).withColumns({"row": F.floor(F.col("at") / 5), "ix": F.col("at") % 5 + 1})  # rows of five pairs
     cols = [F.max(F.when(F.col("ix") == i, F.col(c))).alias(f"{n}_{i}") for i in range(1, 6) for n, c in (("Question", "text"), ("Answer", "a"))]
-    return L.qa_pairs(t.groupBy("conv_id").agg(*cols), ["conv_id"])
+    pairs = L.qa_pairs(t.groupBy("conv_id", "row").agg(*cols), ["conv_id", "row"])
+    return pairs.select("conv_id", (F.col("row") * 5 + F.col("ix")).cast("int").alias("ix"), "text")
 
 
 @query("""WITH q AS (SELECT conv_id, turn, text AS q, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS a, role, lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS r2 FROM conversations),
 p AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS ix FROM q WHERE role = 'user' AND r2 = 'assistant')
-SELECT conv_id, count(*) AS n_texts, md5(string_agg('Question: ' || trim(q) || ' Answer: ' || trim(a), ' || ' ORDER BY ix)) AS digest FROM p WHERE ix <= 5 GROUP BY conv_id""")
+SELECT conv_id, count(*) AS n_texts, md5(string_agg('Question: ' || trim(q) || ' Answer: ' || trim(a), ' || ' ORDER BY ix)) AS digest FROM p WHERE trim(q) <> '' AND trim(a) <> '' GROUP BY conv_id""")
 def qa_pooled(spark, d):
     t = L.pooled_texts(_qa(spark, d), "conv_id")
     return t.select("conv_id", F.size("texts").cast("bigint").alias("n_texts"), F.md5(F.array_join("texts", " || ")).alias("digest"))
@@ -540,7 +545,7 @@ bl AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY rep ORDER BY score ROWS BETW
 def _weighted(spark, d, reps=200):
     t = I.doc_scores(spark, d)
     w = B.cluster_draws(t, "source", reps)
-    return t.join(F.broadcast(w), t.source == w.cluster)
+    return t.join(w, t.source == w.cluster)
 
 
 @query(f"WITH {DOCS}, {REPS} SELECT round(quantile_cont(auroc, 0.025), 6) AS lo, round(quantile_cont(auroc, 0.975), 6) AS hi, count(auroc) AS n_valid FROM st")
@@ -602,6 +607,18 @@ def wilcoxon(spark, d):
     return rounded(B.wilcoxon(c.join(nxt, "c_custkey"), "c_acctbal", "b"), 3)
 
 
+@query("""WITH RECURSIVE x AS (SELECT p_brand AS brand, p_size, avg(l_extendedprice) FILTER (l_orderkey % 2 = 0) - avg(l_extendedprice) FILTER (l_orderkey % 2 = 1) AS d FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL),
+r AS (SELECT brand, d, rank() OVER (PARTITION BY brand ORDER BY abs(d)) AS r FROM x WHERE d <> 0), s AS (SELECT brand, count(*) AS n, least(sum(r) FILTER (d > 0), sum(r) FILTER (d < 0))::DOUBLE AS w FROM r GROUP BY brand),
+ways(r, v) AS (SELECT 0, list_transform(range(1276), lambda s: (s = 0)::INT::DOUBLE) UNION ALL SELECT r + 1, list_transform(range(1276), lambda s: v[s + 1] + CASE WHEN s > r THEN v[s - r] ELSE 0 END) FROM ways WHERE r < 50)
+SELECT brand, n, w, round(least(1, 2 * list_sum(v[1:w::INT + 1]) / pow(2, n)), 6) AS p_value FROM s JOIN ways ON ways.r = n""")
+def wilcoxon_exact(spark, d):
+    """For each brand: mean prices in even against odd orders, paired by size; a brand has 50 sizes at most, so its test is exact."""
+    part = I.read(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("brand"), "p_size")
+    price = lambda k: F.avg(F.when(F.col("l_orderkey") % 2 == k, F.col("l_extendedprice")))
+    t = I.read(spark, d, "lineitem").join(part, "l_partkey").groupBy("brand", "p_size").agg(price(0).alias("a"), price(1).alias("b"))
+    return rounded(B.wilcoxon_test(t, "a", "b", "brand"))
+
+
 # ------------------------------------------------------------------ sets and upserts
 
 
@@ -621,15 +638,15 @@ def tagged_union(spark, d):
     return part(o.where(one), "holdout").unionByName(part(o.where(~one), "external"))
 
 
-@query("SELECT s_nationkey AS key FROM supplier INTERSECT SELECT c_nationkey FROM customer WHERE c_nationkey % 2 = 0")
+@query("SELECT s_nationkey AS key FROM supplier INTERSECT SELECT c_nationkey FROM customer")
 def model_intersection(spark, d):
     a = I.read(spark, d, "supplier").select(F.col("s_nationkey").alias("key"))
-    return a.intersect(I.read(spark, d, "customer").where("c_nationkey % 2 = 0").select(F.col("c_nationkey").alias("key")))
+    return a.intersect(I.read(spark, d, "customer").select(F.col("c_nationkey").alias("key")))
 
 
-@query("SELECT o_orderkey AS k FROM orders WHERE o_custkey % 3 = 0 EXCEPT SELECT l_orderkey FROM lineitem WHERE l_quantity > 45")
+@query("SELECT o_orderkey AS k FROM orders EXCEPT SELECT l_orderkey FROM lineitem WHERE l_quantity > 45")
 def resume_skip(spark, d):
-    work = I.read(spark, d, "orders").where("o_custkey % 3 = 0").select(F.col("o_orderkey").alias("k"))
+    work = I.read(spark, d, "orders").select(F.col("o_orderkey").alias("k"))
     return work.join(I.read(spark, d, "lineitem").where("l_quantity > 45").select(F.col("l_orderkey").alias("k")), "k", "left_anti")
 
 

@@ -8,6 +8,8 @@ from aperture.operators import bundles as U
 from aperture.operators import callables as A
 from aperture.operators import curves as K
 from aperture.operators import metrics as M
+from aperture.operators import ranges as G
+from aperture.operators import probe as L_probe
 from aperture.operators import prompts as W
 from aperture.operators import resample as B
 from aperture.operators import retrieval as R
@@ -249,9 +251,13 @@ def _pairs(spark):
     return W.prompt_pairs(W.vocabulary(spark, "melanoma_agnostic"), W.short_templates(spark))
 
 
-@query(f"WITH {WORDS}, {SHORT} SELECT (o2 * 6 + o)::BIGINT AS pair, key AS template_key, variant, replace(t, '{{}}', neg) AS negative, replace(t, '{{}}', pos) AS positive FROM wd, st")
+@query(f"""WITH {SHORT}, w AS (SELECT *, row_number() OVER (ORDER BY p_name, p_type) - 1 AS o2 FROM (SELECT DISTINCT p_name, p_type FROM part))
+SELECT (o2 * 6 + o)::BIGINT AS pair, key AS template_key, p_name AS variant, replace(t, '{{}}', p_type) AS negative, replace(t, '{{}}', p_name) AS positive FROM w, st""")
 def slide_prompt_pairs(spark, d):
-    return _pairs(spark)
+    """A pair of prompts for each template and each pair of words that the table has: a part's type against its name."""
+    words = I.read(spark, d, "part").select("p_name", "p_type").distinct()
+    words = G.numbered(words, [], ["p_name", "p_type"], "v_ord").select("v_ord", F.col("p_name").alias("variant"), F.col("p_type").alias("negative"), F.col("p_name").alias("positive"))
+    return W.prompt_pairs(words, W.short_templates(spark))
 
 
 def _matrix(spark, d):
@@ -383,3 +389,31 @@ def custom_statistic_intervals(spark, d):
     final = lambda s: {"brier": s[0] / s[2], "bias": s[1] / s[2]} if s[2] else {}
     t = A.bootstrap_sums(I.doc_scores(spark, d), "source", 100, parts, final, ["brier", "bias"], ["lang"], ["score", "gt"])
     return rounded(B.intervals(t, ["brier", "bias"], "lang", require="brier"))
+
+
+@query("SELECT o_orderkey AS query_id, count(c.c_custkey) AS n FROM orders LEFT JOIN customer c ON c_nationkey = o_custkey % 30 GROUP BY 1")
+def same_group_counts(spark, d):
+    o, c = I.read(spark, d, "orders"), I.read(spark, d, "customer")
+    return J.same_group_counts(o.select(F.col("o_orderkey").alias("query_id"), (F.col("o_custkey") % 30).alias("grp")), c.select(F.col("c_custkey").alias("cand_id"), F.col("c_nationkey").alias("grp")))
+
+
+# ------------------------------------------------------------------ linear probes
+
+
+def _probed(spark, d):
+    e = I.read(spark, d, "embeddings")
+    return e.select(F.col("vec_id").alias("id"), F.floor(F.col("vec_id") / 3).alias("grp"), "label", F.col("embedding").alias("whole"), F.slice("embedding", 1, 8).alias("part"))
+
+
+@query("""WITH g AS (SELECT vec_id // 3 AS u, label, count(*) AS n FROM embeddings GROUP BY ALL), m AS (SELECT u, arg_max(label, (n, -label)) AS y FROM g GROUP BY u),
+r AS (SELECT u, y, row_number() OVER (PARTITION BY y ORDER BY ('0x' || substr(md5('0' || u), 1, 15))::BIGINT, u) - 1 AS ix FROM m)
+SELECT vec_id AS id, label, ((ix + ('0x' || substr(md5('y' || y), 1, 15))::BIGINT % 5) % 5)::INT AS fold FROM embeddings JOIN r ON u = vec_id // 3""")
+def probe_folds(spark, d):
+    """Groups of three vectors in five stratified folds."""
+    return L_probe.folds(_probed(spark, d), "label", 5, "grp")[0].select("id", "label", "fold")
+
+
+@query()
+def paired_probe(spark, d):
+    """Balanced accuracy of whole vectors against their first eight components, in each of five folds; held against a NumPy solution by a test."""
+    return L_probe.paired_probe(_probed(spark, d), "label", "whole", "part", 5, "grp")

@@ -112,9 +112,26 @@ def csv_partition(spark: SparkSession, path: str, split: str, labels: dict[str,
     return df.withColumn("label", F.try_element_at(by, F.col(label_col)))
 
 
-def prediction_records(spark: SparkSession, paths: list[str], numbers=("max_prob", "avg_prob"), wholes=("gt", "pred", "n_tiles")) -> DataFrame:
-    """Prediction CSVs as one table; whole numbers may be written as 1.0."""
-    df = spark.read.csv(paths, header=True)
+def by_header(spark: SparkSession, paths: list[str], path_column: str | None = None) -> DataFrame:
+    """Many CSV files as one table of texts, each by its own header: columns are met by name, and one that a file lacks is null.
+
+    Spark reads files together by place, under the first one's header. So headers are read first, a line of each file, in tasks, and files of
+    the same header are read together. A folder stands for its files; an empty file has no rows.
+    """
+    lines = spark.read.text(paths).select(F.col("_metadata.file_path").alias("file"), "value", F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("n"))
+    heads = lines.where("at = 0").groupBy("file").agg(F.min_by("value", "n").alias("head"))  # the first line of the file's first split
+    groups = heads.groupBy("head").agg(F.sort_array(F.collect_list("file")).alias("files")).orderBy("head").collect()  # paths alone
+    found = None
+    for g in groups:
+        df = spark.read.csv(g.files, header=True, enforceSchema=False)
+        df = df.withColumn(path_column, F.input_file_name()) if path_column else df
+        found = df if found is None else found.unionByName(df, allowMissingColumns=True)
+    return found if found is not None else spark.createDataFrame([], f"{path_column} string" if path_column else "_none string")
+
+
+def prediction_records(spark: SparkSession, paths: list[str], numbers=("max_prob", "avg_prob"), wholes=("gt", "pred", "n_tiles"), path_column: str | None = None) -> DataFrame:
+    """Prediction CSVs as one table, each file by its own header; whole numbers may be written as 1.0."""
+    df = by_header(spark, paths, path_column)
     return df.withColumns({c: safe_double(F.col(c)) for c in numbers if c in df.columns} | {c: safe_double(F.col(c)).cast("int") for c in wholes if c in df.columns})
 
 
@@ -341,9 +358,9 @@ def models_of_all(tables: DataFrame, wanted: list[str]) -> DataFrame:
 
 def read_scores(spark: SparkSession, tables: DataFrame) -> DataFrame:
     """The rows of many score files with the table and model in their names."""
-    df = prediction_records(spark, [r.path for r in tables.select("path").collect()])
-    name = F.element_at(F.split(F.input_file_name(), "/"), -1)
-    return df.withColumns({"table": F.substring_index(name, "__", 1), "model": F.regexp_extract(name, r"__(.*)\.csv$", 1)})
+    df = prediction_records(spark, [r.path for r in tables.select("path").collect()], path_column="__path")
+    name = F.element_at(F.split("__path", "/"), -1)
+    return df.withColumns({"table": F.substring_index(name, "__", 1), "model": F.regexp_extract(name, r"__(.*)\.csv$", 1)}).drop("__path")
 
 
 def config(spark: SparkSession, path: str, **changes) -> dict:

@@ -100,3 +100,73 @@ def test_lookups_and_files(spark):
         L.existing_only(t, "path", listing, skip=False).collect()
     parts = [L.shards(t, "path", 3, i).count() for i in range(3)]
     assert sum(parts) == 4
+
+
+def test_csv_files_are_met_by_name(spark, tmp_path):
+    """Files whose columns differ in order and number: each by its own header."""
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "t__one.csv").write_text("slide,gt,pred,max_prob,avg_prob\ns1,1,0.0,0.9,0.5\ns2,0,,x,0.1\n")
+    (tmp_path / "a" / "t__two.csv").write_text("gt,slide,avg_prob,max_prob\n0,s3,0.25,0.75\n1.0,s4,,0.5\n")
+    (tmp_path / "a" / "u__two.csv").write_text("gt,slide,avg_prob,max_prob\n1,s5,0.5,0.5\n")
+    (tmp_path / "a" / "v__empty.csv").write_text("")
+    paths = sorted(str(p) for p in (tmp_path / "a").iterdir())
+    got = sorted(tuple(r) for r in L.prediction_records(spark, paths).select("slide", "gt", "pred", "max_prob", "avg_prob").collect())
+    assert got == [("s1", 1, 0, 0.9, 0.5), ("s2", 0, None, None, 0.1), ("s3", 0, None, 0.75, 0.25), ("s4", 1, None, 0.5, None), ("s5", 1, None, 0.5, 0.5)]
+    scores = L.read_scores(spark, L.score_tables(spark, f"{tmp_path}/a"))
+    assert sorted((r.table, r.model, r.slide) for r in scores.collect()) == [("t", "one", "s1"), ("t", "one", "s2"), ("t", "two", "s3"), ("t", "two", "s4"), ("u", "two", "s5")]
+    assert L.by_header(spark, [f"{tmp_path}/a/v__empty.csv"]).count() == 0
+
+
+def test_csv_partition(spark, tmp_path):
+    (tmp_path / "m.csv").write_text("id,split,class\n1,train,tumor\n2,test,normal\n3,test,other\n")
+    one = lambda split: sorted((r.id, r.label) for r in L.csv_partition(spark, f"{tmp_path}/m.csv", split, {"normal": 0, "tumor": 1}, "split", "class").collect())
+    assert one("test") == [("2", 0), ("3", None)] and len(one("all")) == 3
+
+
+def test_files_by_parent_or_prefix_and_code(spark, tmp_path):
+    for name in ("set/Invasive Tumor/x.png", "set/other/n12.tif", "set/other/zz.png", "set/other/b1.txt", "codes/train/ADI-1.tif", "codes/train/TUM-2.tif", "codes/test/LYM-9.tif", "codes/test/XXX-1.tif"):
+        p = tmp_path / name
+        p.parent.mkdir(parents=True, exist_ok=True)
+        p.write_bytes(b"x")
+    got = L.files_by_parent_or_prefix(spark, [f"{tmp_path}/missing", f"{tmp_path}/set"], {"invasive_tumor": 3}, [("n", 0), ("b", 1)])
+    assert sorted((r.id.rsplit("/", 1)[1], r.label) for r in got.collect()) == [("n12.tif", 0), ("x.png", 3)]
+    codes = lambda split: sorted((r.id.rsplit("/", 1)[1], r.label) for r in L.prefix_code_files(spark, f"{tmp_path}/codes", split).collect())
+    assert codes("train") == [("ADI-1.tif", 0), ("TUM-2.tif", 8)] and codes("all") == [("ADI-1.tif", 0), ("LYM-9.tif", 3), ("TUM-2.tif", 8)]
+
+
+def test_small_operators(spark, tmp_path):
+    """Merged shards, offsets, required columns, strata that are too small."""
+    from aperture.functions import scalars as S
+    from aperture.operators import resample as B
+    from aperture.operators import tables as J
+    from aperture.sources import sinks as W
+
+    df = spark.createDataFrame([("1", "a"), (" ", "a"), (None, "b"), ("x", "a")], "o string, g string")
+    assert [r[0] for r in df.select(S.offset_or_zero(F.col("o"))).collect()] == [1, 0, 0, 0]
+    for k in range(2):
+        df.where(F.col("g") == "ab"[k]).coalesce(1).write.mode("append").option("header", True).csv(f"{tmp_path}/shards")
+    assert W.merge_shards(spark, f"{tmp_path}/shards").count() == 4
+    assert J.require(df, "o", "g") is df
+    with pytest.raises(ValueError, match="missing: z"):
+        J.require(df, "o", "z")
+    p = spark.createDataFrame([(k, "a" if k else "b") for k in range(4)], "k long, s string")
+    for small in (lambda: J.strata(p, "s", least=2).collect(), lambda: B.stratified(p, "k", ["s"], 0.5, least=2).collect()):
+        with pytest.raises(Exception, match="too small"):
+            small()
+    pairs = J.same_group_counts(p.select(F.col("k").alias("query_id"), F.col("s").alias("grp")), p.where("s = 'a'").select(F.col("k").alias("cand_id"), F.col("s").alias("grp")))
+    assert sorted(map(tuple, pairs.collect())) == [(0, 0), (1, 3), (2, 3), (3, 3)]
+    with pytest.raises(Exception, match="too many"):
+        J.same_group(p.select(F.col("k").alias("query_id"), F.col("s").alias("grp")), p.select(F.col("k").alias("cand_id"), F.col("s").alias("grp")), most=2).collect()
+
+
+def test_binary_bundle_without_keys(spark):
+    """Undefined is null, not zero: other labels, another number of classes, one class, no rows."""
+    from aperture.operators import bundles as U
+
+    t = spark.createDataFrame([(0, 0.2), (1, 0.7), (1, 0.4), (0, 0.6)], "gt int, score double")
+    fine = U.binary_thresholds(t, 2).first()
+    assert fine.binary_0p5_tp == 1 and fine.binary_0p5_f1 == 0.5 and fine.binary_auroc == 0.75
+    for r in (U.binary_thresholds(t, 3).collect(), U.binary_thresholds(t.withColumn("gt", F.col("gt") + 1), 2).collect(), U.binary_thresholds(t.limit(0), 2).collect()):
+        assert len(r) == 1 and r[0].binary_0p5_threshold == 0.5 and all(v is None for k, v in r[0].asDict().items() if k != "binary_0p5_threshold")
+    one = U.binary_thresholds(t.where("gt = 1"), 2).first()
+    assert one.binary_0p5_tp == 1 and one.binary_0p5_fn == 1 and one.binary_0p5_f1 == 2 / 3 and one.binary_auroc is None and one.binary_youden_tp is None

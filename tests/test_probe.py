@@ -54,3 +54,50 @@ def test_late_events_are_counted_within_the_watermark(spark, tmp_path):
     q.awaitTermination()
     got = {(r.window.start.hour, r.k): r.n for r in spark.table("late").collect()}
     assert got[10, "a"] == 3 and got[10, "b"] == 1  # 10:10 came in time, 10:20 after the watermark had passed
+
+
+def newton(x, y, classes, c=1.0):
+    """The same objective by Newton's steps: all second derivatives, in NumPy."""
+    import numpy as np
+
+    x = np.concatenate([x, np.ones((len(x), 1))], 1)
+    d, own = x.shape[1], np.eye(classes)[y]
+    ridge = np.tile(np.append(np.ones(d - 1), 0.0), classes) / c
+    w = np.zeros(classes * d)
+    for _ in range(60):
+        z = x @ w.reshape(classes, d).T
+        p = np.exp(z - z.max(1, keepdims=True))
+        p /= p.sum(1, keepdims=True)
+        g = ((p - own).T @ x).ravel() + ridge * w
+        h = np.diag(ridge + 1e-9)
+        for a in range(classes):
+            for b in range(classes):
+                weight = p[:, a] * ((a == b) - p[:, b])
+                h[a * d : (a + 1) * d, b * d : (b + 1) * d] += (x * weight[:, None]).T @ x
+        w -= np.linalg.solve(h, g)
+        if np.linalg.norm(g) < 1e-9:
+            break
+    return w.reshape(classes, d)
+
+
+def test_probe_equals_a_newton_solution(spark):
+    import numpy as np
+
+    rng = random.Random(3)
+    rows = [(i, i % 4, f"g{i // 2}", [rng.gauss(0, 1) + (1.2 if k == i % 4 else 0.0) for k in range(6)], [rng.gauss(0, 1) + (0.4 if k == i % 4 else 0.0) for k in range(4)]) for i in range(160)]
+    df = spark.createDataFrame(rows, "id long, label int, grp string, a array<double>, b array<double>").repartition(5)
+    dealt, k, _ = P.folds(df, "label", 4, "grp")
+    fold = {r.id: r.fold for r in dealt.select("id", "fold").collect()}
+    got = {(r.fold, r.vectors): r.balanced_accuracy for r in P.probe(dealt, k, "label", ["a", "b"]).collect()}
+    y = np.array([r[1] for r in rows])
+    f = np.array([fold[r[0]] for r in rows])
+    assert len(got) == 8
+    for name, at in (("a", 3), ("b", 4)):
+        x = np.array([r[at] for r in rows])
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        for one in range(k):
+            w = newton(x[f != one], y[f != one], 4)
+            z = np.concatenate([x[f == one], np.ones(((f == one).sum(), 1))], 1) @ w.T
+            hit = z.argmax(1) == y[f == one]
+            want = np.mean([hit[y[f == one] == c].mean() for c in set(y[f == one])])
+            assert abs(got[one, name] - want) < 1e-9
