@@ -56,3 +56,14 @@ def test_quality_by_row(spark):
     assert kept == set(good[:4])
     got = Counter(map(tuple, corpus_pipeline.quality_rules(spark, docs, "").collect()))
     assert got == Counter(r for r in rows if r[1] in kept)
+
+
+def test_rows_that_differ_in_microseconds_or_nulls(spark):
+    """Columns keep all they hold in the comparison of whole rows."""
+    import datetime
+
+    at = lambda us: datetime.datetime(2024, 1, 1, 0, 0, 0, us)
+    rows = [(1, "", at(1), 0.5, None, {"a": 1}), (1, "", at(2), 0.5, None, {"a": 1}), (1, "", at(2), float("nan"), None, {"a": 1}), (1, "", at(2), 0.5, "x", None), (1, "", at(2), 0.5, "x", None), (1, "", at(2), 0.5, None, {"a": 2})]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, seen timestamp, score double, note string, tags map<string,int>").repartition(3)
+    assert corpus_pipeline.near_dedup(spark, docs, "").count() == 5
+    assert corpus_pipeline.near_dedup(spark, docs.withColumn("seen", docs.seen.cast("timestamp_ntz")), "").count() == 5
