@@ -14,10 +14,11 @@ from aperture.llm import common as C
 
 M, EF, LEVEL_ODDS = 16, 64, 16
 #: The beam that audits begin with.
-START = 24
-SHARDS, SHARD_ROWS, BLOCK = 8, 100_000, 1024
-#: Audited vectors of each shard, and of all, that its graph is searched for.
-AUDIT, RECALL = 256, 0.99
+START = 64
+#: A shard has at most so many rows, and so many bytes of vectors (a worker holds three).
+SHARDS, SHARD_ROWS, SHARD_BYTES, BLOCK = 8, 100_000, 128 << 20, 1024
+#: Audited vectors of each shard, and of all, that its graph is searched for; while these have fewer than ENOUGH links, up to ROUNDS times as many of its own.
+AUDIT, ENOUGH, ROUNDS, RECALL = 256, 100, 16, 0.99
 
 
 def _spread(sim: np.ndarray, ids: np.ndarray, x: np.ndarray, keep: int) -> np.ndarray:
@@ -223,25 +224,36 @@ def _searchable(part: dict) -> dict:
     return part
 
 
-_AUDITED = "dim int, target int, ef int, recall double"
+_AUDITED = "dim int, target int, ef int, recall double, links long"
 
 
-def _audit(folder: str, least: float, sample: dict[int, np.ndarray], audit: int):
-    """The beam at which each shard's graph finds what full scans for the audited vectors find, and the recall measured there."""
+def _audit(folder: str, least: float, sample: dict[int, tuple[np.ndarray, np.ndarray]], audit: int):
+    """The beam at which each shard's graph finds the links that full scans for the audited vectors find, the recall measured there, and how many links that is of.
+
+    A vector's match with itself is no link and counts on neither side. Without any link there is nothing to be lost, and recall is null.
+    """
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
             for r in batch.to_pylist():
-                part = _searchable(_load(folder, r["dim"], r["shard"]))
-                own = part["unit"][np.linspace(0, len(part["unit"]) - 1, min(audit, len(part["unit"]))).astype(int)]
-                q, bound, ef = np.concatenate([own, sample[r["dim"]]]) if r["dim"] in sample else own, least - 1e-4, START
-                want = sum(int((q[p : p + 64] @ part["unit"].T >= bound).sum()) for p in range(0, len(q), 64))
+                part, bound = _searchable(_load(folder, r["dim"], r["shard"])), least - 1e-4
+                unit, ids = part["unit"], part["ids"]
+                order = np.random.default_rng(11).permutation(len(unit))[: ROUNDS * audit]
+                q, own = sample.get(r["dim"], (unit[:0], ids[:0]))
+                links = lambda a, b: int((own[a] != ids[b]).sum())  # noqa: B023, E731
+                want = done = 0
+                while done < len(order) and (not done or want < ENOUGH):
+                    more = order[done : done + audit]
+                    q, own, done = np.concatenate([q, unit[more]]), np.concatenate([own, ids[more]]), done + len(more)
+                    scans = (np.nonzero(q[p : p + 64] @ unit.T >= bound) for p in range(0, len(q), 64))
+                    want = sum(links(a + 64 * k, b) for k, (a, b) in enumerate(scans))
+                ef = START
                 while True:
-                    got = len(next(iter(part["graph"].within(q, bound, ef))))
-                    if ef >= len(part["unit"]) or got >= RECALL * want:
+                    got = links(*part["graph"].within(q, bound, ef))
+                    if ef >= len(unit) or got >= RECALL * want:
                         break
                     ef *= 2
-                yield pa.RecordBatch.from_arrays([pa.array([r["dim"]], pa.int32()), pa.array([r["shard"]], pa.int32()), pa.array([ef], pa.int32()), pa.array([min(1.0, got / want)])], ["dim", "target", "ef", "recall"])
+                yield pa.RecordBatch.from_arrays([pa.array([r["dim"]], pa.int32()), pa.array([r["shard"]], pa.int32()), pa.array([ef], pa.int32()), pa.array([min(1.0, got / want) if want else None], pa.float64()), pa.array([want])], ["dim", "target", "ef", "recall", "links"])
 
     return run
 
@@ -264,18 +276,23 @@ def _query(folder: str, least: float):
                 a, b = theirs["graph"].within(q64.astype(np.float32), least - 1e-4, r["ef"])
                 cos = np.concatenate([np.einsum("nd,nd->n", q64[a[p : p + 100_000]], _unit(theirs["v"][b[p : p + 100_000]])) for p in range(0, len(a), 100_000)] or [np.empty(0)])
                 a, b = a[cos >= least], b[cos >= least]
+                if r["shard"] == r["target"]:  # each pair once
+                    later = b > a + r["lo"]
+                    a, b = a[later], b[later]
                 ids = ours["ids"][r["lo"] : r["hi"]]
-                other = theirs["ids"][b] != ids[a]
-                a, b = a[other], b[other]
-                links = np.bincount(a, theirs["copies"][b], len(ids)).astype(np.int64)
+                from_a = np.bincount(a, theirs["copies"][b], len(ids)).astype(np.int64)
+                from_b = np.bincount(b, ours["copies"][r["lo"] : r["hi"]][a], len(theirs["ids"])).astype(np.int64)
+                ends = np.concatenate([ids[from_a > 0], theirs["ids"][from_b > 0]])
+                counts = np.concatenate([from_a[from_a > 0], from_b[from_b > 0]])
                 x, y = _forest(ids[a], theirs["ids"][b]) if len(a) else (np.empty(0, np.int64),) * 2
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([ids[links > 0], x])), pa.array(np.concatenate([np.full((links > 0).sum(), -1), y]), mask=np.arange((links > 0).sum() + len(x)) < (links > 0).sum()), pa.array(np.concatenate([links[links > 0], np.zeros(len(x), np.int64)]))], ["a", "b", "links"])
+                no = np.arange(len(ends) + len(x)) < len(ends)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([ends, x])), pa.array(np.concatenate([np.full(len(ends), -1), y]), mask=no), pa.array(np.concatenate([counts, np.zeros(len(x), np.int64)]))], ["a", "b", "links"])
 
     return run
 
 
-def link_vectors(vectors: DataFrame, scratch: C.Scratch, least: float = 0.95, shard_rows: int = SHARD_ROWS, audit: int = AUDIT) -> DataFrame:
-    """(vec_id, n_links, component_id, kept, audit_recall) for each row of `vectors` (vec_id, embedding).
+def link_vectors(vectors: DataFrame, scratch: C.Scratch, least: float = 0.95, shard_rows: int = SHARD_ROWS, shard_bytes: int = SHARD_BYTES, audit: int = AUDIT) -> DataFrame:
+    """(vec_id, n_links, component_id, kept, audit_recall, audit_links) for each row of `vectors` (vec_id, embedding).
 
     Two vectors of the same length are linked if their cosine, in double precision, is `least` or
     more; n_links counts the other vectors linked, component_id is the smallest vec_id reachable. A
@@ -284,11 +301,12 @@ def link_vectors(vectors: DataFrame, scratch: C.Scratch, least: float = 0.95, sh
     copies of each other. Extra columns are ignored; an empty table gives an empty one. Vectors of doubles
     stay doubles; only the graphs are searched in single precision, with a margin.
 
-    Equal vectors are one node with a count. Nodes are dealt to shards of about `shard_rows` by hash
-    (SHARDS at least), one graph each, written to the shared folder. Each graph is audited: `audit` of
-    its own vectors and `audit` of all vectors (those of the smallest hashes) are compared with its whole shard, and its
-    beams widen until they find RECALL of these links; audit_recall is what the vector's own shard
-    reached. That is work in proportion to the vectors. Then every block of queries goes to every graph; a
+    Equal vectors are one node with a count. Nodes are dealt to shards of at most about `shard_rows` rows and `shard_bytes` of vectors by hash
+    (SHARDS at least), one graph each, written to the shared folder. Each graph is audited: `audit` of all
+    vectors (those of the smallest hashes) and `audit` of its own, or more of these until there are ENOUGH links, are compared with its whole
+    shard, and its beams widen until they find RECALL of the links; audit_recall is what the vector's own
+    shard reached (null if the audit met no link), audit_links of how many. That is work in proportion to the vectors. Then every block of queries goes to the graphs of its own
+    shard and of those after it, so each pair of vectors is looked for once, and a link counts for both ends. A
     beam that fills with links widens until it does not. A task passes on counts and a spanning forest,
     not its pairs.
     """
@@ -299,32 +317,33 @@ def link_vectors(vectors: DataFrame, scratch: C.Scratch, least: float = 0.95, sh
     base = base.withColumn("good", F.coalesce(good, F.lit(False)) & F.col("vec_id").isNotNull())
     nodes = base.where("good").groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
     nodes = scratch.table(nodes.withColumn("dim", F.size("embedding")), "nodes")
-    n = nodes.groupBy("dim").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-    shards = max(SHARDS, -(-n // shard_rows))
+    width = 8 if kind == "array<double>" else 4
+    sizes = nodes.groupBy("dim").agg(F.count("*").alias("n")).agg(F.max("n"), F.max(F.col("n") * F.col("dim") * width)).first()
+    shards = max(SHARDS, -(-(sizes[0] or 0) // shard_rows), -(-(sizes[1] or 0) // shard_bytes))
     folder = scratch.folder("graphs")
     placed = nodes.withColumn("shard", F.pmod(F.xxhash64("rep"), F.lit(shards)).cast("int"))
     files = placed.groupBy("dim", "shard").applyInArrow(_build(folder), "dim int, shard int, n long")
     files = scratch.table(files, "files")
     some: dict[int, list] = {}
-    for r in nodes.orderBy(F.xxhash64("rep", F.lit(17)), "rep").limit(audit).select("dim", "embedding").collect():
-        some.setdefault(r.dim, []).append(r.embedding)
-    sample = {d: _unit(np.array(v)).astype(np.float32) for d, v in some.items()}
+    for r in nodes.orderBy(F.xxhash64("rep", F.lit(17)), "rep").limit(audit).select("dim", "embedding", "rep").collect():
+        some.setdefault(r.dim, []).append((r.embedding, r.rep))
+    sample = {d: (_unit(np.array([x for x, _ in v])).astype(np.float32), np.array([i for _, i in v])) for d, v in some.items()}
     parts = max(1, int(scratch.spark.conf.get("spark.sql.shuffle.partitions")))
     audits = scratch.table(files.repartition(parts, "dim", "shard").mapInArrow(_audit(folder, least, sample, audit), _AUDITED), "audits")
     lists = files.groupBy("dim").agg(F.collect_list("shard").alias("targets"))
-    work = files.join(lists, "dim").select("dim", "shard", "n", F.explode("targets").alias("target"))
+    work = files.join(lists, "dim").select("dim", "shard", "n", F.explode("targets").alias("target")).where("shard <= target")
     work = work.select("dim", "shard", "target", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(BLOCK).cast("long"))).alias("lo")).withColumn("hi", F.least(F.col("lo") + BLOCK, "n"))
     work = work.join(F.broadcast(audits.select("dim", "target", "ef")), ["dim", "target"])  # one row a shard
     found = scratch.table(work.repartition(parts).mapInArrow(_query(folder, least), "a long, b long, links long"), "found")
     comp = C.components(found.where("b is not null").select("a", "b"), scratch)
     links = found.groupBy(F.col("a").alias("l_rep")).agg(F.sum("links").alias("links"))
-    recall = audits.select("dim", F.col("target").alias("shard"), "recall")
+    recall = audits.select("dim", F.col("target").alias("shard"), "recall", F.col("links").alias("audited"))
     nodes = nodes.withColumn("shard", F.pmod(F.xxhash64("rep"), F.lit(shards)).cast("int")).join(F.broadcast(recall), ["dim", "shard"], "left")
-    nodes = nodes.join(links, F.col("rep") == F.col("l_rep"), "left").join(comp, F.col("rep") == F.col("node"), "left").select(F.col("embedding").alias("e2"), "rep", "copies", "links", "component", "recall")
+    nodes = nodes.join(links, F.col("rep") == F.col("l_rep"), "left").join(comp, F.col("rep") == F.col("node"), "left").select(F.col("embedding").alias("e2"), "rep", "copies", "links", "component", "recall", "audited")
     out = base.join(nodes, F.col("good") & (F.col("embedding") == F.col("e2")), "left")
     n_links = F.when(F.col("good"), F.coalesce("links", F.lit(0)) + F.col("copies") - 1).otherwise(0)
     scratch.only("nodes", "found", "audits", *[x for x in scratch.names if x.startswith("cc-")])
-    return out.select("vec_id", n_links.cast("long").alias("n_links"), F.when(F.col("good"), F.coalesce("component", "rep")).otherwise(F.col("vec_id")).alias("component_id"), F.when(F.col("good"), F.col("recall")).alias("audit_recall")).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
+    return out.select("vec_id", n_links.cast("long").alias("n_links"), F.when(F.col("good"), F.coalesce("component", "rep")).otherwise(F.col("vec_id")).alias("component_id"), F.when(F.col("good"), F.col("recall")).alias("audit_recall"), F.when(F.col("good"), F.col("audited")).alias("audit_links")).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 
 def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

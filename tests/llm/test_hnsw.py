@@ -40,7 +40,33 @@ def test_against_brute_force(spark):
     assert sum(min(have[i][0], want[i][0]) for i in want) >= 0.99 * total and all(have[i][0] <= want[i][0] for i in want)
     assert sum(have[i][1] == want[i][1] for i in want) >= 0.99 * len(want)
     assert all(have[i] == want[i] for i in range(800, 810))
-    assert all(r.audit_recall >= 0.99 for r in got if r.n_links)
+    assert all(r.audit_recall >= 0.99 and r.audit_links > 0 for r in got if r.n_links and r.vec_id not in (808, 809))
+
+
+def test_a_link_counts_for_both_ends(spark):
+    """Whatever is missed is missing from both counts: their sum is twice the links, and no vector of a larger class is without one."""
+    rng = np.random.default_rng(9)
+    base = rng.normal(size=(30, 24))
+    rows = [(n, (base[rng.integers(30)] + rng.normal(size=24) * 0.2).astype(np.float32).tolist()) for n in range(900)]
+    got = {r.vec_id: r for r in hnsw.link_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), C.Scratch(spark, "t"), shard_bytes=10_000).collect()}
+    want = brute(rows)
+    assert sum(r.n_links for r in got.values()) % 2 == 0
+    assert all(got[i].n_links <= want[i][0] for i in want) and sum(r.n_links for r in got.values()) >= 0.99 * sum(n for n, _ in want.values())
+    size = {}
+    for r in got.values():
+        size[r.component_id] = size.get(r.component_id, 0) + 1
+    assert all((r.n_links > 0) == (size[r.component_id] > 1) for r in got.values())
+
+
+def test_audit_counts_no_match_with_itself(spark, tmp_path):
+    """Of vectors without links there is nothing to measure; with few links more vectors are audited."""
+    rng = np.random.default_rng(2)
+    rows = [(n, rng.normal(size=32).tolist()) for n in range(600)]
+    got = hnsw.link_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), C.Scratch(spark, "t")).collect()
+    assert all(r.audit_recall is None and r.audit_links == 0 and r.n_links == 0 for r in got)
+    twin = rows + [(1000 + n, (np.array(v) + 0.01).tolist()) for n, v in rows[:40]]
+    got = hnsw.link_vectors(spark.createDataFrame(twin, "vec_id long, embedding array<double>"), C.Scratch(spark, "t"), audit=8).collect()
+    assert sum(r.n_links for r in got) == 80 and max(r.audit_links for r in got) > 0
 
 
 def test_graph_recall():
