@@ -83,7 +83,9 @@ def mix(docs: DataFrame, scratch: C.Scratch, weights=WEIGHTS, share: float = SHA
     last = F.when(F.col("size") > 0, F.col("place") + F.col("size") - 1)
     df = df.withColumn("b", F.explode_outer(F.sequence(F.floor(F.col("place") / block), F.floor(last / block))))
     slots = schedule(sources, scratch, block).withColumnsRenamed({"sid": "s3"})
-    df = df.join(slots, (F.col("sid") == F.col("s3")) & (F.col("b") == F.col("block")), "left")
+    spread = F.when(F.col("b").isNull(), -1 - F.pmod(F.xxhash64("doc_id", "row"), F.lit(1 << 40))).otherwise(F.col("b"))  # documents without words have no block; they meet nothing, each in its own place
+    df = df.withColumn("at_block", spread)
+    df = df.join(slots, (F.col("sid") == F.col("s3")) & (F.col("at_block") == F.col("block")), "left").drop("at_block")
     lo = F.greatest("place", F.col("b") * block)
     hi = F.when(F.col("take").isNotNull(), F.least(F.col("place") + F.col("size"), F.col("b") * block + F.col("take")))  # least() passes over nulls
     df = df.withColumn("n", F.greatest(F.coalesce(hi - lo, F.lit(0)), F.lit(0))).withColumn("at", F.when(F.col("n") > 0, lo - F.col("place")))
