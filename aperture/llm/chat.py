@@ -46,7 +46,8 @@ def rotate(turns: DataFrame, scratch: C.Scratch, system: str = SYSTEM) -> DataFr
     parts = t.groupBy("conv_id", "part").agg(F.sum("long").alias("n"), F.count("*").alias("k"))
     parts = parts.select(F.col("conv_id").alias("c2"), F.col("part").alias("p2"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"), F.coalesce(F.sum("k").over(before), F.lit(0)).alias("first"))
     people = narrow.where(F.col("role") != system).select(F.col("conv_id").alias("c3"), F.col("role").alias("perspective")).distinct()
-    views = narrow.join(parts, F.col("conv_id").eqNullSafe(F.col("c2")) & (F.col("part") == F.col("p2"))).join(people, F.col("conv_id").eqNullSafe(F.col("c3")))
+    people = parts.join(people, F.col("c2").eqNullSafe(F.col("c3"))).drop("c3")  # for each range of the dialogue, so that its turns meet them range by range
+    views = narrow.join(people, F.col("conv_id").eqNullSafe(F.col("c2")) & (F.col("part") == F.col("p2")))
     views = views.select("conv_id", "perspective", "part", "at", F.col("role").eqNullSafe(F.col("perspective")).cast("long").alias("ours"), (F.col("first") + F.col("at") - 1).alias("seq"), (F.col("base") + F.col("own")).alias("place"))
     views = C.running_sum(views, ["conv_id", "perspective"], "part", ["at"], "ours", "mine")
     gain = F.lit(len(OURS)) - F.length(_other(F.col("perspective"), system))
