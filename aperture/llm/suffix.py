@@ -122,17 +122,28 @@ def _sampled(rows: Iterator[pa.RecordBatch], length: int):
             yield batch, data, off, text, anchor, a, b, gram
 
 
-_ENTRY = "k long, g long, f long, c long"
+_ENTRY = "part int, k long, g long, f long, c long, old long"
+#: Splitters of ranges are taken from every so manieth document, about so many keys a range.
+SAMPLED, KEYS = 16, 64
 
 
-def _entries(length: int):
+def _entries(length: int, splitters: list[tuple[int, int, int]]):
+    """The sorted array of a batch, each entry with the range of keys that it is in; equal entries of a task are one with a count."""
+
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Runs()
 
         def out():
-            for p in range(0, len((x := own.whole())[0]), 50_000):
-                yield pa.RecordBatch.from_arrays([pa.array(v[p : p + 50_000]) for v in x], ["k", "g", "f", "c"])
+            k, g, f, c = own.whole()
             own.runs.clear()
+            cuts = []
+            for sk, sg, sf in splitters:
+                lo, hi = np.searchsorted(k, sk, "left"), np.searchsorted(k, sk, "right")
+                lo, hi = lo + np.searchsorted(g[lo:hi], sg, "left"), lo + np.searchsorted(g[lo:hi], sg, "right")
+                cuts.append(lo + np.searchsorted(f[lo:hi], sf, "left"))
+            part = np.searchsorted(np.array(cuts, np.int64), np.arange(len(k)), "right").astype(np.int32)
+            for p in range(0, len(k), 50_000):
+                yield pa.RecordBatch.from_arrays([pa.array(v[p : p + 50_000]) for v in (part, k, g, f, c, np.zeros(len(c), np.int64))], ["part", "k", "g", "f", "c", "old"])
 
         n = 0
         for _, data, _, _, anchor, a, b, gram in _sampled(rows, length):
@@ -145,67 +156,131 @@ def _entries(length: int):
     return run
 
 
+def _columns(rows: Iterator[pa.RecordBatch], names: list[str]) -> list[np.ndarray]:
+    """The columns of all batches of a range, which holds about one part in `parts` of the array."""
+    found = [[np.asarray(batch.column(batch.schema.get_field_index(n))) for n in names] for batch in rows]
+    return [np.concatenate(x) for x in zip(*found)] if found else [np.empty(0, np.int64)] * len(names)
+
+
+def _one(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A range in the order of keys, with equal entries made one."""
+    part, k, g, f, c, old = _columns(rows, ["part", "k", "g", "f", "c", "old"])
+    if len(k):
+        first = np.flatnonzero(np.append(True, (g[1:] != g[:-1]) | (f[1:] != f[:-1])))
+        c, old = np.add.reduceat(c, first), np.add.reduceat(old, first)
+        for p in range(0, len(first), 50_000):
+            at = first[p : p + 50_000]
+            yield pa.RecordBatch.from_arrays([pa.array(v) for v in (part[at], k[at], g[at], f[at], c[p : p + 50_000], old[p : p + 50_000])], ["part", "k", "g", "f", "c", "old"])
+
+
+_SCAN = "g long, f long, c long, old long, single long, before long, n long, edge boolean"
+
+
+def _scan(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A range in the order of keys: suffixes that begin with the same gram are neighbours there, and each entry is told what stands beside it.
+
+    single, before and n: of the entries of the gram those seen once, what older levels have, and all, counted. The first and the last gram of a
+    range may go on in the next one: their entries are marked as an edge, and a row without f has what this range knows of the gram.
+    """
+    _, _, g, f, c, old = _columns(_one(rows), ["part", "k", "g", "f", "c", "old"])
+    if not len(g):
+        return
+    first = np.flatnonzero(np.append(True, g[1:] != g[:-1]))
+    size = np.diff(np.append(first, len(g)))
+    n, single, before = np.add.reduceat(c, first), np.add.reduceat((c == 1).astype(np.int64), first), np.add.reduceat(old, first)
+    edge = np.zeros(len(first), bool)
+    edge[[0, -1]] = True
+    grams, keep = g[first], np.repeat(edge | (n > 1), size)
+    of = np.repeat(np.arange(len(first)), size)[keep]
+    g, f, c, old = g[keep], f[keep], c[keep], old[keep]
+    names = ["g", "f", "c", "old", "single", "before", "n", "edge"]
+    for p in range(0, len(g), 50_000):
+        at, q = of[p : p + 50_000], slice(p, p + 50_000)
+        yield pa.RecordBatch.from_arrays([pa.array(v) for v in (g[q], f[q], c[q], old[q], single[at], before[at], n[at], edge[at])], names)
+    ends = np.unique([0, len(first) - 1])
+    zero = np.zeros(len(ends), np.int64)
+    yield pa.RecordBatch.from_arrays([pa.array(grams[ends]), pa.array([None] * len(ends), pa.int64()), pa.array(zero), pa.array(zero), pa.array(single[ends]), pa.array(before[ends]), pa.array(n[ends]), pa.array(edge[ends])], names)
+
+
 class SuffixIndex:
     """A logarithmic family of sampled suffix arrays, its levels tables in the shared folder.
 
-    A level holds the sampled suffixes of all batches merged into it: (k, g, f, c), sorted by k, the
+    A level holds the sampled suffixes of all batches merged into it: (k, g, f, c), in order of k, the
     first eight bytes of the suffix, then by fingerprints of its first 32 bytes (g) and of all the
     windows that it stands for (f); c counts equal ones. A new batch gets a suffix array of its own,
-    which can be merge-scanned against the levels for long matches (matches), and becomes the
+    which is merge-scanned against the levels for long matches (scan), and becomes the
     smallest level (add); a level that is not over twice as long as the one after it is merged with
     it, so there are at most log n levels and an entry is written again log n times.
 
-    Levels are dealt by (g, f), so that a gram with very many contexts is spread; equal contexts
-    are counted in map tasks first.
+    All arrays are dealt by the same ranges of (k, g, f), whose borders are taken from a sample of the first batch, and lie in that
+    order. So a scan is one pass over a range of all arrays in the order of keys, and a gram with very many contexts
+    covers several ranges; equal contexts are counted in map tasks first.
     """
 
-    def __init__(self, scratch: C.Scratch, length: int = LENGTH):
+    def __init__(self, scratch: C.Scratch, length: int = LENGTH, parts: int | None = None):
         self.scratch, self.length, self.made = scratch, length, 0
+        self.parts = parts or max(1, int(scratch.spark.conf.get("spark.sql.shuffle.partitions")))
+        self.splitters: list[tuple[int, int, int]] | None = None
         self.levels: list[tuple[int, str, DataFrame]] = []  # entries, name, table; the longest first
 
-    def _write(self, df: DataFrame) -> tuple[int, str, DataFrame]:
+    def _array(self, docs: DataFrame) -> DataFrame:
+        if self.splitters is None:
+            some = docs.where(F.pmod(F.xxhash64(F.lit(5), "text"), F.lit(SAMPLED)) == 0).select("text").mapInArrow(_entries(self.length, []), _ENTRY)
+            keys = sorted(tuple(r) for r in some.select("k", "g", "f").orderBy(F.xxhash64("g", "f")).limit(KEYS * self.parts).collect())
+            self.splitters = sorted({keys[i * len(keys) // self.parts] for i in range(1, self.parts)}) if keys else []
+        return docs.select("text").mapInArrow(_entries(self.length, self.splitters), _ENTRY)
+
+    def _ordered(self, *arrays: DataFrame) -> DataFrame:
+        """The arrays as one, each range a partition, in order."""
+        whole = arrays[0]
+        for t in arrays[1:]:
+            whole = whole.union(t)
+        return whole.repartitionById(self.parts, "part").sortWithinPartitions("k", "g", "f")
+
+    def _write(self, *arrays: DataFrame) -> tuple[int, str, DataFrame]:
         name, self.made = f"level-{self.made}", self.made + 1
-        whole = df.groupBy("k", "g", "f").agg(F.sum("c").alias("c")).sortWithinPartitions("k", "g", "f")
-        table = self.scratch.table(whole, name)
+        table = self.scratch.table(self._ordered(*arrays).mapInArrow(_one, _ENTRY), name)
         return table.count(), name, table
 
-    def _array(self, docs: DataFrame) -> DataFrame:
-        return docs.select("text").mapInArrow(_entries(self.length), _ENTRY)
-
     def add(self, docs: DataFrame) -> None:
         """The suffix array of a batch (text) joins the family."""
         new = self._write(self._array(docs))
         while self.levels and self.levels[-1][0] <= 2 * new[0]:
             old = self.levels.pop()
-            merged = self._write(old[2].union(new[2]))
+            merged = self._write(old[2], new[2])
             self.scratch.drop(old[1], new[1])
             new = merged
         self.levels.append(new)
 
     def whole(self) -> DataFrame:
         """The entries of all levels, equal ones as one."""
-        tables = [t for _, _, t in self.levels]
-        out = tables[0]
-        for t in tables[1:]:
-            out = out.union(t)
-        return out if len(tables) == 1 else out.groupBy("k", "g", "f").agg(F.sum("c").alias("c"))
+        return self._ordered(*[t for _, _, t in self.levels]).mapInArrow(_one, _ENTRY).select("k", "g", "f", "c")
+
+    def scan(self, docs: DataFrame, name: str = "scan") -> DataFrame:
+        """(g, f, c, old, single, before) of the entries of a new batch (text) and of the levels that share their gram with another: the merge scan.
+
+        c counts the entry in all, old in the levels; single and before count the gram's entries that are seen once, and those of the levels.
+        """
+        older = [t.withColumn("old", F.col("c")) for _, _, t in self.levels]
+        scanned = self.scratch.table(self._ordered(self._array(docs), *older).mapInArrow(_scan, _SCAN), name)
+        edges = scanned.where("f IS NULL").groupBy(F.col("g").alias("g2")).agg(*[F.sum(c).alias(f"{c}2") for c in ("single", "before", "n")])  # two rows a range at most
+        inner = scanned.where("NOT edge").select("g", "f", "c", "old", "single", "before")
+        outer = scanned.where("edge AND f IS NOT NULL").join(F.broadcast(edges), F.col("g") == F.col("g2")).where("n2 > 1").select("g", "f", "c", "old", F.col("single2").alias("single"), F.col("before2").alias("before"))
+        return inner.union(outer)
 
     def matches(self, docs: DataFrame) -> DataFrame:
         """(id, row, a, e, whole) of a new batch (id, row, text), before it is added: its stretches that meet a level.
 
         whole: all of [a, e) is in an older text, else only its anchor's gram is known to be.
         """
-        places = docs.mapInArrow(_places(self.length), _PLACE)
-        old = self.whole()
-        met = places.join(old.select("g").distinct(), "g", "left_semi").join(old.select("g", "f", F.lit(True).alias("same")), ["g", "f"], "left")
-        return met.select("id", "row", "a", (F.col("b") + self.length).alias("e"), F.coalesce("same", F.lit(False)).alias("whole"))
-
-    def states(self) -> DataFrame:
-        """(g, f, state) of the entries that something meets: 1 repeated, 2 seen once beside others at the same gram, 3 both."""
-        all_ = self.whole()
-        kinds = all_.groupBy("g").agg(F.count("*").alias("kinds"), F.sum("c").alias("n"), F.count_if(F.col("c") == 1).alias("single")).where("n > 1").select(F.col("g").alias("g2"), "kinds", "single")
+        met = self.scan(docs, f"scan-{self.made}").where("c > old AND before > 0").select("g", "f", (F.col("old") > 0).alias("whole"))
+        places = docs.mapInArrow(_places(self.length), _PLACE).join(met, ["g", "f"])
+        return places.select("id", "row", "a", (F.col("b") + self.length).alias("e"), "whole")
+
+    def states(self, docs: DataFrame) -> DataFrame:
+        """(g, f, state) by a scan of the last batch (text): 1 repeated, 2 seen once beside others at the same gram, 3 both."""
         state = F.when(F.col("c") > 1, F.when(F.col("single") > 0, 3).otherwise(1)).otherwise(2)
-        return all_.join(kinds, F.col("g") == F.col("g2")).select("g", "f", state.cast("int").alias("state"))
+        return self.scan(docs).select("g", "f", state.cast("int").alias("state"))
 
 
 _PLACE = "id long, row long, a int, b int, m int, g long, f long"
@@ -271,7 +346,8 @@ def spans(docs: DataFrame, scratch: C.Scratch, length: int = LENGTH, batches: in
 
     `docs` has id, row (a hash of the text; rows of one id and hash are equal texts) and text.
 
-    First the index: the documents join it in `batches`, and entries found twice mark all their windows.
+    First the index: the documents come in `batches`; all but the last join it, and the last is merge-scanned against its
+    levels and itself. Entries that the scan finds twice mark all their windows, in the last batch and in older ones.
     Then the exact rest: an entry found once beside others at the same gram may still share some
     windows with them. Its windows are compared in runs of 32 by the bytes that the run has in common
     (an edit there settles them at once), and what is left window by window.
@@ -279,12 +355,14 @@ def spans(docs: DataFrame, scratch: C.Scratch, length: int = LENGTH, batches: in
     """
     docs = docs.select("id", "row", "text")
     index = SuffixIndex(scratch, length)
-    for k in range(batches):
-        index.add(docs.where(F.pmod("row", F.lit(batches)) == k))
-    states = scratch.table(index.states(), "states")
-    scratch.drop(*[name for _, name, _ in index.levels])
+    batch = lambda k: docs.where(F.pmod("row", F.lit(batches)) == k)
+    for k in range(batches - 1):
+        index.add(batch(k))
+    states = index.states(batch(batches - 1))
+    for _, name, _ in index.levels:
+        scratch.drop(name)
     hits = scratch.table(docs.mapInArrow(_places(length), _PLACE).join(states, ["g", "f"]).select("id", "row", "a", "b", "m", "g", "state", F.when(F.col("state") == 3, F.col("f")).alias("f")), "hits")
-    scratch.drop("states")
+    scratch.drop("scan")
     sure = hits.where("state <> 2").select("id", "row", "a", "b")
     one = hits.where("state = 3").groupBy("g", "f").agg(F.min(F.struct("id", "row", "a", "b", "m")).alias("x")).select("x.*", "g")
     open_ = hits.where("state = 2").select("id", "row", "a", "b", "m", "g").union(one)

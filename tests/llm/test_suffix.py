@@ -98,6 +98,53 @@ def test_added_batches(spark):
     assert [r.k for r in level] and sum(r.c for r in index.whole().collect()) > len(level)
 
 
+def test_result_comes_from_the_scan(spark, monkeypatch):
+    """op1 scans its last batch against the levels of those before, and what the scan does not tell is not removed."""
+    rows, seen = passages(6), []
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    scan = suffix.SuffixIndex.scan
+
+    def watched(self, docs, name="scan"):
+        seen.append((len(self.levels), sum(n for n, _, _ in self.levels)))
+        return scan(self, docs, name)
+
+    monkeypatch.setattr(suffix.SuffixIndex, "scan", watched)
+    got = suffix.cut_repeats(docs, C.Scratch(spark, "t")).collect()
+    assert sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == brute(rows)
+    assert len(seen) == 1 and seen[0][0] == 1 and seen[0][1] > 0
+    monkeypatch.setattr(suffix.SuffixIndex, "scan", lambda self, docs, name="scan": scan(self, docs, name).where("false"))
+    assert sum(r.n_removed for r in suffix.cut_repeats(docs, C.Scratch(spark, "t")).collect()) == 0
+
+
+def test_a_gram_over_many_ranges(spark):
+    """Very many contexts after one header: they cover several ranges, none of which holds most of them, and the result is exact."""
+    rng = random.Random(7)
+    head = "".join(rng.choice("abcdefgh") for _ in range(150))
+    rows = [(i, head + "".join(rng.choice("abcdefgh ") for _ in range(rng.randrange(60, 120)))) for i in range(300)]
+    rows += [(1000 + i, rows[i][1] + "!") for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = suffix.cut_repeats(docs, C.Scratch(spark, "t")).collect()
+    assert sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == brute(rows)
+    index = suffix.SuffixIndex(C.Scratch(spark, "t"), parts=12)
+    index.add(docs.select("text"))
+    ranges = [r["count"] for r in index.levels[0][2].groupBy("part").count().collect()]
+    assert len(ranges) > 4 and max(ranges) < 0.5 * sum(ranges)
+    found = {(r.g, r.f): (r.c, r.single) for r in index.scan(spark.createDataFrame([("zzz",)], "text string")).collect()}
+    whole = index.whole().collect()
+    assert found == {(r.g, r.f): (r.c, sum(x.c == 1 for x in whole if x.g == r.g)) for r in whole if sum(x.c for x in whole if x.g == r.g) > 1}
+
+
+def test_texts_over_the_chunk_of_anchors(spark):
+    """Texts of several chunks, with repeats across their borders."""
+    rng = random.Random(11)
+    text = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
+    same = text(3000)
+    rows = [(0, text(130_000) + same + text(140_000)), (1, text(131_072 - 1500) + same + text(5000)), (2, same[500:2500] + text(262_144 - 2000) + same[:900]), (3, text(1000))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = suffix.cut_repeats(docs, C.Scratch(spark, "t")).collect()
+    assert sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == brute(rows)
+
+
 def test_batches_do_not_matter(spark):
     rows = passages(4)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
