@@ -47,6 +47,13 @@ class Scratch:
         self.names.add(name)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        """All goes when the block ends: for results that have been written or collected by then."""
+        self.drop()
+
     def folder(self, name: str) -> str:
         return f"{self.root}/{name}"
 
