@@ -18,6 +18,8 @@ from aperture.sources.shared import Scratch, open_shared, write_shared
 EPS = 1e-12
 #: Rows of a file of candidates, and queries that meet it at once.
 BLOCK, STEP = 16_384, 1024
+#: Bytes of queries that a task holds while it goes through the candidates' files.
+HELD = 256 << 20
 
 
 def dedup_candidates(df: DataFrame, key: str, vector: str) -> DataFrame:
@@ -76,11 +78,23 @@ def _blocks(paths: list[str]) -> Iterator[dict]:
             yield {k: z[k] for k in z.files}
 
 
+def _gathered(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A task's queries in as few batches as HELD bytes of vectors allow, for each batch goes through all candidates."""
+    held, size = [], 0
+    for batch in rows:
+        if batch.num_rows:
+            held.append(batch)
+            size += 8 * len(_array(batch, "vec").flatten())
+        if size >= HELD:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, size = [], 0
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def _ranks(paths: list[str], grouped: bool):
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rows:
-            if not batch.num_rows:
-                continue
+        for batch in _gathered(rows):
             q, pos, grp = _matrix(batch), np.asarray(_array(batch, "pos")), np.asarray(_array(batch, "grp"))
             at, best = np.full(len(q), np.nan), np.full(len(q), -np.inf)
             more, above = np.zeros(len(q), np.int64), np.zeros(len(q), np.int64)
@@ -107,7 +121,7 @@ def _ranks(paths: list[str], grouped: bool):
 
 
 def _queries(queries: DataFrame) -> DataFrame:
-    """Queries in batches of a few thousand, so that each reads the candidates' files once."""
+    """Queries as the tasks take them."""
     grp = F.xxhash64(F.col("grp").cast("string")) if "grp" in queries.columns else F.lit(0).cast("long")
     pos = F.col("pos").cast("long") if "pos" in queries.columns else F.lit(None).cast("long")
     return queries.select(F.col("query_id").cast("long").alias("query_id"), F.coalesce(pos, F.lit(-(2**63))).alias("pos"), grp.alias("grp"), "vec")
@@ -132,9 +146,7 @@ def ranks(queries: DataFrame, candidates: DataFrame, scratch: Scratch | None = N
 
 def _best(paths: list[str], k: int):
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rows:
-            if not batch.num_rows:
-                continue
+        for batch in _gathered(rows):
             q = _matrix(batch)
             sim, ids, found = np.empty((len(q), 0)), np.empty((len(q), 0), np.int64), 0
             for c in _blocks(paths):

@@ -80,6 +80,20 @@ def newton(x, y, classes, c=1.0):
     return w.reshape(classes, d)
 
 
+def solved(x, y, f, k):
+    """Balanced accuracy of each fold by Newton's solution on the others."""
+    import numpy as np
+
+    x = x / np.linalg.norm(x, axis=1, keepdims=True)
+    names, y = np.unique(y, return_inverse=True)
+    out = {}
+    for one in range(k):
+        w = newton(x[f != one], y[f != one], len(names))
+        hit = (np.concatenate([x[f == one], np.ones(((f == one).sum(), 1))], 1) @ w.T).argmax(1) == y[f == one]
+        out[one] = np.mean([hit[y[f == one] == c].mean() for c in set(y[f == one])])
+    return out
+
+
 def test_probe_equals_a_newton_solution(spark):
     import numpy as np
 
@@ -89,15 +103,23 @@ def test_probe_equals_a_newton_solution(spark):
     dealt, k, _ = P.folds(df, "label", 4, "grp")
     fold = {r.id: r.fold for r in dealt.select("id", "fold").collect()}
     got = {(r.fold, r.vectors): r.balanced_accuracy for r in P.probe(dealt, k, "label", ["a", "b"]).collect()}
-    y = np.array([r[1] for r in rows])
-    f = np.array([fold[r[0]] for r in rows])
+    y, f = np.array([r[1] for r in rows]), np.array([fold[r[0]] for r in rows])
     assert len(got) == 8
     for name, at in (("a", 3), ("b", 4)):
-        x = np.array([r[at] for r in rows])
-        x /= np.linalg.norm(x, axis=1, keepdims=True)
-        for one in range(k):
-            w = newton(x[f != one], y[f != one], 4)
-            z = np.concatenate([x[f == one], np.ones(((f == one).sum(), 1))], 1) @ w.T
-            hit = z.argmax(1) == y[f == one]
-            want = np.mean([hit[y[f == one] == c].mean() for c in set(y[f == one])])
+        for one, want in solved(np.array([r[at] for r in rows]), y, f, k).items():
             assert abs(got[one, name] - want) < 1e-9
+
+
+def test_query_equals_a_newton_solution(spark):
+    import numpy as np
+
+    from aperture.queries import QUERIES
+
+    folder = "/root/testdata/sf0.001"
+    fold = {r.id: r.fold for r in QUERIES["probe_folds"](spark, folder).collect()}
+    rows = spark.read.parquet(f"{folder}/embeddings.parquet").collect()
+    x, y, f = np.array([r.embedding for r in rows]), np.array([r.label for r in rows]), np.array([fold[r.vec_id] for r in rows])
+    got = QUERIES["paired_probe"](spark, folder).collect()
+    a, b = solved(x, y, f, 5), solved(x[:, :8], y, f, 5)
+    assert sorted(r.fold for r in got) == [0, 1, 2, 3, 4]
+    assert all(abs(r.a - a[r.fold]) < 1e-9 and abs(r.b - b[r.fold]) < 1e-9 and abs(r.delta - (r.a - r.b)) < 1e-12 for r in got)

@@ -11,7 +11,12 @@ def con():
     return connect(SF)
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_queries_without_sql():
+    """These are held against brute force elsewhere."""
+    assert set(QUERIES) - set(ORACLE_SQL) == {"paired_probe"} and set(ORACLE_SQL) <= set(QUERIES)
+
+
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_query_equals_sql(spark, con, name):
     df = QUERIES[name](spark, SF)
     got = df.collect()
