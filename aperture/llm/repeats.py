@@ -342,8 +342,8 @@ def collapse_runs(docs: DataFrame, text: str = "text", least: int = LEAST, times
     the others, joined by one space. A null or empty text has no words, no runs and an empty `collapsed`. Rows are judged one by one, so repeated
     rows, ties and null ids make no difference; all columns of `docs` stay, but those of the three names above, which are replaced.
 
-    Nothing is shuffled and nothing outlives a batch. Texts are taken about 8 MB at a time, a longer one alone (it takes
-    some 40 times its size in memory where it has runs). Only `stretches` that can hold a run are searched; those of a batch are laid end to
+    Nothing is shuffled and nothing outlives a batch. Texts are taken about 8 MB at a time, a longer one alone (a stretch
+    takes some 250 bytes a word while it is searched, and up to 700 where it is dense with squares). Only `stretches` that can hold a run are searched; those of a batch are laid end to
     end as one sequence, so that short texts share the steps of numpy.
     """
     if least < 2 or times < 2:

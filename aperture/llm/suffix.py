@@ -124,7 +124,7 @@ def _sampled(rows: Iterator[pa.RecordBatch], length: int):
 
 _ENTRY = "part int, k long, g long, f long, c long, old long"
 #: Splitters of ranges are taken from every so manieth document, about so many keys a range.
-SAMPLED, KEYS = 16, 64
+SAMPLED, KEYS = 16, 32
 
 
 def _entries(length: int, splitters: list[tuple[int, int, int]]):
@@ -226,7 +226,10 @@ class SuffixIndex:
     def _array(self, docs: DataFrame) -> DataFrame:
         if self.splitters is None:
             some = docs.where(F.pmod(F.xxhash64(F.lit(5), "text"), F.lit(SAMPLED)) == 0).select("text").mapInArrow(_entries(self.length, []), _ENTRY)
-            keys = sorted(tuple(r) for r in some.select("k", "g", "f").orderBy(F.xxhash64("g", "f")).limit(KEYS * self.parts).collect())
+            some = self.scratch.table(some.select("k", "g", "f"), "keys")
+            every = max(1, some.count() // (KEYS * self.parts))
+            keys = sorted(tuple(r) for r in some.where(F.pmod(F.xxhash64("g", "f"), F.lit(every)) == 0).collect())  # about KEYS a range
+            self.scratch.drop("keys")
             self.splitters = sorted({keys[i * len(keys) // self.parts] for i in range(1, self.parts)}) if keys else []
         return docs.select("text").mapInArrow(_entries(self.length, self.splitters), _ENTRY)
 
