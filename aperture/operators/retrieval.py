@@ -144,6 +144,16 @@ def ranks(queries: DataFrame, candidates: DataFrame, scratch: Scratch | None = N
     return out if grouped else out.drop("group_rank")
 
 
+def _first(sim: np.ndarray, ids: np.ndarray, n: int) -> np.ndarray:
+    """Places of each row's n largest similarities (to nine digits), the smaller id first among equals: only those that reach the n-th are sorted."""
+    r = np.round(sim, 9)
+    least = np.partition(r, r.shape[1] - n, 1)[:, r.shape[1] - n]
+    m = int((r >= least[:, None]).sum(1).max())
+    near = np.argpartition(-r, m - 1, 1)[:, :m]
+    order = np.lexsort((np.take_along_axis(ids, near, 1), -np.take_along_axis(r, near, 1)), axis=1)[:, :n]
+    return np.take_along_axis(near, order, 1)
+
+
 def _best(paths: list[str], k: int):
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _gathered(rows):
@@ -156,7 +166,7 @@ def _best(paths: list[str], k: int):
                     p = slice(p, p + STEP)
                     s = np.concatenate([sim[p], q[p] @ c["vec"].T], 1)
                     i = np.concatenate([ids[p], np.broadcast_to(c["id"], (len(s), len(c["id"])))], 1)
-                    order = np.lexsort((i, -np.round(s, 9)), axis=1)[:, :found]
+                    order = _first(s, i, found)
                     new_sim[p], new_ids[p] = np.take_along_axis(s, order, 1), np.take_along_axis(i, order, 1)
                 sim, ids = new_sim, new_ids
             n = found

@@ -608,7 +608,7 @@ def wilcoxon(spark, d):
 
 
 @query("""WITH RECURSIVE x AS (SELECT p_brand AS brand, p_size, avg(l_extendedprice) FILTER (l_orderkey % 2 = 0) - avg(l_extendedprice) FILTER (l_orderkey % 2 = 1) AS d FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL),
-r AS (SELECT brand, d, rank() OVER (PARTITION BY brand ORDER BY abs(d)) AS r FROM x WHERE d <> 0), s AS (SELECT brand, count(*) AS n, least(sum(r) FILTER (d > 0), sum(r) FILTER (d < 0))::DOUBLE AS w FROM r GROUP BY brand),
+r AS (SELECT brand, d, rank() OVER (PARTITION BY brand ORDER BY abs(d)) AS r FROM x WHERE d <> 0), s AS (SELECT brand, count(*) AS n, least(coalesce(sum(r) FILTER (d > 0), 0), coalesce(sum(r) FILTER (d < 0), 0))::DOUBLE AS w FROM r GROUP BY brand),
 ways(r, v) AS (SELECT 0, list_transform(range(1276), lambda s: (s = 0)::INT::DOUBLE) UNION ALL SELECT r + 1, list_transform(range(1276), lambda s: v[s + 1] + CASE WHEN s > r THEN v[s - r] ELSE 0 END) FROM ways WHERE r < 50)
 SELECT brand, n, w, round(least(1, 2 * list_sum(v[1:w::INT + 1]) / pow(2, n)), 6) AS p_value FROM s JOIN ways ON ways.r = n""")
 def wilcoxon_exact(spark, d):
