@@ -95,7 +95,7 @@ def judge(pages: DataFrame, rules: DataFrame, scratch: C.Scratch, url: str = "ur
     events = events.unionByName(event(begin, F.concat("key", F.unhex(F.lit("FF"))), END, none, F.col("rule")))
     events = events.unionByName(event(domains, _key(F.slice("labels", F.lit(1), F.col("depth")), F.col("head")), PAGE, F.col("id"), F.lit(None).cast(kind)))
     best = sweep(events, scratch).groupBy("id").agg(F.max("rule").alias("best")).withColumnRenamed("id", "i2")
-    out = rows.join(best, F.col("id") == F.col("i2"), "left")
+    out = rows.join(best.hint("merge"), F.col("id") == F.col("i2"), "left")  # a row for each page with a rule: never broadcast, however small its files look
     verdict = F.when(F.col("best").isNull(), F.lit(otherwise)).when(F.col("best.blocks"), "block").otherwise("allow")
     return out.select(*back, "host", "path", F.concat("best.host", "best.path").alias("rule"), verdict.alias("verdict"))
 
