@@ -20,7 +20,7 @@ from aperture.llm import common as C
 
 CAPACITY, END_ID, POOL = 2048, 1, 1024
 #: Words, and parts of words, that a worker remembers before it begins anew.
-MEMORY, PARTS_MEMORY = 400_000, 800_000
+MEMORY, PARTS_MEMORY, TAKEN = 150_000, 500_000, 1 << 20
 
 
 def best_fill(counts: dict[int, int], room: int, lengths: list[int] | None = None) -> dict[int, int]:
@@ -177,7 +177,7 @@ def _pack(path: str, capacity: int, end_id: int, pool: int):
             out.clear()
             return batch
 
-        for batch in C.batches(rows, "text"):
+        for batch in C.batches(rows, "text", TAKEN):
             texts = [x or "" for x in batch.column(batch.schema.get_field_index("text")).to_pylist()]
             for doc, ids in zip(batch.column(batch.schema.get_field_index("doc_id")).to_pylist(), words.ids(texts)):
                 ids += end
