@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from aperture.llm import common as C
 
 CAPACITY, END_ID, POOL = 2048, 1, 1024
-#: Words, and parts of words, that a worker remembers before it begins anew.
+#: Words, and parts of words, that a worker remembers before it begins anew, and bytes of text that it takes at a time.
 MEMORY, PARTS_MEMORY, TAKEN = 150_000, 500_000, 1 << 20
 
 
