@@ -85,9 +85,9 @@ def interaction_audit(masked: DataFrame, names: list[str]) -> DataFrame:
 
 def text_failures(docs: DataFrame) -> DataFrame:
     """`docs` (doc_id, text, lang) as (doc_id, part, digest, mask): what each whole text fails of A to D (bits 0 to 3), and its SHA-256."""
-    text = F.coalesce("text", F.lit(""))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     bare = F.btrim(text, F.lit(C.SPACES))
-    df = docs.select("doc_id", F.coalesce("lang", F.lit("")).alias("part"), text.alias("text"), F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, rf"{C.SPACE_CLASS}+")).alias("words"))
+    df = docs.select("doc_id", F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("part"), text.alias("text"), F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, rf"{C.SPACE_CLASS}+")).alias("words"))
     upper = F.length(F.regexp_replace("text", "[^A-Z]+", ""))
     fails = [F.size("words") < 100, 100 * F.size(F.array_distinct("words")) < 80 * F.size("words"), 100 * upper > 10 * F.length("text"), F.col("text").rlike("[#$%&*|]")]
     return df.select("doc_id", "part", F.unhex(F.sha2("text", 256)).alias("digest"), sum((c.cast("int") * (1 << b) for b, c in enumerate(fails)), F.lit(0)).alias("mask"))
