@@ -40,7 +40,7 @@ def anchors(data: np.ndarray, off: np.ndarray, length: int = LENGTH, chunk: int
     if not len(long):
         return
     lo, hi = off[long], off[long + 1]
-    p = int(lo[0])
+    p, held = int(lo[0]), None  # held: the last of the chunk before, which may go on
     while p <= hi[-1] - length:  # windows that begin in [p, q)
         q = p + chunk
         part = data[p : min(q + length - 1, hi[-1])]
@@ -64,8 +64,18 @@ def anchors(data: np.ndarray, off: np.ndarray, length: int = LENGTH, chunk: int
         end[:-1] &= ~ok[1:] | new[1:]
         a, b = np.flatnonzero(new), np.flatnonzero(end)
         if len(a):
-            yield long[text[a]], m[a] + p, a + p, b + p, h[m[a]]
+            found = [long[text[a]], m[a] + p, a + p, b + p, h[m[a]]]
+            if held is not None:
+                if found[0][0] == held[0][0] and found[1][0] == held[1][0]:
+                    found[2][0] = held[2][0]
+                else:
+                    found = [np.concatenate(x) for x in zip(held, found)]
+            held = [x[-1:] for x in found]
+            if len(found[0]) > 1:
+                yield tuple(x[:-1] for x in found)
         p += len(m)
+    if held is not None:
+        yield tuple(held)
 
 
 class Runs:

@@ -145,6 +145,33 @@ def test_texts_over_the_chunk_of_anchors(spark):
     assert sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == brute(rows)
 
 
+def test_suffixes_depend_on_their_text_alone():
+    """Whatever stands before a text in its batch, and wherever a border of chunks cuts it."""
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    text = rng.integers(97, 123, 5000, np.uint8)
+
+    def found(before, chunk):
+        data = np.concatenate([rng.integers(97, 123, before, np.uint8), text])
+        return [(anchor - before, a - before, b - before, g) for part in suffix.anchors(data, np.array([0, before, len(data)]), chunk=chunk) for t, anchor, a, b, g in zip(*map(np.ndarray.tolist, part)) if t == 1]
+
+    want = found(0, 1 << 17)
+    assert len(want) > 20 and all(x[2] + 1 == y[1] for x, y in zip(want, want[1:]))
+    assert all(found(before, chunk) == want for before in (0, 150, 777, 2048) for chunk in (50, 512, 1000))
+
+
+def test_one_partition_of_several_chunks(spark):
+    """Passages hardly over the length, on all borders of chunks: the index is of a batch, the places are of all texts, so the borders differ."""
+    rng = random.Random(3)
+    text = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
+    shared = [text(rng.randrange(205, 260)) for _ in range(900)]
+    rows = [(i, "".join(rng.choice(shared) + text(rng.randrange(0, 5)) for _ in range(40))) for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = suffix.cut_repeats(docs, C.Scratch(spark, "t")).collect()
+    assert sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == brute(rows)
+
+
 def test_batches_do_not_matter(spark):
     rows = passages(4)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
