@@ -41,8 +41,17 @@ def folds(df: DataFrame, label: str, folds: int = 5, group: str | None = None, i
     return df.join(u, F.col(unit) == F.col("__u")).drop("__u"), k, kind
 
 
+#: Sums of losses in another order may differ by this share of them.
+NOISE = 1e-11
+
+
 class _Descent:
-    """L-BFGS for one problem: asks for the loss and gradient at `at`, step by step, till the gradient is under `tolerance`."""
+    """L-BFGS for one problem: asks for the loss and gradient at `at`, step by step, till the gradient is under `tolerance`.
+
+    Near its end a step gains less than the rounding of a sum over many rows. There the gradient, which is still exact, tells whether
+    a step is too far: it is not if the loss is level but for rounding and its slope does not rise by over 0.8 of what it fell by before
+    (the approximate Wolfe condition of Hager and Zhang, 2005).
+    """
 
     def __init__(self, size: int, tolerance: float, memory: int = 10):
         self.x = self.at = np.zeros(size)
@@ -50,7 +59,8 @@ class _Descent:
 
     def take(self, loss: float, gradient: np.ndarray) -> None:
         if self.loss is not None:
-            if loss > self.loss + 1e-4 * self.step * self.slope and self.step > 1e-12:
+            level = loss <= self.loss + NOISE * abs(self.loss) and gradient @ self.way <= -0.8 * self.slope
+            if loss > self.loss + 1e-4 * self.step * self.slope and not level and self.step > 1e-12:
                 self.step /= 2  # too far
                 self.at = self.x + self.step * self.way
                 return
@@ -88,7 +98,7 @@ def _sums(weights: list[np.ndarray], k: int, classes: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
-        for batch in batches:
+        for batch in filter(len, batches):
             fold, y = np.asarray(batch.column(0)), np.asarray(batch.column(1))
             counts = (fold[:, None] != np.arange(k)).astype(float)
             own = np.eye(classes)[y]
@@ -150,7 +160,7 @@ def probe(df: DataFrame, k: int, label: str, vectors: list[str], c: float = 1.0,
     weights = fit(table, k, len(known), sizes, c, rounds)
 
     def predicted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in filter(len, batches):
             fold, preds = np.asarray(batch.column(0)), []
             for i, w in enumerate(weights):
                 x = _matrix(batch.column(2 + i))

@@ -110,6 +110,22 @@ def test_probe_equals_a_newton_solution(spark):
             assert abs(got[one, name] - want) < 1e-9
 
 
+def test_descent_rests_though_the_loss_is_rounded():
+    """Sums over many rows: what a step gains near the end is less than their rounding, which differs from sum to sum."""
+    import numpy as np
+
+    for seed in range(20):
+        rng = np.random.default_rng(seed)
+        scale = rng.uniform(10, 3000, 40)
+        d = P._Descent(40, 1e-4)
+        for _ in range(300):
+            x = d.at - 1
+            d.take(2e4 + (scale * (np.sqrt(1 + x * x) - 1)).sum() + rng.normal(0, 1e-9), scale * x / np.sqrt(1 + x * x))
+            if d.done:
+                break
+        assert d.done and np.abs(d.x - 1).max() < 1e-4
+
+
 def test_query_equals_a_newton_solution(spark):
     import numpy as np
 
