@@ -110,6 +110,33 @@ def test_wilcoxon(spark):
     assert B.wilcoxon_test(t.withColumn("b", F.col("a")), "a", "b").first().p_value is None
 
 
+def test_retrieval_holds_few_similarities(tmp_path):
+    """What a task holds at once does not grow with the candidates, nor with the rows of a batch."""
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(1)
+    v = rng.normal(size=(20_000, 8))
+    vec, ids = pa.array(list(v)), pa.array(np.arange(len(v)))
+    batch = pa.RecordBatch.from_arrays([ids, ids, ids, pa.array(np.arange(len(v)) % 7), vec], ["query_id", "cand_id", "pos", "grp", "vec"])
+    files = [b.column(0).to_pylist() for b in R._store(f"file://{tmp_path}")(iter([batch.slice(0, 3000), batch.slice(3000)]))]
+    paths = [p for f in files for p in f]
+    sizes = [len(b["id"]) for b in R._blocks(paths)]
+    assert sum(sizes) == len(v) and max(sizes) <= R.BLOCK
+    assert sorted(i for b in R._blocks(paths) for i in b["id"].tolist()) == list(range(len(v)))
+    got = []
+    for run in (R._best(paths, 10), R._ranks(paths, True)):
+        tracemalloc.start()
+        got.append(pa.Table.from_batches(run(iter([batch.slice(0, 700), batch.slice(700, 400)]))))
+        assert tracemalloc.get_traced_memory()[1] < 150 << 20
+        tracemalloc.stop()
+    sim = v[:1100] @ v.T
+    assert got[0]["cand_id"].to_pylist() == np.argsort(-sim, 1)[:, :10].ravel().tolist()
+    assert got[1]["rank"].to_pylist() == (1 + (sim > (sim[np.arange(1100), np.arange(1100)] + R.EPS)[:, None]).sum(1)).tolist()
+
+
 def test_retrieval(spark):
     eye = [[1.0 if i == j else 0.0 for j in range(4)] for i in range(4)]
     rows = [(i, eye[i], eye[i], g, m, str(i)) for i, (g, m) in enumerate(zip("ggxy", "aabb"))]
