@@ -47,3 +47,21 @@ def test_tile_grid_of_all_parts(spark):
     want = {(k, y, x) for k, size in parts for y in range(0, size * 100 - 255, 256) for x in range(0, 1000 - 255, 256)}
     got = [tuple(r) for r in QUERIES["tile_grid"](spark, SF).select("k", "y", "x").collect()]
     assert len(got) == len(want) and set(got) == want and len({k for k, _, _ in want}) > 20
+
+
+def test_tiles_of_a_region(spark):
+    """Against plain Python, also where tiles are larger than cells; no tile is copied or grouped, and the mask is not broadcast."""
+    import random
+
+    from aperture.operators import tables as J
+
+    rng = random.Random(4)
+    tiles = [(k, y, x) for k in range(6) for y in range(0, 900, 37) for x in range(0, 700, 53)]
+    cells = [(k, rng.randrange(12), rng.randrange(12)) for k in range(5) for _ in range(6)]
+    t, c = spark.createDataFrame(tiles, "k long, y long, x long"), spark.createDataFrame(cells, "k long, cy int, cx int")
+    for size, cell in ((64, 100), (101, 100), (102, 100), (1, 50), (300, 90)):
+        want = {(k, y, x) for k, y, x in tiles if any(k == m and y < (cy + 1) * cell and y + size > cy * cell and x < (cx + 1) * cell and x + size > cx * cell for m, cy, cx in cells)}
+        got = [tuple(r) for r in J.in_region(t, c, size, cell, "k").collect()]
+        assert len(got) == len(want) and set(got) == want and 0 < len(want) < len(tiles)
+    plan = QUERIES["region_tiles"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "LeftSemi" in plan and "Aggregate" not in plan and "Broadcast" not in plan
